@@ -325,7 +325,8 @@ def _worker(shared, keep_ids: bool):
 
 
 def encode(rows: DataFrame, ranks: dict[bytes, int], text: str = "text", keep_ids: bool = True) -> DataFrame:
-    """``rows`` without their text, with n_tokens, ids_sha256, decoded_sha256 and, if wanted, ids and byte_offsets."""
+    """``rows`` without their text, with n_tokens, ids_sha256, decoded_sha256 and, if wanted, ids and byte_offsets; they replace columns of these names."""
+    rows = rows.drop("n_tokens", "ids_sha256", "decoded_sha256", "ids", "byte_offsets")
     shared = rows.sparkSession.sparkContext.broadcast(ranks)
     others = [f for f in rows.schema.fields if f.name != text]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "n_tokens long, ids_sha256 string, decoded_sha256 string", *["ids array<int>, byte_offsets array<int>"] * keep_ids])

@@ -175,26 +175,50 @@ def report(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     ).withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
 
 
-def without_hits(docs: DataFrame, spans: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``docs`` with the bytes of each row's spans cut out of its text; rows without spans stay as they are."""
-    both = docs.join(spans.select(F.col(key).alias("_key"), "spans"), F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
-    return both.mapInArrow(_cut, docs.schema)
+def _mark(windows: Windows):
+    """mapInArrow function: adds the hit byte spans of a block of items to the last two columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("_text")
+            before0, before1 = batch.column("_b0"), batch.column("_b1")
+            lists0, lists1 = [], []
+            for lo, hi, data, offsets in K.text_chunks(batch.column(at), SHARD_BYTES):
+                starts, ends, rows, hit, _, _ = scan_shard(data, offsets, windows)
+                a, b = K.runs(hit, K.row_starts(rows, len(hit)))
+                row = np.searchsorted(rows, a, side="right") - 1
+                cut = np.searchsorted(row, np.arange(hi - lo + 1))
+                b0, b1 = starts[a] - offsets[row], ends[b - 1] - offsets[row]
+                for k in range(hi - lo):
+                    x, y = cut[k], cut[k + 1]
+                    lists0.append([*(before0[lo + k].as_py() or []), *b0[x:y].tolist()] if y > x else before0[lo + k].as_py())
+                    lists1.append([*(before1[lo + k].as_py() or []), *b1[x:y].tolist()] if y > x else before1[lo + k].as_py())
+            kind = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(lists0, kind), pa.array(lists1, kind)], names=batch.schema.names)
+
+    return run
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = []
-        for text, spans in zip(batch.column("text"), batch.column("spans").to_pylist(), strict=True):
+        texts, keep = [], []
+        for text, b0, b1 in zip(batch.column("_text"), batch.column("_b0"), batch.column("_b1"), strict=True):
             data = text.as_py()
-            if spans:
-                raw, kept, at = data.encode(), [], 0
-                for s in spans:
-                    kept.append(raw[at : s["b0"]])
-                    at = s["b1"]
-                data = b"".join([*kept, raw[at:]]).decode()
+            keep.append(True)
+            if b0.is_valid and len(b0):
+                raw = np.frombuffer(data.encode(), np.uint8)
+                stays = ~K.covered(np.array(b0.as_py()), np.array(b1.as_py()), len(raw))
+                keep[-1] = bool((WORD[K.LOWER[raw]] & stays).any())
+                data = raw[stays].tobytes().decode()
             texts.append(data)
-        keep = [n for n in batch.schema.names if n not in ("text", "spans")]
-        out = {n: batch.column(n) for n in keep} | {"text": pa.array(texts, pa.string())}
-        names = [n for n in batch.schema.names if n != "spans"]
-        yield pa.RecordBatch.from_arrays([out[n] for n in names], names=names)
+        out = pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(texts, pa.string())], names=["_row", "_text"])
+        yield out.filter(pa.array(keep, pa.bool_()))
+
 
+def without_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``docs`` with the words of benchmark windows cut out of their text; a row that is left without a word goes. Rows without hits stay as they are."""
+    both = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text)).alias("_row"), F.col(text).cast("string").alias("_text"), F.lit(None).cast("array<long>").alias("_b0"), F.lit(None).cast("array<long>").alias("_b1"))
+    for block in blocks(benchmark, block_words):
+        both = both.mapInArrow(_mark(Windows(block, width)), both.schema)
+    done = both.mapInArrow(_cut, both.select("_row", "_text").schema)
+    return done.select(*(F.col("_text").alias(text) if c == text else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))

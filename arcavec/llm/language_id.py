@@ -123,7 +123,8 @@ def fit(rows: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 
 
 def identify(rows: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``rows`` without their text, with lang_pred and score."""
+    """``rows`` without their text, with lang_pred and score, which replace columns of these names."""
+    rows = rows.drop("lang_pred", "score")
     shared = rows.sparkSession.sparkContext.broadcast(model)
     others = [f for f in rows.schema.fields if f.name != text]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "lang_pred string, score double"])

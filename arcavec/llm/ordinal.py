@@ -183,7 +183,8 @@ def fit(rows: DataFrame, n_grades: int, key: str = "doc_id", text: str = "text",
 
 
 def grade_rows(rows: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``rows`` with tails array<double>, P(grade > k) for each k; a null text counts as empty."""
+    """``rows`` with tails array<double>, P(grade > k) for each k, in place of a column of that name; a null text counts as empty."""
+    rows = rows.drop("tails")
     shared = rows.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), "tails array<double>"])
 
@@ -197,3 +198,18 @@ def grade_rows(rows: DataFrame, model: Model, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "tails"])
 
     return rows.mapInArrow(run, schema)
+
+
+def keep_below(rows: DataFrame, model: Model, limit: float, text: str = "text") -> DataFrame:
+    """The rows of which P(grade > 0) is below ``limit``, with all their columns as they are."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        table = model.table()
+        for batch in batches:
+            scores = [model.scores(data, offsets, table) for _, _, data, offsets in K.text_chunks(batch.column(text))]
+            if scores:
+                yield batch.filter(pa.array(model.tails(np.concatenate(scores))[:, 0] < limit))
+
+    return rows.mapInArrow(run, rows.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcavec.llm import bpe, decontaminate, language_id, ngram_join, quality, suffix_dedup, toxicity
+from arcavec.llm import bpe, decontaminate, language_id, license_scan, ngram_join, pivot_dedup, quality, suffix_dedup, toxicity, warc
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -30,6 +30,14 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.find_licenses(_table(spark, sf_dir, "documents"))
+
+
+def op3_pivot_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
@@ -54,6 +62,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.select("doc_id", "text", "held_out"), model)
 
 
+def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve_revisits(warc.records_of_pages(_table(spark, sf_dir, "pages")))
+    return found.withColumn("headers", F.array_join("headers", "; "))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
@@ -97,4 +110,41 @@ i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)""",
+    "op3_pivot_dedup": r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT vec_id, vec_id AS r FROM embeddings UNION SELECT reach.vec_id, links.y FROM reach JOIN links ON reach.r = links.x)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e LEFT JOIN (SELECT x, count(*) AS n FROM links GROUP BY x) n ON n.x = e.vec_id
+JOIN (SELECT vec_id, min(r) AS component_id FROM reach GROUP BY vec_id) c ON c.vec_id = e.vec_id""",
+    "op9_warc_revisits": r"""
+WITH p AS (
+  SELECT page_id AS p, url, '"' || md5(coalesce(html, '')) || '"' AS tag, sha256(coalesce(html, '')) AS digest, CAST(strlen(coalesce(html, '')) AS VARCHAR) AS size FROM pages),
+r AS (
+  SELECT 2 * p AS id, url, p * 10 AS ts, tag, 'day ' || CAST(p % 97 AS VARCHAR) AS lm, size, digest FROM p),
+q AS (
+  SELECT 2 * p + 1 AS id, p * 10 + 5 + (p % 5) * 1000 AS ts,
+    CASE WHEN p % 3 = 0 THEN regexp_replace(url, '^https?://', 'HTTP://') || CASE WHEN contains(url, '#') THEN '' ELSE '#top' END ELSE url END AS url,
+    CASE WHEN p % 7 = 0 THEN NULL WHEN p % 7 = 1 THEN '"other"' ELSE tag END AS tag,
+    CASE WHEN p % 14 = 0 THEN 'day ' || CAST(p % 97 AS VARCHAR) WHEN p % 7 = 0 THEN 'day x' END AS lm FROM p),
+both_kinds AS (SELECT 'r' AS kind, id, url FROM r UNION ALL SELECT 'q', id, url FROM q),
+parts AS (
+  SELECT kind, id, regexp_replace(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), ':(80|443)$', ''), '^www\.', '') AS host,
+    regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', '') AS path,
+    array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT starts_with(x, 'utm_'))), '&') AS query FROM both_kinds),
+c AS (SELECT kind, id, CASE WHEN host <> '' THEN host || path || CASE WHEN query <> '' THEN '?' || query ELSE '' END END AS u FROM parts),
+m AS (
+  SELECT q.id, cq.u, q.ts AS q_ts, q.tag AS q_tag, q.lm AS q_lm, r.*  EXCLUDE (url)
+  FROM q JOIN c cq ON cq.kind = 'q' AND cq.id = q.id LEFT JOIN (r JOIN (SELECT id AS cid, u AS ru FROM c WHERE kind = 'r') cr ON cr.cid = r.id) ON ru = cq.u AND (r.ts < q.ts OR (r.ts = q.ts AND r.id < q.id))
+  QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY r.ts DESC NULLS LAST, r.id DESC NULLS LAST) = 1),
+o AS (
+  SELECT m.id AS record_id, u AS canonical_url, m.id_1 AS rid, q_ts, ts, size, digest,
+    CASE WHEN u IS NULL THEN 'no url' WHEN m.id_1 IS NULL THEN 'no earlier response' WHEN q_tag IS NOT NULL AND q_tag IS DISTINCT FROM tag THEN 'validator differs'
+      WHEN q_tag IS NULL AND q_lm IS NOT NULL AND q_lm IS DISTINCT FROM lm THEN 'validator differs' ELSE 'resolved' END AS outcome FROM m)
+SELECT record_id, canonical_url, CASE WHEN outcome = 'resolved' THEN rid END AS response_id, outcome,
+  CASE WHEN outcome = 'resolved' THEN 'cache-control: max-age=60; content-length: ' || size || '; content-type: text/html; date: ' || CAST(q_ts AS VARCHAR) || '; server: second' END AS headers,
+  CASE WHEN outcome = 'resolved' THEN digest END AS payload_digest
+FROM o""",
 }

@@ -347,9 +347,9 @@ def _finish(span: int, keep_text: bool):
                 sha.append(hashlib.sha256(kept).hexdigest())
                 starts.append(a)
                 ends.append(b)
-                texts.append(kept)
+                texts.append(kept.decode(errors="ignore") if len(a) else None)
             out = [batch.column("k1"), batch.column("k2"), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha, pa.string())]
-            out += [pa.array(texts, pa.binary())] if keep_text else [pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64()))]
+            out += [pa.array(texts, pa.string())] if keep_text else [pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(out, names=["k1", "k2", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_text else ["starts", "ends"])])
 
     return run
@@ -362,7 +362,7 @@ def _keys(text: str):
 
 
 def find(docs: DataFrame, text: str = "text", span: int = SPAN, gram: int = GRAM, hot: int = HOT, keep_text: bool = False) -> DataFrame:
-    """The distinct texts by (k1, k2) with n_bytes, n_removed, n_spans, kept_sha256, and starts and ends of what goes or, with ``keep_text``, the kept bytes."""
+    """The distinct texts by (k1, k2) with n_bytes, n_removed, n_spans, kept_sha256, and starts and ends of what goes or, with ``keep_text``, kept: the rest as text, null where nothing goes; a codepoint that a cut splits goes whole."""
     spark = docs.sparkSession
     n = partitions(spark)
     texts = docs.select(*_keys(text), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
@@ -375,7 +375,7 @@ def find(docs: DataFrame, text: str = "text", span: int = SPAN, gram: int = GRAM
     shards = Table(contexts.groupBy("shard").applyInArrow(_shard(span, hot, n), _SPANS))
     merged = shards.df.where("kind >= 0").groupBy("kind").applyInArrow(_merge_published, _SPANS)
     spans = shards.df.where("kind < 0").unionByName(merged).groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    schema = "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, " + ("kept binary" if keep_text else "starts array<long>, ends array<long>")
+    schema = "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, " + ("kept string" if keep_text else "starts array<long>, ends array<long>")
     done = Table(t.join(spans.hint("shuffle_hash"), ["k1", "k2"], "left").mapInArrow(_finish(span, keep_text), schema))
     shards.drop()
     table.drop()
@@ -383,8 +383,18 @@ def find(docs: DataFrame, text: str = "text", span: int = SPAN, gram: int = GRAM
 
 
 def dedup(docs: DataFrame, text: str = "text", span: int = SPAN, keep_text: bool = False, **options) -> DataFrame:
-    """Every row of ``docs`` with the columns of ``find`` for its text."""
+    """Every row of ``docs`` with the columns of ``find`` for its text; they replace columns of the same names."""
+    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "ends", "kept", "k1", "k2")
     found = find(docs, text, span, keep_text=keep_text, **options)
     k1, k2 = _keys(text)
     rows = docs.withColumns({"_k1": k1, "_k2": k2})
     return rows.join(found, (F.col("_k1") == found.k1) & (F.col("_k2") == found.k2), "left").drop("_k1", "_k2", "k1", "k2")
+
+
+def strip_repeats(docs: DataFrame, text: str = "text", **options) -> DataFrame:
+    """``docs`` with repeated strings cut out of their text; a row whose text is cut to nothing goes."""
+    kept = find(docs, text, keep_text=True, **options).where("n_removed > 0").select("k1", "k2", "kept")
+    k1, k2 = _keys(text)
+    both = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), k1, k2).join(kept, ["k1", "k2"], "left")
+    columns = [F.coalesce("kept", f"_row.{c}").alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
+    return both.where("kept is null or kept <> ''").select(*columns)

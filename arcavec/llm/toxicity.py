@@ -41,3 +41,8 @@ def predict(docs: DataFrame, model: ordinal.Model, text: str = "text") -> DataFr
         "severity": F.when(1 - p[0] >= F.greatest(p[0] - p[1], p[1]), 0).when(p[0] - p[1] >= p[1], 1).otherwise(2).cast("long"),
         "toxic": p[0] >= REJECT,
     }).drop("tails")
+
+
+def keep_clean(docs: DataFrame, model: ordinal.Model, text: str = "text") -> DataFrame:
+    """The documents that aren't rejected."""
+    return ordinal.keep_below(docs, model, REJECT, text)
