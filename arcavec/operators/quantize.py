@@ -131,7 +131,7 @@ def turbo_scores(query: Sequence[float], code: np.ndarray, scale: np.ndarray, bi
     if q.shape[1] < code.shape[1]:
         q = np.concatenate([q, np.zeros((1, code.shape[1] - q.shape[1]))], axis=1)
     q = rotate(unit(q), rounds, seed)[0]
-    return scale * (np.array(LEVELS[bits])[code] / np.sqrt(code.shape[1])) @ q
+    return scale * ((np.array(LEVELS[bits])[code] / np.sqrt(code.shape[1])) @ q)
 
 
 def turbo_codes(vectors: DataFrame, bits: int, rounds: int = 3, seed: int | None = 0x42) -> DataFrame:

@@ -18,13 +18,18 @@ from arcavec.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 K = 10
-ATTR = (F.col("vec_id") * 7) % 1000
+
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.load(spark, sf_dir, "embeddings")
 
 
+def _attr():
+    """An attribute to range over."""
+    return (F.col("vec_id") * 7) % 1000
+
+
 def _query(vectors: DataFrame) -> list[float]:
     return search.vector_of(vectors, 0)
 
@@ -86,12 +91,12 @@ FILTERS = {
 
 
 def q06_range(spark, sf_dir):
-    v = _vectors(spark, sf_dir).withColumn("attr", ATTR)
+    v = _vectors(spark, sf_dir).withColumn("attr", _attr())
     return planner.ranged(v, _query(v), K, 100, 400)
 
 
 def q07_zonemap_estimate(spark, sf_dir):
-    rows = _vectors(spark, sf_dir).select(F.col("label").alias("cell"), ATTR.alias("attr"))
+    rows = _vectors(spark, sf_dir).select(F.col("label").alias("cell"), _attr().alias("attr"))
     return ivf.estimated_members(ivf.zone_map(rows), 100, 1200).select(F.col("cell").cast("long").alias("cell"), "low", "high", "n", "estimate")
 
 
@@ -246,7 +251,7 @@ def q34_probe(spark, sf_dir):
 
 
 def q35_probe_range(spark, sf_dir):
-    v = _vectors(spark, sf_dir).withColumn("attr", ATTR)
+    v = _vectors(spark, sf_dir).withColumn("attr", _attr())
     centroids, assigned = _cells(v)
     return ivf.probe_range(assigned, ivf.centroid_table(v, centroids), _query(v), 100, 600, 80)
 
