@@ -28,6 +28,7 @@ component; repeated rows each give a row.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -96,9 +97,10 @@ def _sketch(shingle: int):
             for _, _, data, offsets in K.text_chunks(batch.column(0)):
                 h, _ = shingle_sets(data, offsets, shingle)
                 np.add.at(counts, (h >> U64(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
-        parts = np.minimum(counts, 65535).astype(np.uint16).reshape(SLICES, -1)
+        # counts of a task up to 255 tell frequent from rare as well as exact ones, and pack well
+        parts = np.minimum(counts, 255).astype(np.uint8).reshape(SLICES, -1)
         if counts.any():
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES, dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], names=["slice", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES, dtype=np.int32)), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], names=["slice", "n"])
 
     return run
 
@@ -107,7 +109,7 @@ def _add_slices(table: pa.Table) -> pa.Table:
     total = np.zeros((1 << SKETCH_BITS) // SLICES, np.uint64)
     for c in table.column("n").chunks:
         for x in c:
-            total += np.frombuffer(x.as_py(), np.uint16)
+            total += np.frombuffer(zlib.decompress(x.as_py()), np.uint8)
     level = np.minimum(255, 8 * np.log2(1.0 + total)).astype(np.uint8)
     return pa.table({"slice": table.column("slice").slice(0, 1), "level": pa.array([level.tobytes()], pa.binary())})
 
@@ -151,7 +153,7 @@ def _entries(buckets: int):
         for batch in batches:
             data, offsets = K.text_buffer(batch.column("a"))
             tok, count = data.view(U64) if len(data) else np.zeros(0, U64), np.diff(offsets) // 8
-            columns = [np.repeat(batch.column(c).to_numpy(), count) for c in ("rep", "n", "lead")]
+            columns = [np.repeat(batch.column(c).to_numpy().astype(t), count) for c, t in (("rep", np.int64), ("n", np.uint32), ("lead", np.uint16))]
             bucket = (tok % U64(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
             sizes = np.bincount(bucket) if len(bucket) else np.zeros(0, np.int64)
@@ -169,7 +171,8 @@ def _blobs(table: pa.Table, column: str, kind) -> np.ndarray:
 
 def _groups(table: pa.Table) -> pa.Table:
     """Members of the shingles that two nodes or more have, in chain order; first marks a shingle's first member."""
-    tok, rep, n, lead = (_blobs(table, c, t) for c, t in (("tok", U64), ("rep", np.int64), ("n", np.int64), ("lead", np.int64)))
+    tok, rep, n, lead = (_blobs(table, c, t) for c, t in (("tok", U64), ("rep", np.int64), ("n", np.uint32), ("lead", np.uint16)))
+    n = n.astype(np.int64)
     by = np.lexsort((rep, n, lead, tok))
     tok, rep, n = tok[by], rep[by], n[by]
     new = np.ones(len(tok), bool)
@@ -288,7 +291,10 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(body).alias("k1"), F.xxhash64(F.lit(0x5EED), body).alias("k2"), body.alias("text"))
     keys = rows.select("doc", "k1", "k2")
     reps = Table(keys.groupBy("k1", "k2").agg(F.min("doc").alias("rep")))
-    nodes = rows.join(reps.df.select("rep", F.col("k1").alias("_1"), F.col("k2").alias("_2")).hint("shuffle_hash"), (F.col("doc") == F.col("rep")) & (F.col("k1") == F.col("_1")) & (F.col("k2") == F.col("_2")))
+    own = reps.df.select("rep", F.col("k1").alias("_1"), F.col("k2").alias("_2")).hint("shuffle_hash")
+    # the key alone deals the rows, so that each task writes one bucket; bit operations keep the other conditions out of the join's keys
+    same = (F.col("k1").bitwiseXOR(F.col("_1")) == 0) & (F.col("k2").bitwiseXOR(F.col("_2")) == 0)
+    nodes = rows.join(own, (F.col("doc") == F.col("rep")) & same)
     texts = Table(nodes.select("rep", "text"), parts, ("rep",))
     level = spark.sparkContext.broadcast(levels(texts.df, shingle))
     info = Table(texts.df.mapInArrow(_info(level, shingle, threshold), "rep long, n long, lead long, a binary, b binary, bits binary"))

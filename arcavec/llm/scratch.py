@@ -31,6 +31,8 @@ class Table:
             df.write.option("compression", "zstd").parquet(self.path)
             self.df = self.spark.read.schema(df.schema).parquet(self.path)
             self.name = ""
+        # what only this write needed is garbage now; a collection lets Spark's cleaner drop its shuffle files before the next step
+        self.spark._jvm.System.gc()
 
     def drop(self) -> None:
         if self.name:
