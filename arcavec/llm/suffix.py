@@ -37,8 +37,8 @@ def suffix_array(seq: np.ndarray, depth: int | None = None) -> tuple[np.ndarray,
         at = order[place]
         ahead = np.minimum(at + h, n)
         group = rank[at]
-        second = np.where(at + h < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
-        by = np.argsort(group * np.int64(n + 1) + second) if n < 3_000_000_000 else np.lexsort((second, group))
+        second = np.where(at + h < n, rank[np.minimum(ahead, n - 1)] + 1, n - at - h)  # of suffixes that end here the shorter is less
+        by = np.argsort(group * np.int64(n + h + 1) + second + h) if n < 2_000_000_000 else np.lexsort((second, group))
         at, group, second = at[by], group[by], second[by]
         order[place] = at
         end = np.append((group[1:] != group[:-1]) | (second[1:] != second[:-1]), True)
