@@ -3,7 +3,8 @@
 Templates are texts by license id, at most ``MAX_TEMPLATE_WORDS`` words in all, so their inverted
 index has a fixed bound and is broadcast. Of the hashes of ``GRAM`` consecutive words of a template
 the least of each ``WINDOW`` are kept (winnowing). Every word sequence of a document is looked up in
-that index; hits of one template whose offsets differ by at most ``BAND`` form a candidate place.
+that index; hits of one template whose offsets differ by at most ``BAND``, or a third of a short template, form a
+candidate place.
 There the template is aligned with the document's words within the band, all places of a template
 side by side: the alignment keeps the most template words in order. A place is a match when it
 keeps ``COVERAGE`` of them or more. Documents are read whole and never shuffled.
@@ -128,12 +129,13 @@ def scan(data: np.ndarray, offsets: np.ndarray, index: Index, band: int = BAND,
         return none
     by = np.lexsort((diagonal, row, template))
     template, diagonal, row = template[by], diagonal[by], row[by]
-    new = np.append(True, (template[1:] != template[:-1]) | (row[1:] != row[:-1]) | (diagonal[1:] - diagonal[:-1] > band))
+    bands = np.array([min(band, max(1, len(w) // 3)) for w in index.words])  # a notice that follows itself is another place
+    new = np.append(True, (template[1:] != template[:-1]) | (row[1:] != row[:-1]) | (diagonal[1:] - diagonal[:-1] > bands[template[1:]]))
     template, diagonal, row = template[new], diagonal[new], row[new]
     found = []
     padded = np.concatenate([h, np.zeros(1, np.uint64)])
     for t in np.unique(template):
-        words = index.words[t]
+        words, band = index.words[t], int(bands[t])
         of = np.flatnonzero(template == t)
         for part in range(0, len(of), 4096):
             c = of[part : part + 4096]
