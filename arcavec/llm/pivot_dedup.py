@@ -1,14 +1,15 @@
 """Embedding near-dedup by a pivot-permutation index.
 
-A vector is described by its ``NEAREST`` nearest of ``PIVOTS`` reference vectors, which are rows of
-the corpus chosen by a hash of their id. Each (label, pivot) has an inverted list of the vectors
+A vector is described by its ``NEAREST`` nearest of at most ``PIVOTS`` reference vectors. Those are rows
+of the corpus: of ``SAMPLE`` that a hash of their id picks, each with a cosine below ``APART`` to all
+taken before, so that a large group of near copies doesn't fill the list. Each (label, pivot) has an inverted list of the vectors
 that are near it. Vectors that share ``SHARED`` pivots or more are candidates, and candidates with a
 cosine of ``THRESHOLD`` or more, in double precision, link. A pair is looked at in one list only, that
 of the first pivot that both have. Long lists are cut into blocks of ``BLOCK`` members and each pair
 of blocks is a task; a task returns sums of links and a spanning forest, never all its pairs.
 
 Equal vectors of a label become one member with a count first. Vectors of different lengths never
-link. The index is fitted on at most ``PIVOTS`` rows and holds every valid row; on the test tables its
+link. The index is fitted on at most ``SAMPLE`` rows and holds every valid row; on the test tables its
 recall against brute force is 1.0 (tests ask for 0.9).
 
 Defined cases: a vector that is null, zero, empty or has a null or non-finite component, or whose
@@ -27,6 +28,8 @@ from arcavec.llm.components import connected_components, labels
 from arcavec.llm.scratch import Table, partitions
 
 PIVOTS = 128
+SAMPLE = 2048
+APART = 0.8
 NEAREST = 10
 SHARED = 2
 THRESHOLD = 0.98
@@ -37,6 +40,15 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt(np.einsum("ij,ij->i", rows, rows))[:, None]
 
 
+def spread_out(rows: np.ndarray, most: int) -> np.ndarray:
+    """Rows of which no two have a cosine of ``APART`` or more, taken in order."""
+    taken: list[int] = []
+    for i in range(len(rows)):
+        if len(taken) < most and (not taken or (rows[taken] @ rows[i]).max() < APART):
+            taken.append(i)
+    return rows[taken]
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     """A list column, all of one length, as doubles."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -130,9 +142,11 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     once = base.where("valid").groupBy("label", "h1", "h2", "id").agg(F.first("v").alias("v"))
     grouped = once.groupBy("label", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v"))
     classes = Table(grouped.withColumns({"cls": F.monotonically_increasing_id(), "label_no": F.xxhash64("label"), "size": F.size("v")}))
-    chosen = classes.df.select("v", F.xxhash64(F.lit(11), "rep").alias("_h"), "rep").orderBy("_h", "rep").limit(pivots).collect()
+    chosen = classes.df.select("v", F.xxhash64(F.lit(11), "rep").alias("_h"), "rep").orderBy("_h", "rep").limit(SAMPLE).collect()
     width = max((len(r.v) for r in chosen), default=1)
-    matrix = _unit(np.array([[*r.v, *[0.0] * (width - len(r.v))] for r in chosen])) if chosen else np.zeros((0, 1))
+    sample = _unit(np.array([[*r.v, *[0.0] * (width - len(r.v))] for r in chosen])) if chosen else np.zeros((0, 1))
+    matrix = spread_out(sample, pivots)
+    shared = min(shared, len(matrix), nearest)
     where = spark.sparkContext.broadcast(matrix)
     fields = "rep long, cls long, copies long, label_no long, size int, v array<double>"
     described = Table(classes.df.select("rep", "cls", "copies", "label_no", "size", "v").mapInArrow(_describe(where, nearest), fields + ", near array<int>"))
@@ -142,7 +156,7 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     spread = lists.join(lengths, ["label_no", "size", "pivot"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tasks = spread.select("rep", "cls", "copies", "label_no", "size", "v", "near", "pivot", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     task = F.pmod(F.xxhash64("label_no", "size", "pivot", "i", "j"), F.lit(4 * parts)).alias("task")
-    found = Table(tasks.groupBy(task).applyInArrow(_links(threshold, shared, max(len(chosen), 1)), "cls long, n long, a long, b long"))
+    found = Table(tasks.groupBy(task).applyInArrow(_links(threshold, shared, max(len(matrix), 1)), "cls long, n long, a long, b long"))
     linked = connected_components(found.df.where("n = 0").select("a", "b"))
     sums = found.df.where("n > 0").groupBy("cls").agg(F.sum("n").alias("more"))
     by_class = classes.df.select("label", "h1", "h2", "rep", "copies", "cls").join(sums, "cls", "left").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
