@@ -161,8 +161,8 @@ def _descend(row: np.ndarray, col: np.ndarray, grade: np.ndarray, m: int, theta:
     return x[:m], x[m] + np.concatenate([[0.0], np.cumsum(np.exp(x[m + 1 :]))])
 
 
-def fit(rows: DataFrame, n_grades: int, key: str = "doc_id", text: str = "text", grade: str = "grade", shapes: bool = False, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fits rows with a text and a grade from 0 to n_grades - 1; what reaches the driver is bounded by the sample."""
+def fit(rows: DataFrame, n_grades: int, unlabelled: int, key: str = "doc_id", text: str = "text", grade: str = "grade", shapes: bool = False, sample_rows: int = SAMPLE_ROWS) -> Model:
+    """Fits rows with a text and a grade from 0 to n_grades - 1; what reaches the driver is bounded by the sample. Without such rows every text has the grade ``unlabelled``."""
     labelled = rows.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.col(grade).cast("long").alias("grade")).where(f"text is not null and grade between 0 and {n_grades - 1}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,9 +174,9 @@ def fit(rows: DataFrame, n_grades: int, key: str = "doc_id", text: str = "text",
 
     # texts below are sampled by key before they are read, and features are 4 bytes a distinct word
     got = hash_sample(labelled, "key", sample_rows).select("text", "grade").mapInArrow(run, "grade long, features array<int>").toArrow().combine_chunks()
-    lists = got.column("features").combine_chunks() if got.num_rows else None
-    if lists is None:
-        return fit_rows(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), n_grades, shapes)
+    if not got.num_rows:
+        return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), np.where(np.arange(n_grades - 1) < unlabelled, -40.0, 40.0), shapes)
+    lists = got.column("features").combine_chunks()
     lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks)
     counts = np.diff(lists.offsets.to_numpy())
     return fit_rows(lists.flatten().to_numpy().astype(np.int64), np.repeat(np.arange(len(counts)), counts), got.column("grade").to_numpy(), n_grades, shapes)

@@ -5,7 +5,7 @@ text are shared by both ordered thresholds (see ``ordinal``); they give an expec
 tail probability P(rating > 0) by which documents are selected.
 
 Defined cases: as for toxicity; a null or empty text has only the thresholds' prior; a document
-with several label rows is learned with its lowest rating.
+with several label rows is learned with its lowest rating; without labels everything is selected.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ def ratings(labels: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = ordinal.SAMPLE_ROWS) -> ordinal.Model:
     chosen = ordinal.hash_sample(ratings(labels), "doc_id", sample_rows)
-    return ordinal.fit(docs.select("doc_id", "text").join(chosen, "doc_id"), GRADES, shapes=True, sample_rows=2 * sample_rows)
+    return ordinal.fit(docs.select("doc_id", "text").join(chosen, "doc_id"), GRADES, GRADES - 1, shapes=True, sample_rows=2 * sample_rows)
 
 
 def predict(docs: DataFrame, model: ordinal.Model, text: str = "text") -> DataFrame:

@@ -28,7 +28,7 @@ def severity(labels: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = ordinal.SAMPLE_ROWS) -> ordinal.Model:
     chosen = ordinal.hash_sample(severity(labels), "doc_id", sample_rows)
-    return ordinal.fit(docs.select("doc_id", "text").join(chosen, "doc_id"), GRADES, sample_rows=2 * sample_rows)
+    return ordinal.fit(docs.select("doc_id", "text").join(chosen, "doc_id"), GRADES, 0, sample_rows=2 * sample_rows)
 
 
 def predict(docs: DataFrame, model: ordinal.Model, text: str = "text") -> DataFrame:
