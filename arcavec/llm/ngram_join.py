@@ -13,8 +13,9 @@ different hashes. The sketch only decides how few candidates there are, never wh
    are candidates, as many as members. Those whose second prefixes share a shingle, and whose
    bitmaps don't rule them out, are verified on whole sets; their links give first components.
 5. All other pairs: within each shingle's nodes, only pairs of *different* components can still
-   change the result. They are compared in blocks, filtered by size, bitmap and second prefix, and
-   what passes is verified. Large groups are split into blocks, each pair of blocks a task.
+   change the result. Members that have one of another component and a like size near them are
+   compared in blocks by size and bitmap; pairs whose second prefixes also share a shingle are
+   verified. Large groups are split into blocks, each pair of blocks a task.
 
 So a group of m near copies costs m verified pairs, not m squared, and no link between components
 is lost. A parity bitmap has a bit per hash bucket, set for an odd count: bits that differ are at
@@ -33,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arcavec.llm import kernels as K
@@ -42,7 +43,7 @@ from arcavec.llm.scratch import Table, partitions
 
 SHINGLE = 3
 THRESHOLD = 90
-SKETCH_BITS = 22
+SKETCH_BITS = 24
 SLICES = 64
 BITS = 512
 BLOCK = 1024
@@ -257,7 +258,6 @@ def _blocks(threshold: int):
         table = table.combine_chunks()
         tok, i, j, own, rep, n, comp = (table.column(c).to_numpy() for c in ("tok", "i", "j", "own", "rep", "n", "component"))
         bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), U64).reshape(-1, BITS // 64)
-        prefix = table.column("b")
         by = np.lexsort((own, j, i, tok))
         edge = np.flatnonzero(np.append(True, (tok[by][1:] != tok[by][:-1]) | (i[by][1:] != i[by][:-1]) | (j[by][1:] != j[by][:-1]))) if len(by) else np.zeros(0, np.int64)
         found: set[tuple[int, int]] = set()
@@ -274,10 +274,7 @@ def _blocks(threshold: int):
                 for part in range(0, len(p), 1 << 17):
                     a, b = f[p[part : part + (1 << 17)]], second[q[part : part + (1 << 17)]]
                     ok = _near(bits[a], bits[b], n[a], n[b], threshold)
-                    for u, v in zip(a[ok].tolist(), b[ok].tolist(), strict=True):
-                        pair = (int(min(rep[u], rep[v])), int(max(rep[u], rep[v])))
-                        if pair not in found and _share(prefix[u].as_py(), prefix[v].as_py()):
-                            found.add(pair)
+                    found.update(zip(np.minimum(rep[a[ok]], rep[b[ok]]).tolist(), np.maximum(rep[a[ok]], rep[b[ok]]).tolist(), strict=True))
         return pa.table({"x": pa.array([p[0] for p in found], pa.int64()), "y": pa.array([p[1] for p in found], pa.int64())})
 
     return run
@@ -314,12 +311,16 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     first = connected_components(links.df)
 
     members = groups.df.join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = members.groupBy("tok").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select("tok")
-    open_ = members.join(mixed, "tok").join(one.drop("n"), "rep")
+    # sizes on a scale on which sets that link are at most a million apart
+    like = Window.partitionBy("tok").orderBy("_x").rangeBetween(-1_000_010, 1_000_010)
+    scale = F.floor(F.ln(F.col("n").cast("double")) * float(1e6 / np.log(100 / threshold)))
+    mixed = members.withColumn("_x", scale).withColumns({"_lo": F.min("component").over(like), "_hi": F.max("component").over(like)}).where("_lo <> _hi")
+    open_ = mixed.drop("_x", "_lo", "_hi").join(one.select("rep", "bits"), "rep")
     n_blocks = F.ceil(F.col("m") / block).cast("int")
     own = F.pmod(F.xxhash64("rep"), n_blocks).cast("int")
-    spread = open_.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1))).select("tok", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n", "component", "b", "bits")
+    spread = open_.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1))).select("tok", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n", "component", "bits")
     more = spread.groupBy(F.pmod(F.xxhash64("tok", "i", "j"), F.lit(4 * parts)).alias("task")).applyInArrow(_blocks(threshold), "x long, y long").distinct()
+    more = more.join(side("x"), "x").join(side("y"), "y").mapInArrow(_filter(threshold), "x long, y long")
     rest = Table(verified(more))
     final = connected_components(rest.df.unionByName(first.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
