@@ -83,7 +83,8 @@ def search_layers(layers: DataFrame, proxy: Column, query: Sequence[float], k: i
     return search(indexed.select("vec_id", "embedding").unionByName(fresh.select("vec_id", "embedding")), query, k)
 
 
-def _blocks(queries: DataFrame, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def blocks(queries: DataFrame, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, matrix) of queries (query_id, embedding), one block on the driver at a time."""
     ids, rows = [], []
     for r in queries.select("query_id", "embedding").toLocalIterator():
         ids.append(r.query_id)
@@ -122,7 +123,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK
     """(query_id, vec_id, score, rank): the k nearest vectors of every query (query_id, embedding). All vectors have one length."""
     sc, parts = vectors.sparkSession.sparkContext, []
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id is not null and embedding is not null")
-    for ids, matrix in _blocks(queries, block):
+    for ids, matrix in blocks(queries, block):
         parts.append(rows.mapInArrow(_nearest(sc.broadcast((ids, _unit(matrix))), max(1, k)), "query_id long, vec_id long, score double"))
     if not parts or k < 1:
         return vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank long")

@@ -108,3 +108,29 @@ def consolidate_from(base: DataFrame, log: DataFrame, upto: int) -> DataFrame:
 def delete_patch(base: DataFrame, dead: DataFrame) -> DataFrame:
     """Base rows that are neither dead nor shadowed."""
     return base.join(dead.select("vec_id").distinct(), "vec_id", "left_anti")
+
+
+def merge_runs(runs: DataFrame) -> DataFrame:
+    """Runs of a log folded into one: the newest row of each id, tombstones included, because an older base may still hold the id."""
+    return newest(runs, ["vec_id"])
+
+
+def snapshot(log: DataFrame) -> DataFrame:
+    """(key, seq, op, n): the newest SET or DEL of each key, with tombstones, as a point to resume from."""
+    return newest(log.where("op in ('SET', 'DEL')"), ["key"]).select("key", "seq", "op", "n")
+
+
+def resume(taken: DataFrame, log: DataFrame, upto: int) -> DataFrame:
+    """The state of a log from a snapshot taken at ``upto`` and the rows since; only those are read of a log that is ordered by seq."""
+    later = log.where((F.col("seq") > upto) & F.col("op").isin("SET", "DEL")).select("key", "seq", "op", "n")
+    return kv_state(taken.unionByName(later))
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """``df`` computed now and kept in the shared folder (spark.checkpoint.dir; where it is unset, as in tests, a folder of this machine)."""
+    import tempfile
+
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="arcavec-"))
+    return df.checkpoint()

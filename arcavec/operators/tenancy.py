@@ -32,6 +32,11 @@ def unscoped(name: Column) -> Column:
     return F.regexp_replace(name, "^.*?::", "")
 
 
+def resolve(*sources: Column) -> Column:
+    """The tenant by the first source that knows one: login, request, connection; else the unscoped tenant."""
+    return F.coalesce(*sources, F.lit(""))
+
+
 def valid_name(name: str) -> bool:
     """1 to 255 letters, digits, dots, dashes and underscores, without two dots in a row."""
     return 0 < len(name) < 256 and all(c.isascii() and (c.isalnum() or c in "._-") for c in name) and ".." not in name

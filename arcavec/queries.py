@@ -222,8 +222,7 @@ def q29_controller(spark, sf_dir):
 
 def q30_graph_search(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    first = v.orderBy("vec_id").limit(16).collect()  # a block of queries
-    return graph.search(v, np.array([r.embedding for r in first]), np.array([r.vec_id for r in first]), K)
+    return graph.search(v, graph.edges(v), v.select(F.col("vec_id").alias("query_id"), "embedding"), K)
 
 
 def q31_degree(spark, sf_dir):
@@ -355,6 +354,27 @@ def q50_batch_gate(spark, sf_dir):
     return state.whole_batches(sized).select("batch_id", "turn")
 
 
+def q51_snapshot_resume(spark, sf_dir):
+    log = _log(spark, sf_dir)
+    half = 500
+    return state.resume(state.snapshot(log.where(F.col("seq") <= half)), log, half).select("key", "seq", "n")
+
+
+def q52_merge_runs(spark, sf_dir):
+    log = tables.vectors_log(_vectors(spark, sf_dir))
+    merged = state.merge_runs(log.where("seq >= 1000000"))
+    return merged.select("vec_id", "seq", "op")
+
+
+def q53_tenant_keys(spark, sf_dir):
+    """Keys and bytes by tenant: the scoped key names the tenant, events without one are unscoped."""
+    now = state.kv_state(_log(spark, sf_dir))
+    number = F.substring("key", 2, 20).cast("long")
+    tenant = tenancy.resolve(F.when(number % 4 == 0, F.lit("north")), F.when(number % 4 == 1, F.lit("south")))
+    rows = now.select(tenant.alias("tenant"), tenancy.scoped(tenant, F.col("key")).alias("key"), F.col("n").cast("string").alias("value"))
+    return rows.groupBy("tenant").agg(F.count("*").alias("keys"), F.sum(tenancy.record_bytes(F.col("key"), F.col("value"))).alias("bytes"))
+
+
 def queries() -> dict[str, Query]:
     out = {name: f for name, f in globals().items() if name[0] == "q" and name[1:3].isdigit() and callable(f)}
     out |= {name: _filter_query(text) for name, (text, _) in FILTERS.items()}
@@ -461,5 +481,9 @@ def oracle_sql() -> dict[str, str]:
             b AS (SELECT op, CASE WHEN us <= 0 THEN 0 ELSE least(25, CAST(floor(log2(us)) AS INTEGER) + 1) END AS b, count(*) AS c FROM v GROUP BY ALL),
             r AS (SELECT op, b, sum(c) OVER (PARTITION BY op ORDER BY b) AS upto, sum(c) OVER (PARTITION BY op) AS n, CASE WHEN b = 0 THEN 0 WHEN b = 25 THEN 16777216 ELSE CAST(floor((pow(2, b - 1) + pow(2, b)) / 2) AS BIGINT) END AS mid FROM b)
             SELECT op, CAST(max(n) AS BIGINT) AS n, CAST(arg_min(mid, b) FILTER (upto >= ceil(n * 0.5)) AS BIGINT) AS p50, CAST(arg_min(mid, b) FILTER (upto >= ceil(n * 0.99)) AS BIGINT) AS p99 FROM r GROUP BY op""",
+        "q51_snapshot_resume": f"WITH {_KV} SELECT key, seq, n FROM st",
+        "q52_merge_runs": f"WITH {_VL} SELECT vec_id, seq, op FROM vl WHERE seq >= 1000000 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY seq DESC) = 1",
+        "q53_tenant_keys": f"""WITH {_KV}, t AS (SELECT CASE CAST(substring(key, 2, 20) AS BIGINT) % 4 WHEN 0 THEN 'north' WHEN 1 THEN 'south' ELSE '' END AS tenant, key, CAST(n AS VARCHAR) AS v FROM st)
+            SELECT tenant, count(*) AS keys, CAST(sum((21 + 127 + strlen(tenant) + 2 + strlen(key) + strlen(v)) // 128 * 128) AS BIGINT) AS bytes FROM t GROUP BY tenant""",
         "q50_batch_gate": "WITH c AS (SELECT conv_id, turn, max(turn) OVER (PARTITION BY conv_id) + 1 AS n FROM conversations), k AS (SELECT * FROM c WHERE conv_id % 5 <> 0 OR turn % 2 = 0) SELECT conv_id AS batch_id, turn FROM k QUALIFY count(*) OVER (PARTITION BY conv_id) >= n",
     }

@@ -108,11 +108,18 @@ def test_estimate_is_exact_inside_and_proportional_across(spark):
 def test_graph_recall(spark, corpus):
     df, rows, queries = corpus
     found = {}
-    for r in graph.search(df, queries, np.arange(len(queries)), 10, shard_rows=800).orderBy("query_id", "rank").collect():
+    q = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(queries)], "query_id long, embedding array<double>")
+    edges = graph.edges(df, 800)
+    for r in graph.search(df, edges, q, 10, shard_rows=800, block=15).orderBy("query_id", "rank").collect():
         found.setdefault(r.query_id, []).append(r.vec_id)
     assert recall([found[i] for i in range(len(queries))], [exact(rows, q, 10) for q in queries]) >= 0.95
 
 
+def test_levels_of_a_graph(spark):
+    edges = spark.createDataFrame([(0, 1), (0, 2), (1, 3), (2, 3), (3, 0), (3, 4), (9, 0)], "src long, dst long")
+    assert {(r.node, r.level) for r in graph.levels(edges, 0).collect()} == {(0, 0), (1, 1), (2, 1), (3, 2), (4, 3)}
+
+
 def test_every_node_of_a_graph_is_reached():
     rows = quantize.unit(np.random.default_rng(2).normal(size=(300, 16)))
     edges, start = graph.build(rows, degree=8, size=24)
