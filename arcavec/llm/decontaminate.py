@@ -218,7 +218,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def without_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` with the words of benchmark windows cut out of their text; a row that is left without a word goes. Rows without hits stay as they are."""
     both = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text)).alias("_row"), F.col(text).cast("string").alias("_text"), F.lit(None).cast("array<long>").alias("_b0"), F.lit(None).cast("array<long>").alias("_b1"))
-    for block in blocks(benchmark, block_words):
-        both = both.mapInArrow(_mark(Windows(block, width)), both.schema)
-    done = both.mapInArrow(_cut, both.select("_row", "_text").schema)
+    parts = [_mark(Windows(block, width)) for block in blocks(benchmark, block_words)]
+    for mark in parts[:-1]:
+        both = both.mapInArrow(mark, both.schema)
+    last = parts[-1]
+    done = both.mapInArrow(lambda batches: _cut(last(batches)), both.select("_row", "_text").schema)
     return done.select(*(F.col("_text").alias(text) if c == text else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))

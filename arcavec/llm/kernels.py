@@ -7,16 +7,18 @@ memory follows the chunk (or its longest single row), not the partition.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 #: A-Z to a-z, other bytes as they are.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -56,6 +58,14 @@ def text_chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int
     data, offsets = text_buffer(column)
     for lo, hi in chunks(offsets, size):
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+    release()
+
+
+def release() -> None:
+    """Gives freed memory back to the system: Python workers live on after their tasks, beside each other."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def row_of(offsets: np.ndarray, n: int) -> np.ndarray:
