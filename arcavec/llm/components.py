@@ -42,14 +42,14 @@ def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of ``edges`` (a long, b long); the component is its least node. Edges with a null or to themselves count for nothing."""
-    rest = Table(edges.where("a <> b").select("a", "b").mapInArrow(_thin, "a long, b long"))
+    rest = Table(edges.where("a <> b").select("a", "b").mapInArrow(_thin, "a long, b long"), release=False)
     maps: list[Table] = []
     while not rest.df.isEmpty():
         both = rest.df.unionByName(rest.df.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hooked = Table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("p")))
+        hooked = Table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("p")), release=False)
         while True:
             up = hooked.df.select(F.col("node").alias("_n"), F.col("p").alias("_p"))
-            jumped = Table(hooked.df.join(up, hooked.df.p == up._n).select("node", F.col("_p").alias("p"), (F.col("_p") != F.col("p")).alias("moved")))
+            jumped = Table(hooked.df.join(up, hooked.df.p == up._n).select("node", F.col("_p").alias("p"), (F.col("_p") != F.col("p")).alias("moved")), release=False)
             done = jumped.df.where("moved").isEmpty()
             hooked.drop()
             hooked = jumped
@@ -59,7 +59,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         root = hooked.df.select("node", "p")
         ra, rb = root.toDF("a", "ra"), root.toDF("b", "rb")
         shorter = rest.df.join(ra, "a").join(rb, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-        last, rest = rest, Table(shorter.mapInArrow(_thin, "a long, b long"))
+        last, rest = rest, Table(shorter.mapInArrow(_thin, "a long, b long"), release=False)
         last.drop()
     rest.drop()
     if not maps:

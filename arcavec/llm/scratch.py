@@ -19,9 +19,9 @@ def folder(spark: SparkSession) -> str:
 
 
 class Table:
-    """A DataFrame written as Parquet, so that it is computed once and survives lost executors."""
+    """A DataFrame written as Parquet, so that it is computed once and survives lost executors. ``release`` is for writes that shuffled much."""
 
-    def __init__(self, df: DataFrame, buckets: int = 0, by: tuple[str, ...] = ()):
+    def __init__(self, df: DataFrame, buckets: int = 0, by: tuple[str, ...] = (), release: bool = True):
         self.spark, self.name = df.sparkSession, f"arcavec_{uuid.uuid4().hex}"
         self.path = f"{folder(self.spark)}/arcavec/{self.name}"
         if buckets:
@@ -32,7 +32,8 @@ class Table:
             self.df = self.spark.read.schema(df.schema).parquet(self.path)
             self.name = ""
         # what only this write needed is garbage now; a collection lets Spark's cleaner drop its shuffle files before the next step
-        self.spark._jvm.System.gc()
+        if release:
+            self.spark._jvm.System.gc()
 
     def drop(self) -> None:
         if self.name:
