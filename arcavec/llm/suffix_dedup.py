@@ -40,7 +40,6 @@ HOT = 512
 SHARD_BYTES = 2 << 20
 #: Starts of windows looked at at once; positions among them must fit 24 bits.
 PIECE = 4 << 20
-FLUSH = 400_000
 
 U64, I64, I32 = np.uint64, np.int64, np.int32
 
@@ -102,47 +101,17 @@ def _joined(table: pa.Table, column: str, kind) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_py() for c in table.column(column).chunks for x in c), kind)
 
 
-def _find_anchors(buckets: int, span: int, gram: int):
+def _find_anchors(span: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def out():
-            h, k1, k2, lo, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            return _deal((h % U64(buckets)).astype(np.int64), {"h": (h, U64), "k1": (k1, I64), "k2": (k2, I64), "lo": (lo, I64), "n": (n, I32)}, "b")
-
         for batch in batches:
             k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
             for lo, _, data, offsets in K.text_chunks(batch.column("text")):
                 h, row, start, n = anchors(data, offsets, span, gram)
-                if len(h):
-                    held.append((h, k1[lo + row], k2[lo + row], start, n))
-                    size += len(h)
-                if size > FLUSH:
-                    yield from out()
-                    held, size = [], 0
-        if held:
-            yield from out()
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(I64)), pa.array(k1[lo + row]), pa.array(k2[lo + row]), pa.array(start), pa.array(n.astype(I32))], names=["h", "k1", "k2", "lo", "n"])
 
     return run
 
 
-def _repeated(table: pa.Table) -> pa.Table:
-    """Anchors of a bucket that occur again, by text."""
-    h, k1, k2, lo, n = (_joined(table, c, t) for c, t in (("h", U64), ("k1", I64), ("k2", I64), ("lo", I64), ("n", I32)))
-    by = np.argsort(h)
-    edge = np.flatnonzero(np.append(True, h[by][1:] != h[by][:-1])) if len(h) else np.zeros(0, I64)
-    m = np.empty(len(h), np.int64)
-    m[by] = np.repeat(np.diff(np.append(edge, len(h))), np.diff(np.append(edge, len(h))))
-    keep = m > 1
-    h, k1, k2, lo, n, m = (x[keep] for x in (h, k1, k2, lo, n, m))
-    by = np.lexsort((k2, k1))
-    h, k1, k2, lo, n, m = (x[by] for x in (h, k1, k2, lo, n, m))
-    edge = np.flatnonzero(np.append(True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]))) if len(h) else np.zeros(0, I64)
-    cut = np.append(edge, len(h))
-    blobs = [pa.array([x[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()) for x in (h, lo, n.astype(I32), m)]
-    return pa.table([pa.array(k1[edge]), pa.array(k2[edge]), *blobs], names=["k1", "k2", "h", "lo", "n", "m"])
-
-
 def _contexts(shards: int, span: int, hot: int):
     """From texts with their repeated anchors to contexts by shard."""
 
@@ -177,9 +146,11 @@ def _contexts(shards: int, span: int, hot: int):
         for batch in batches:
             k1s, k2s, found = batch.column("k1").to_numpy(), batch.column("k2").to_numpy(), batch.column("found")
             data, offsets = K.text_buffer(batch.column("text"))
+            ends = found.offsets.to_numpy()
+            every = [found.values.field(c).to_numpy() for c in ("h", "lo", "n", "m")]
             for i in range(batch.num_rows):
-                parts = found[i].as_py()
-                h, lo, n, m = (np.frombuffer(b"".join(p[c] for p in parts), t) for c, t in (("h", U64), ("lo", I64), ("n", I32), ("m", I64)))
+                h, lo, n, m = (x[ends[i] : ends[i + 1]] for x in every)
+                h = h.view(U64)
                 text = data[offsets[i] : offsets[i + 1]]
                 size = n + np.int64(span - 1)
                 prefix = K.prefix_hash(text)
@@ -368,17 +339,18 @@ def find(docs: DataFrame, text: str = "text", span: int = SPAN, gram: int = GRAM
     texts = docs.select(*_keys(text), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     table = Table(texts, n, ("k1", "k2"))
     t = table.df
-    dealt = t.where(F.octet_length("text") >= span).select("k1", "k2", "text").mapInArrow(_find_anchors(n, span, gram), "b int, h binary, k1 binary, k2 binary, lo binary, n binary")
-    again = dealt.groupBy("b").applyInArrow(_repeated, "k1 long, k2 long, h binary, lo binary, n binary, m binary")
-    found = again.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "lo", "n", "m")).alias("found"))
+    places = Table(t.where(F.octet_length("text") >= span).select("k1", "k2", "text").mapInArrow(_find_anchors(span, gram), "h long, k1 long, k2 long, lo long, n int"), release=False)
+    # counts combine before the shuffle, and Spark can split the join where an anchor occurs very often
+    again = places.df.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
+    found = places.df.join(again, "h").groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "lo", "n", "m")).alias("found"))
     contexts = t.select("k1", "k2", "text").join(found.hint("shuffle_hash"), ["k1", "k2"]).mapInArrow(_contexts(n, span, hot), "shard int, " + ", ".join(f"{c} binary" for c in _CONTEXT_NAMES[1:]))
     shards = Table(contexts.groupBy("shard").applyInArrow(_shard(span, hot, n), _SPANS))
     merged = shards.df.where("kind >= 0").groupBy("kind").applyInArrow(_merge_published, _SPANS)
     spans = shards.df.where("kind < 0").unionByName(merged).groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     schema = "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, " + ("kept string" if keep_text else "starts array<long>, ends array<long>")
     done = Table(t.join(spans.hint("shuffle_hash"), ["k1", "k2"], "left").mapInArrow(_finish(span, keep_text), schema))
-    shards.drop()
-    table.drop()
+    for x in (shards, places, table):
+        x.drop()
     return done.df
 
 
