@@ -119,16 +119,25 @@ def fit_rows(feature: np.ndarray, row: np.ndarray, grade: np.ndarray, n_grades:
     theta = np.log(upto / (1 - upto))
     if not n:
         return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), theta, shapes)
-    have = np.bincount(feature, minlength=1 << FEATURE_BITS)
-    off = np.bincount(feature, (grade - grade.mean())[row], minlength=1 << FEATURE_BITS)
-    z = np.abs(off) / np.sqrt(np.maximum(have, 1)) / max(grade.std(), 1e-9)
-    z[(have < MIN_ROWS) | (have > n - MIN_ROWS)] = 0
-    chosen = np.flatnonzero(z >= MIN_Z)
-    chosen = np.sort(chosen[np.argsort(-z[chosen], kind="stable")[:MAX_FEATURES]])
-    number = np.full(1 << FEATURE_BITS, -1)
+    # in slices: the driver holds the pairs once and little else
+    slices = [slice(a, a + (1 << 19)) for a in range(0, len(feature), 1 << 19)]
+    have = np.zeros(1 << FEATURE_BITS, np.int32)
+    for s in slices:
+        np.add.at(have, feature[s], 1)
+    seen = np.flatnonzero((have >= MIN_ROWS) & (have <= n - MIN_ROWS))
+    number = np.full(1 << FEATURE_BITS, -1, np.int32)
+    number[seen] = np.arange(len(seen))
+    off, centred = np.zeros(len(seen)), grade - grade.mean()
+    for s in slices:
+        at = number[feature[s]]
+        np.add.at(off, at[at >= 0], centred[row[s]][at >= 0])
+    z = np.abs(off) / np.sqrt(np.maximum(have[seen], 1)) / max(grade.std(), 1e-9)
+    best = np.argsort(-z, kind="stable")[:MAX_FEATURES]
+    chosen = np.sort(seen[best[z[best] >= MIN_Z]])
+    number[:] = -1
     number[chosen] = np.arange(len(chosen))
-    col = number[feature]
-    row, col = row[col >= 0], col[col >= 0]
+    kept = [(row[s][number[feature[s]] >= 0], number[feature[s]][number[feature[s]] >= 0]) for s in slices]
+    row, col = (np.concatenate([x[i] for x in kept] or [np.zeros(0, np.int32)]) for i in (0, 1))
     penalty = MIN_Z * grade.std() * np.sqrt(have[chosen]) / n
     weight, _ = _descend(row, col, grade, len(chosen), theta, steps // 2, penalty, 0.0)
     active = np.abs(weight) > 1e-3
@@ -179,7 +188,10 @@ def fit(rows: DataFrame, n_grades: int, unlabelled: int, key: str = "doc_id", te
     lists = got.column("features").combine_chunks()
     lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks)
     counts = np.diff(lists.offsets.to_numpy())
-    return fit_rows(lists.flatten().to_numpy().astype(np.int64), np.repeat(np.arange(len(counts)), counts), got.column("grade").to_numpy(), n_grades, shapes)
+    model = fit_rows(lists.flatten().to_numpy(), np.repeat(np.arange(len(counts), dtype=np.int32), counts), got.column("grade").to_numpy(), n_grades, shapes)
+    del got, lists
+    K.release()
+    return model
 
 
 def grade_rows(rows: DataFrame, model: Model, text: str = "text") -> DataFrame:
