@@ -8,7 +8,7 @@ different hashes. The sketch only decides how few candidates there are, never wh
 
 1. Equal texts become one node, the least of their keys; nodes' texts go to a bucketed table.
 2. Sketch; then each node's size, prefixes under both orders and a parity bitmap of its set.
-3. Prefixes of the first order are dealt by shingle in binary blocks; shingles of one node only go.
+3. Of the shingles of the first order's prefixes those of one node only go.
 4. Chains: within a shingle's nodes, neighbours by first shingle of the second order and by size
    are candidates, as many as members. Those whose second prefixes share a shingle, and whose
    bitmaps don't rule them out, are verified on whole sets; their links give first components.
@@ -147,56 +147,13 @@ def _info(shared, shingle: int, threshold: int):
     return run
 
 
-def _entries(buckets: int):
-    """Prefix shingles of the first order, in binary blocks by bucket of the shingle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = K.text_buffer(batch.column("a"))
-            tok, count = data.view(U64) if len(data) else np.zeros(0, U64), np.diff(offsets) // 8
-            columns = [np.repeat(batch.column(c).to_numpy().astype(t), count) for c, t in (("rep", np.int64), ("n", np.uint32), ("lead", np.uint16))]
-            bucket = (tok % U64(buckets)).astype(np.int64)
-            by = np.argsort(bucket, kind="stable")
-            sizes = np.bincount(bucket) if len(bucket) else np.zeros(0, np.int64)
-            which = np.flatnonzero(sizes)
-            ends = np.cumsum(sizes[which])
-            arrays = [[x[by][i:j].tobytes() for i, j in zip(ends - sizes[which], ends, strict=True)] for x in (tok, *columns)]
-            yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), *(pa.array(x, pa.binary()) for x in arrays)], names=["bucket", "tok", "rep", "n", "lead"])
-
-    return run
-
-
-def _blobs(table: pa.Table, column: str, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(x.as_py() for c in table.column(column).chunks for x in c), kind)
-
-
-def _groups(table: pa.Table) -> pa.Table:
-    """Members of the shingles that two nodes or more have, in chain order; first marks a shingle's first member."""
-    tok, rep, n, lead = (_blobs(table, c, t) for c, t in (("tok", U64), ("rep", np.int64), ("n", np.uint32), ("lead", np.uint16)))
-    n = n.astype(np.int64)
-    by = np.lexsort((rep, n, lead, tok))
-    tok, rep, n = tok[by], rep[by], n[by]
-    new = np.ones(len(tok), bool)
-    new[1:] = (tok[1:] != tok[:-1]) | (rep[1:] != rep[:-1]) | (n[1:] != n[:-1])
-    tok, rep, n = tok[new], rep[new], n[new]
-    edge = np.flatnonzero(np.append(True, tok[1:] != tok[:-1])) if len(tok) else np.zeros(0, np.int64)
-    m = np.diff(np.append(edge, len(tok)))
-    keep = np.repeat(m > 1, m)
-    return pa.table({"tok": tok[keep].view(np.int64), "rep": rep[keep], "n": n[keep], "m": np.repeat(m, m)[keep]})
-
-
-def _chains(threshold: int):
-    """Candidates between neighbours of each shingle's members. Members of a shingle are consecutive rows, so a batch edge only drops a pair that the second pass sees."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tok, rep, n = (batch.column(c).to_numpy() for c in ("tok", "rep", "n"))
-            pair = (tok[1:] == tok[:-1]) & (rep[1:] != rep[:-1]) & (100 * np.minimum(n[1:], n[:-1]) >= threshold * np.maximum(n[1:], n[:-1]))
-            a, b = rep[:-1][pair], rep[1:][pair]
-            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["x", "y"])
-
-    return run
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of the first order's prefixes."""
+    for batch in batches:
+        data, offsets = K.text_buffer(batch.column("a"))
+        tok, count = data.view(np.int64) if len(data) else np.zeros(0, np.int64), np.diff(offsets) // 8
+        columns = [np.repeat(batch.column(c).to_numpy().astype(t), count) for c, t in (("rep", np.int64), ("n", np.int64), ("lead", np.int32))]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (tok, *columns)], names=["tok", "rep", "n", "lead"])
 
 
 def _near(bits_x: np.ndarray, bits_y: np.ndarray, n_x: np.ndarray, n_y: np.ndarray, threshold: int) -> np.ndarray:
@@ -295,8 +252,12 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     texts = Table(nodes.select("rep", "text"), parts, ("rep",))
     level = spark.sparkContext.broadcast(levels(texts.df, shingle))
     info = Table(texts.df.mapInArrow(_info(level, shingle, threshold), "rep long, n long, lead long, a binary, b binary, bits binary"))
-    entries = info.df.where("n > 0").select("rep", "n", "lead", "a").mapInArrow(_entries(parts), "bucket int, tok binary, rep binary, n binary, lead binary")
-    groups = Table(entries.groupBy("bucket").applyInArrow(_groups, "tok long, rep long, n long, m long"))
+    entries = Table(info.df.where("n > 0").select("rep", "n", "lead", "a").mapInArrow(_entries, "tok long, rep long, n long, lead int"), release=False)
+    # counts combine before the shuffle; they are written, so that both sides of the join are shuffles and Spark can split it where a shingle is in very many prefixes
+    often = Table(entries.df.groupBy("tok").agg(F.count("*").alias("m")).where("m > 1"), release=False)
+    groups = Table(entries.df.join(often.df, "tok"))
+    entries.drop()
+    often.drop()
 
     one = info.df.select("rep", "n", "b", "bits")
     side = lambda c: one.toDF(c, f"n_{c}", f"b_{c}", f"bits_{c}")
@@ -305,7 +266,10 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
         with_x = pairs.join(texts.df.toDF("x", "text"), "x").mapInArrow(_set_of(shingle), "x long, y long, set binary")
         return with_x.join(texts.df.toDF("y", "text"), "y").select("x", "y", "set", "text").mapInArrow(_verify(shingle, threshold), "a long, b long")
 
-    chained = groups.df.mapInArrow(_chains(threshold), "x long, y long").distinct()
+    in_chain = Window.partitionBy("tok").orderBy("lead", "n", "rep")
+    neighbours = groups.df.select("rep", "n", F.lag("rep").over(in_chain).alias("before"), F.lag("n").over(in_chain).alias("n_before"))
+    like = (F.col("rep") != F.col("before")) & (100 * F.least("n", "n_before") >= threshold * F.greatest("n", "n_before"))
+    chained = neighbours.where(like).select(F.least("rep", "before").alias("x"), F.greatest("rep", "before").alias("y")).distinct()
     chained = chained.join(side("x"), "x").join(side("y"), "y").mapInArrow(_filter(threshold), "x long, y long")
     links = Table(verified(chained))
     first = connected_components(links.df)
@@ -325,8 +289,10 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     final = connected_components(rest.df.unionByName(first.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
     sizes = info.df.select("rep", "n")
-    out = keys.join(reps.df, ["k1", "k2"]).join(sizes.groupBy("rep").agg(F.max("n").alias("n")), "rep", "left").join(final.withColumnRenamed("node", "rep"), "rep", "left")
+    # one row for each distinct text first; then rows meet it by text, in a join that Spark can split where a text has very many copies
+    by_text = Table(reps.df.join(sizes.groupBy("rep").agg(F.max("n").alias("n")), "rep", "left").join(final.withColumnRenamed("node", "rep"), "rep", "left"))
+    out = keys.join(by_text.df, ["k1", "k2"])
     out = Table(out.select(F.col("doc").alias(key), F.coalesce("n", F.lit(0)).alias("n_shingles"), F.when(F.col("doc").isNull(), None).when(F.coalesce("n", F.lit(0)) == 0, F.col("doc")).otherwise(F.coalesce("component", "rep")).alias("component_id")))
-    for t in (reps, texts, info, groups, links, rest):
+    for t in (reps, texts, info, groups, links, rest, by_text):
         t.drop()
     return out.df
