@@ -340,16 +340,16 @@ def find(docs: DataFrame, text: str = "text", span: int = SPAN, gram: int = GRAM
     table = Table(texts, n, ("k1", "k2"))
     t = table.df
     places = Table(t.where(F.octet_length("text") >= span).select("k1", "k2", "text").mapInArrow(_find_anchors(span, gram), "h long, k1 long, k2 long, lo long, n int"), release=False)
-    # counts combine before the shuffle, and Spark can split the join where an anchor occurs very often
-    again = places.df.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
-    found = places.df.join(again, "h").groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "lo", "n", "m")).alias("found"))
+    # counts combine before the shuffle; they are written, so that both sides of the join are shuffles and Spark can split it where an anchor occurs very often
+    again = Table(places.df.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), release=False)
+    found = places.df.join(again.df, "h").groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "lo", "n", "m")).alias("found"))
     contexts = t.select("k1", "k2", "text").join(found.hint("shuffle_hash"), ["k1", "k2"]).mapInArrow(_contexts(n, span, hot), "shard int, " + ", ".join(f"{c} binary" for c in _CONTEXT_NAMES[1:]))
     shards = Table(contexts.groupBy("shard").applyInArrow(_shard(span, hot, n), _SPANS))
     merged = shards.df.where("kind >= 0").groupBy("kind").applyInArrow(_merge_published, _SPANS)
     spans = shards.df.where("kind < 0").unionByName(merged).groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     schema = "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, " + ("kept string" if keep_text else "starts array<long>, ends array<long>")
     done = Table(t.join(spans.hint("shuffle_hash"), ["k1", "k2"], "left").mapInArrow(_finish(span, keep_text), schema))
-    for x in (shards, places, table):
+    for x in (shards, again, places, table):
         x.drop()
     return done.df
 
