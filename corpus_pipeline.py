@@ -13,6 +13,9 @@ from arcavec.llm import bpe, decontaminate, ngram_join, suffix_dedup, toxicity
 from arcavec.llm.queries import vocabulary
 from arcavec.llm.scratch import Table
 
+#: Near copies: Jaccard similarity in hundredths over shingles of so many words (op6 has its own contract).
+NEAR_SHINGLE, NEAR_THRESHOLD = 5, 80
+
 
 def _recounted(docs: DataFrame) -> DataFrame:
     """n_chars follows a text that was cut."""
@@ -26,8 +29,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least doc_id stays; rows without a doc_id stay."""
-    groups = ngram_join.join(docs)
+    """Of each group of documents that share four fifths of their five-word shingles the one with the least doc_id stays; rows without a doc_id stay."""
+    groups = ngram_join.join(docs, shingle=NEAR_SHINGLE, threshold=NEAR_THRESHOLD)
     kept = groups.where("doc_id = component_id").select("doc_id").distinct()
     one = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return one.unionByName(docs.where("doc_id is null"))

@@ -72,6 +72,16 @@ def test_stages_keep_columns_and_take_odd_tables(spark, folder):
         assert P.STAGES[-1][1](spark, docs, folder).count() == docs.count()
 
 
+def test_near_copies_are_those_of_five_words_and_four_fifths(spark, folder):
+    words = [f"w{i}" for i in range(100)]
+    two = ["x" if i == 30 else "y" if i == 60 else w for i, w in enumerate(words)]  # 86 of 106 shingles of five words, 92 of 104 of three
+    three = ["z" if i == 80 else w for i, w in enumerate(two)]  # too far from the first, near the second
+    far = [f"q{i}" if i % 20 == 10 else w for i, w in enumerate(words)]
+    docs = spark.createDataFrame([(i, " ".join(w), "en", "s", 1) for i, w in enumerate((words, two, three, far))], COLUMNS)
+    assert sorted(r.doc_id for r in P.keep_one_of_near_copies(spark, docs, folder).collect()) == [0, 3]
+    assert sorted(r.doc_id for r in P.keep_one_of_near_copies(spark, docs.where("doc_id <> 1"), folder).collect()) == [0, 2, 3]
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_query_gives_the_rows_of_its_sql(spark, same_rows, name):
     same_rows(queries.queries()[name](spark, str(DATA / "sf0.001")), queries.ORACLE[name])
