@@ -11,8 +11,8 @@
    Larsson-Sadakane refinement, takes the common prefixes by Kasai's bound, and finds the windows
    that share ``SPAN`` bytes with a neighbour.
 4. The contexts of an anchor that occurs more than ``HOT`` times are dealt over several shards. Such
-   a shard also publishes its distinct windows; published lists are merged by binary search, which
-   finds windows that no single shard has twice.
+   a shard also publishes the distinct windows of each of its parts (homes); published lists are merged
+   by binary search, which finds windows that no single home has twice.
 5. Spans come back to their texts, and rows to the result of their text.
 
 Defined cases: a null text is empty; texts shorter than ``SPAN`` bytes lose nothing; repeated rows
@@ -187,7 +187,7 @@ def shared_windows(raw: np.ndarray, begin: np.ndarray, size: np.ndarray, span: i
     return flags
 
 
-def _shard(span: int, hot: int, buckets: int):
+def _shard(span: int, hot: int, buckets: int, shard_bytes: int = SHARD_BYTES):
     def run(table: pa.Table) -> pa.Table:
         rows = table.num_rows
         counts = [len(x.as_py()) // 8 for c in table.column("h").chunks for x in c]
@@ -214,7 +214,7 @@ def _shard(span: int, hot: int, buckets: int):
             last_of_group = np.append(group[todo][1:] != group[todo][:-1], True)
             stops, lo_i, base = np.flatnonzero(last_of_group) + 1, 0, 0
             while lo_i < len(todo):
-                fit = stops[(stops > lo_i) & (ends[stops - 1] - base <= SHARD_BYTES)]
+                fit = stops[(stops > lo_i) & (ends[stops - 1] - base <= shard_bytes)]
                 hi_i = int(fit[-1]) if len(fit) else int(stops[stops > lo_i][0])
                 c = todo[lo_i:hi_i]
                 text = raw[K.ragged(begin[c], size[c])]
@@ -251,7 +251,7 @@ def _by_text(k1, k2, a, b) -> pa.Table:
 
 
 def _publish(chosen, flags, flag_at, windows, home, raw, begin, size, of, k1, k2, lo, span, buckets) -> pa.Table:
-    """The distinct windows of hot contexts, by bucket of their hash. Those not found twice here name their place, for an answer."""
+    """The distinct windows of each home's hot contexts, by bucket of their hash. Those not found twice here name their place, for an answer."""
     text = raw[K.ragged(begin[chosen], size[chosen])]
     at = np.cumsum(size[chosen]) - size[chosen]
     hashes = K.window_hash(K.prefix_hash(text), span)[K.ragged(at, windows[chosen])]
@@ -261,10 +261,13 @@ def _publish(chosen, flags, flag_at, windows, home, raw, begin, size, of, k1, k2
     owner = np.zeros(len(size), np.int64)
     owner[of] = np.arange(len(of))  # an unknown window's context has one reference
     r = owner[chosen][context]
-    hashes, first = np.unique(K.mix(hashes), return_index=True)
-    known, r, offset = known[first], r[first], offset[first]
+    hashes, own = K.mix(hashes), home[chosen][context]
+    # two homes of an anchor can be in one shard; each has its own entry, as if they were in two
+    by = np.lexsort((own, hashes))
+    first = by[np.append(True, (hashes[by][1:] != hashes[by][:-1]) | (own[by][1:] != own[by][:-1]))]
+    hashes, known, r, offset = hashes[first], known[first], r[first], offset[first]
     place = np.where(known, -1, lo[r] + offset)
-    parts = list(_deal((hashes % U64(buckets)).astype(np.int64), {"a": (np.concatenate([hashes]), U64), "k1": (k1[r], I64), "k2": (k2[r], I64), "p": (place, I64)}, "kind"))
+    parts = list(_deal((hashes % U64(buckets)).astype(np.int64), {"a": (hashes, U64), "k1": (k1[r], I64), "k2": (k2[r], I64), "p": (place, I64)}, "kind"))
     rows = []
     for x in parts[0].to_pylist():
         rows.append((x["kind"], 0, 0, x["a"], x["k1"] + x["k2"] + x["p"]))
@@ -273,7 +276,7 @@ def _publish(chosen, flags, flag_at, windows, home, raw, begin, size, of, k1, k2
 
 
 def _merge_published(table: pa.Table) -> pa.Table:
-    """Windows that several shards published, by binary search in the merged list; each shard publishes a window once."""
+    """Windows that several homes published, by binary search in the merged list; each home publishes a window once."""
     h = _joined(table, "a", U64)
     k1, k2, place = [], [], []
     for c in table.column("b").chunks:
@@ -332,7 +335,7 @@ def _keys(text: str):
     return F.xxhash64(t).alias("k1"), F.xxhash64(F.lit(0x5EED), t).alias("k2")
 
 
-def find(docs: DataFrame, text: str = "text", span: int = SPAN, gram: int = GRAM, hot: int = HOT, keep_text: bool = False) -> DataFrame:
+def find(docs: DataFrame, text: str = "text", span: int = SPAN, gram: int = GRAM, hot: int = HOT, keep_text: bool = False, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """The distinct texts by (k1, k2) with n_bytes, n_removed, n_spans, kept_sha256, and starts and ends of what goes or, with ``keep_text``, kept: the rest as text, null where nothing goes; a codepoint that a cut splits goes whole."""
     spark = docs.sparkSession
     n = partitions(spark)
@@ -344,7 +347,7 @@ def find(docs: DataFrame, text: str = "text", span: int = SPAN, gram: int = GRAM
     again = Table(places.df.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), release=False)
     found = places.df.join(again.df, "h").groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "lo", "n", "m")).alias("found"))
     contexts = t.select("k1", "k2", "text").join(found.hint("shuffle_hash"), ["k1", "k2"]).mapInArrow(_contexts(n, span, hot), "shard int, " + ", ".join(f"{c} binary" for c in _CONTEXT_NAMES[1:]))
-    shards = Table(contexts.groupBy("shard").applyInArrow(_shard(span, hot, n), _SPANS))
+    shards = Table(contexts.groupBy("shard").applyInArrow(_shard(span, hot, n, shard_bytes), _SPANS))
     merged = shards.df.where("kind >= 0").groupBy("kind").applyInArrow(_merge_published, _SPANS)
     spans = shards.df.where("kind < 0").unionByName(merged).groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     schema = "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, " + ("kept string" if keep_text else "starts array<long>, ends array<long>")

@@ -58,6 +58,27 @@ def test_repeats_equal_brute_force(spark, hot):
     assert suffix_dedup.dedup(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("parts", ["1", "3"])
+def test_homes_of_a_hot_anchor_that_meet_in_one_shard(spark, parts):
+    rnd = random.Random(8)
+    rand = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    many = rand(200_000)
+    least = int(np.argmin(K.window_hash(K.prefix_hash(np.frombuffer(many.encode(), np.uint8)), 20)))
+    core = many[least : least + 20]  # the anchor of all windows that hold it
+    pairs = [rand(15) + core + rand(15) for _ in range(30)]  # each stands in two texts
+    texts = [rand(30) + p + rand(30) for p in pairs for _ in range(2)] + [rand(30) + core + rand(30) for _ in range(5)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        # hot anchors are dealt to many homes, and no two homes share a suffix array
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(docs_of(spark, texts), span=40, gram=20, hot=6, shard_bytes=1).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    wanted = repeats(texts, 40)
+    assert sum(w[1] > 0 for w in wanted) == 60
+    assert [got[i] for i in range(len(texts))] == [w[:4] for w in wanted]
+
+
 def test_spans_name_the_bytes_that_go(spark):
     a = "0123456789" * 5
     got = suffix_dedup.dedup(docs_of(spark, ["left " + a[:50] + " right", "other " + a[:50]]), span=50, gram=25).orderBy("doc_id").collect()
