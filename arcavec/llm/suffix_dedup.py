@@ -13,10 +13,15 @@
 4. The contexts of an anchor that occurs more than ``HOT`` times are dealt over several shards. Such
    a shard also publishes the distinct windows of each of its parts (homes); published lists are merged
    by binary search, which finds windows that no single home has twice.
-5. Spans come back to their texts, and rows to the result of their text.
-
-Defined cases: a null text is empty; texts shorter than ``SPAN`` bytes lose nothing; repeated rows
-are copies of each other; keys may repeat or be null, as rows are told apart by their text only.
+5. With ``words``, every run of so many words (between ASCII white space, which itself isn't compared)
+   that another document holds too goes as well, however few bytes it has. Anchors are the least of
+   the hashes of half as many words; of the windows of anchors that several documents hold, those that
+   several documents hold are found by hash.
+6. Spans come back to their texts, and rows to the result of their text.
+
+Defined cases: a null text is empty; texts shorter than ``SPAN`` bytes lose nothing (but runs of
+``words``); repeated rows are copies of each other; keys may repeat or be null, as rows are told apart
+by their text only.
 """
 
 from __future__ import annotations
@@ -42,6 +47,8 @@ SHARD_BYTES = 2 << 20
 PIECE = 4 << 20
 
 U64, I64, I32 = np.uint64, np.int64, np.int32
+_WORD = np.ones(256, bool)
+_WORD[[9, 10, 11, 12, 13, 32]] = False
 
 
 def sliding_min(key: np.ndarray, width: int) -> np.ndarray:
@@ -292,6 +299,77 @@ def _merge_published(table: pa.Table) -> pa.Table:
     return _by_text(k1[keep], k2[keep], place[keep], place[keep] + 1)
 
 
+def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, starts, ends, row offsets in words) of all words."""
+    starts, ends, rows = K.words(data, offsets, _WORD)
+    return K.slice_hash(K.prefix_hash(data), starts, ends), starts, ends, rows
+
+
+def _find_word_anchors(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k1, k2, copies = (batch.column(c).to_numpy() for c in ("k1", "k2", "copies"))
+            for lo, _, data, offsets in K.text_chunks(batch.column("text")):
+                h, _, _, rows = _word_hashes(data, offsets)
+                a, row, start, n = anchors(h, rows, words, max(1, words // 2))
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(I64)), pa.array(k1[lo + row]), pa.array(k2[lo + row]), pa.array(copies[lo + row]), pa.array(start), pa.array(n)], names=["h", "k1", "k2", "copies", "lo", "n"])
+
+    return run
+
+
+def _word_windows(words: int):
+    """The windows of each text that its anchors in ``found`` own, by hash, with their bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k1, k2, copies = (batch.column(c).to_numpy() for c in ("k1", "k2", "copies"))
+            found = batch.column("found")
+            ends, first, count = found.offsets.to_numpy(), *(found.values.field(c).to_numpy() for c in ("lo", "n"))
+            for lo, hi, data, offsets in K.text_chunks(batch.column("text")):
+                h, starts, stops, rows = _word_hashes(data, offsets)
+                own = slice(ends[lo], ends[hi])
+                row = np.repeat(np.arange(hi - lo), np.diff(ends[lo : hi + 1]))
+                at, row = K.ragged(rows[row] + first[own], count[own]), np.repeat(row, count[own])
+                w = K.window_hash(K.prefix_hash(h), words)[at] if len(at) else np.zeros(0, U64)
+                columns = (w.view(I64), k1[lo + row], k2[lo + row], copies[lo + row], starts[at] - offsets[row], stops[at + words - 1] - offsets[row])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["w", "k1", "k2", "copies", "a", "b"])
+
+    return run
+
+
+def _word_spans(span: int):
+    """Gathered windows as rows of ``_SPANS``, whose b is the end of the starts of ``span`` bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cut = batch.column("found").offsets.to_numpy()
+            a, b = (batch.column("found").values.field(c).to_numpy() - less for c, less in (("a", 0), ("b", span - 1)))
+            blobs = [pa.array([x[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary()) for x in (a, b)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, -1, np.int32)), batch.column("k1"), batch.column("k2"), *blobs], names=["kind", "k1", "k2", "a", "b"])
+
+    return run
+
+
+def _word_runs(t: DataFrame, words: int, span: int) -> tuple[DataFrame, list[Table]]:
+    """The windows of ``words`` words that several documents hold, as ``_SPANS``, and the tables to drop after use."""
+
+    def shared(places: Table, key: str) -> Table:
+        # counts are written for the same reason as those of byte anchors
+        edges = [f(c).alias(f"{n}_{c}") for c in ("k1", "k2") for n, f in (("min", F.min), ("max", F.max))]
+        return Table(places.df.groupBy(key).agg(*edges, F.max("copies").alias("copies")).where("copies > 1 or min_k1 <> max_k1 or min_k2 <> max_k2").select(key), release=False)
+
+    long_enough = t.where(F.octet_length("text") >= 2 * words - 1)
+    places = Table(long_enough.select("k1", "k2", "copies", "text").mapInArrow(_find_word_anchors(words), "h long, k1 long, k2 long, copies long, lo long, n long"), release=False)
+    again = shared(places, "h")
+    found = places.df.join(again.df, "h").groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "n")).alias("found"))
+    windows = Table(t.select("k1", "k2", "copies", "text").join(found.hint("shuffle_hash"), ["k1", "k2"]).mapInArrow(_word_windows(words), "w long, k1 long, k2 long, copies long, a long, b long"))
+    places.drop()
+    again.drop()
+    several = shared(windows, "w")
+    gathered = windows.df.join(several.df, "w").groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("found"))
+    return gathered.mapInArrow(_word_spans(span), _SPANS), [windows, several]
+
+
 def _finish(span: int, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -335,7 +413,7 @@ def _keys(text: str):
     return F.xxhash64(t).alias("k1"), F.xxhash64(F.lit(0x5EED), t).alias("k2")
 
 
-def find(docs: DataFrame, text: str = "text", span: int = SPAN, gram: int = GRAM, hot: int = HOT, keep_text: bool = False, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def find(docs: DataFrame, text: str = "text", span: int = SPAN, gram: int = GRAM, hot: int = HOT, keep_text: bool = False, shard_bytes: int = SHARD_BYTES, words: int = 0) -> DataFrame:
     """The distinct texts by (k1, k2) with n_bytes, n_removed, n_spans, kept_sha256, and starts and ends of what goes or, with ``keep_text``, kept: the rest as text, null where nothing goes; a codepoint that a cut splits goes whole."""
     spark = docs.sparkSession
     n = partitions(spark)
@@ -349,10 +427,16 @@ def find(docs: DataFrame, text: str = "text", span: int = SPAN, gram: int = GRAM
     contexts = t.select("k1", "k2", "text").join(found.hint("shuffle_hash"), ["k1", "k2"]).mapInArrow(_contexts(n, span, hot), "shard int, " + ", ".join(f"{c} binary" for c in _CONTEXT_NAMES[1:]))
     shards = Table(contexts.groupBy("shard").applyInArrow(_shard(span, hot, n, shard_bytes), _SPANS))
     merged = shards.df.where("kind >= 0").groupBy("kind").applyInArrow(_merge_published, _SPANS)
-    spans = shards.df.where("kind < 0").unionByName(merged).groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    places.drop()
+    again.drop()
+    every, used = shards.df.where("kind < 0").unionByName(merged), []
+    if words:
+        runs, used = _word_runs(t, words, span)
+        every = every.unionByName(runs)
+    spans = every.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     schema = "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, " + ("kept string" if keep_text else "starts array<long>, ends array<long>")
     done = Table(t.join(spans.hint("shuffle_hash"), ["k1", "k2"], "left").mapInArrow(_finish(span, keep_text), schema))
-    for x in (shards, again, places, table):
+    for x in (shards, *used, table):
         x.drop()
     return done.df
 

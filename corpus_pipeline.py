@@ -15,6 +15,8 @@ from arcavec.llm.scratch import Table
 
 #: Near copies: Jaccard similarity in hundredths over shingles of so many words (op6 has its own contract).
 NEAR_SHINGLE, NEAR_THRESHOLD = 5, 80
+#: Passages of over 50 words that repeat across documents go, however short their words are.
+PASSAGE_WORDS = 51
 
 
 def _recounted(docs: DataFrame) -> DataFrame:
@@ -37,8 +39,8 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes and more that occur again are cut; a document that is nothing else goes."""
-    return _recounted(suffix_dedup.strip_repeats(docs))
+    """Strings of 400 bytes and more that occur again, and runs of over 50 words that another document holds, are cut; a document that is nothing else goes."""
+    return _recounted(suffix_dedup.strip_repeats(docs, words=PASSAGE_WORDS))
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -82,6 +82,17 @@ def test_near_copies_are_those_of_five_words_and_four_fifths(spark, folder):
     assert sorted(r.doc_id for r in P.keep_one_of_near_copies(spark, docs.where("doc_id <> 1"), folder).collect()) == [0, 2, 3]
 
 
+def test_passages_of_over_50_words_are_cut_from_both_documents(spark, folder):
+    short = [f"{a}{b}" for a in "abcdefgh" for b in "ijklmnop"]
+    over, fifty, own = short[:51], short[10:60][::-1], short[5:60][::2] * 2
+    texts = ["one " + " ".join(over) + " two", "three\t" + "\n".join(over) + "\tfour", "five " + " ".join(fifty) + " six", "seven " + " ".join(fifty) + " eight", " ".join(own) + " nine " + " ".join(own), None]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], COLUMNS)
+    got = {r.doc_id: (r.text, r.n_chars) for r in P.cut_repeats(spark, docs, folder).collect()}
+    wanted = ["one  two", "three\t\tfour", *texts[2:]]
+    assert {i: t for i, (t, _) in got.items()} == dict(enumerate(wanted))
+    assert (got[0][1], got[1][1]) == (8, 11)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_query_gives_the_rows_of_its_sql(spark, same_rows, name):
     same_rows(queries.queries()[name](spark, str(DATA / "sf0.001")), queries.ORACLE[name])

@@ -79,6 +79,38 @@ def test_homes_of_a_hot_anchor_that_meet_in_one_shard(spark, parts):
     assert [got[i] for i in range(len(texts))] == [w[:4] for w in wanted]
 
 
+def test_runs_of_words_that_several_documents_hold(spark):
+    rnd = random.Random(11)
+    vocab = ["a", "b", "é", "w1", "long" * 30]
+    rand = lambda n: [rnd.choice(vocab) for _ in range(n)]
+    common = rand(12)
+    lists = [rand(rnd.randint(0, 30)) for _ in range(60)] + [rand(5) + common + rand(5) for _ in range(20)]
+    texts = ["".join(w + rnd.choice((" ", "\n", "\t ")) for w in x) for x in lists]
+    texts += [texts[3], texts[3], "", None, "a " * 40]
+    holders, words = {}, [(t or "").split() for t in texts]
+    for i, w in enumerate(words):
+        for k in range(len(w) - 6):
+            holders.setdefault(tuple(w[k : k + 7]), set()).add(i)
+    wanted = {}
+    for i, (t, w) in enumerate(zip(texts, words, strict=True)):
+        at, places = 0, []
+        for x in w:
+            at = t.index(x, at)
+            places.append((at, at := at + len(x)))
+        cut = set()
+        for k in range(len(w) - 6):
+            if len(holders[tuple(w[k : k + 7])]) > 1:
+                cut |= set(range(places[k][0], places[k + 6][1]))
+        kept = "".join(c for j, c in enumerate(t or "") if j not in cut)
+        if kept or not cut:
+            wanted[i] = kept if cut else t
+    docs = docs_of(spark, texts)
+    assert sum(wanted.get(i) != t for i, t in enumerate(texts)) > 20
+    got = {r.doc_id: r.text for r in suffix_dedup.strip_repeats(docs, span=100_000, gram=200, words=7).collect()}
+    assert got == wanted
+    assert suffix_dedup.strip_repeats(docs.limit(0), words=7).count() == 0
+
+
 def test_spans_name_the_bytes_that_go(spark):
     a = "0123456789" * 5
     got = suffix_dedup.dedup(docs_of(spark, ["left " + a[:50] + " right", "other " + a[:50]]), span=50, gram=25).orderBy("doc_id").collect()
