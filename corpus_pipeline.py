@@ -31,10 +31,12 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that share four fifths of their five-word shingles the one with the least doc_id stays; rows without a doc_id stay."""
+    """Of each group of documents that share four fifths of their five-word shingles the one with the least doc_id stays; rows without a doc_id stay. Of rows that share a doc_id, which link as one document, each different text stays once; all go where any of them links to a lesser doc_id."""
     groups = ngram_join.join(docs, shingle=NEAR_SHINGLE, threshold=NEAR_THRESHOLD)
     kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    one = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
+    # by two hashes, as texts can be long
+    one = one.withColumns({"_h1": F.xxhash64("text"), "_h2": F.xxhash64(F.lit(0x5EED), "text")}).dropDuplicates(["doc_id", "_h1", "_h2"]).drop("_h1", "_h2")
     return one.unionByName(docs.where("doc_id is null"))
 
 

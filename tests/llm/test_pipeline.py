@@ -82,6 +82,12 @@ def test_near_copies_are_those_of_five_words_and_four_fifths(spark, folder):
     assert sorted(r.doc_id for r in P.keep_one_of_near_copies(spark, docs.where("doc_id <> 1"), folder).collect()) == [0, 2, 3]
 
 
+def test_different_texts_of_one_doc_id_stay(spark, folder):
+    rows = [(7, "some words", "en", "s", 1), (7, "other text here", "en", "s", 1), (7, "some words", "en", "s", 1), (8, "some words", "en", "s", 1)]
+    kept = P.keep_one_of_near_copies(spark, spark.createDataFrame(rows, COLUMNS), folder)
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(7, "other text here"), (7, "some words")]
+
+
 def test_passages_of_over_50_words_are_cut_from_both_documents(spark, folder):
     short = [f"{a}{b}" for a in "abcdefgh" for b in "ijklmnop"]
     over, fifty, own = short[:51], short[10:60][::-1], short[5:60][::2] * 2
