@@ -171,7 +171,7 @@ def spans_of(flags: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     """Flags of the positions in 0..n inside any of the ranges."""
-    edge = np.zeros(n + 1, np.int64)
+    edge = np.zeros(n + 1, np.int32)
     np.add.at(edge, starts, 1)
     np.add.at(edge, ends, -1)
-    return np.cumsum(edge[:-1]) > 0
+    return np.cumsum(edge[:-1], dtype=np.int32) > 0

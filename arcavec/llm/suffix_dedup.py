@@ -5,18 +5,20 @@
 2. Of the strings of ``GRAM`` bytes within each window of ``SPAN`` bytes the one with the least
    hash is the window's anchor. Equal windows have equal anchors at equal places, so a window whose
    anchor occurs once is unique; that rules out most of the corpus at one anchor in about a hundred
-   bytes. Each anchor owns a run of consecutive windows, and each window has one owner.
+   bytes. Each anchor owns a run of consecutive windows, and each window has one owner. A stretch of
+   period p, such as a run of blanks, is one run of windows that all repeat within it; only its first
+   p windows travel, so it costs no more than any other text.
 3. The windows of anchors that occur again, with their bytes (a context), go to the shard of their
-   anchor; equal contexts travel and count once. A shard sorts the suffixes of its contexts by
+   anchor; contexts of equal bytes travel and count once. A shard sorts the suffixes of its contexts by
    Larsson-Sadakane refinement, takes the common prefixes by Kasai's bound, and finds the windows
    that share ``SPAN`` bytes with a neighbour.
 4. The contexts of an anchor that occurs more than ``HOT`` times are dealt over several shards. Such
-   a shard also publishes the distinct windows of each of its parts (homes); published lists are merged
-   by binary search, which finds windows that no single home has twice.
+   a shard also publishes the distinct windows of each of its parts (homes) by two independent 64-bit
+   hashes; published lists are merged by binary search, which finds windows that no single home has twice.
 5. With ``words``, every run of so many words (between ASCII white space, which itself isn't compared)
    that another document holds too goes as well, however few bytes it has. Anchors are the least of
    the hashes of half as many words; of the windows of anchors that several documents hold, those that
-   several documents hold are found by hash.
+   several documents hold are found by two independent 64-bit hashes.
 6. Spans come back to their texts, and rows to the result of their text.
 
 Defined cases: a null text is empty; texts shorter than ``SPAN`` bytes lose nothing (but runs of
@@ -43,10 +45,18 @@ GRAM = 200
 HOT = 512
 #: Bytes of contexts in one suffix array.
 SHARD_BYTES = 2 << 20
-#: Starts of windows looked at at once; positions among them must fit 24 bits.
+#: Bytes of contexts in one message from a task, about.
 PIECE = 4 << 20
-
-U64, I64, I32 = np.uint64, np.int64, np.int32
+#: Starts of windows looked at at once; positions among them must fit 24 bits.
+STARTS = 1 << 20
+#: Windows of one context at most, and those from which a context is looked at for a period.
+LONGEST, PERIODIC = 1 << 16, 2048
+#: Shards for each shuffle partition: many small ones are even in bytes.
+SHARDS = 8
+
+U64, I64 = np.uint64, np.int64
+#: Another numbering of bytes, for a second, independent hash.
+_OTHER = np.random.default_rng(0x5EED).permutation(256).astype(np.uint8)
 _WORD = np.ones(256, bool)
 _WORD[[9, 10, 11, 12, 13, 32]] = False
 
@@ -64,11 +74,11 @@ def sliding_min(key: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:m], ahead[width - 1 : width - 1 + m])
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, row, first window it owns, number of windows), for all windows of all rows."""
+def anchors(data: np.ndarray, offsets: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor hash, row, first window it owns, number of windows, places of the anchor in them), for all windows of all rows. Neighbouring windows of equal anchors, wherever they stand, are one run."""
     out = []
-    for lo in range(0, max(0, len(data) - span + 1), PIECE):
-        part = data[lo : lo + PIECE + span - 1]
+    for lo in range(0, max(0, len(data) - span + 1), STARTS):
+        part = data[lo : lo + STARTS + span - 1]
         h = K.window_hash(K.prefix_hash(part), gram)
         low = U64((1 << 24) - 1)
         least = sliding_min((h & ~low) | np.arange(len(h), dtype=np.uint64), span - gram + 1)
@@ -76,14 +86,17 @@ def anchors(data: np.ndarray, offsets: np.ndarray, span: int = SPAN, gram: int =
         row = np.searchsorted(offsets, start, side="right") - 1
         inside = start + span <= offsets[row + 1]
         at = (least & low).astype(np.int64)
-        new = inside.copy()
-        new[1:] &= ~(inside[:-1] & (at[1:] == at[:-1]) & (row[1:] == row[:-1]))
+        own = h[at]
+        together = inside[:-1] & (row[1:] == row[:-1])
+        hop, new = inside.copy(), inside.copy()
+        hop[1:] &= ~(together & (at[1:] == at[:-1]))
+        new[1:] &= ~(together & (own[1:] == own[:-1]))
         first = np.flatnonzero(new)
         if len(first):
-            size = np.add.reduceat(inside.astype(np.int64), first)
-            out.append((h[at[first]], row[first], start[first] - offsets[row[first]], size))
+            size, places = (np.add.reduceat(x.astype(np.int64), first) for x in (inside, hop))
+            out.append((own[first], row[first], start[first] - offsets[row[first]], size, places))
     if not out:
-        return np.zeros(0, U64), np.zeros(0, I64), np.zeros(0, I64), np.zeros(0, I64)
+        return np.zeros(0, U64), *(np.zeros(0, I64) for _ in range(4))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -113,25 +126,68 @@ def _find_anchors(span: int, gram: int):
         for batch in batches:
             k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
             for lo, _, data, offsets in K.text_chunks(batch.column("text")):
-                h, row, start, n = anchors(data, offsets, span, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(I64)), pa.array(k1[lo + row]), pa.array(k2[lo + row]), pa.array(start), pa.array(n.astype(I32))], names=["h", "k1", "k2", "lo", "n"])
+                h, row, start, n, places = anchors(data, offsets, span, gram)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(I64)), pa.array(k1[lo + row]), pa.array(k2[lo + row]), pa.array(start), pa.array(n), pa.array(places)], names=["h", "k1", "k2", "lo", "n", "places"])
 
     return run
 
 
-def _contexts(shards: int, span: int, hot: int):
+def _distinct(keys: list[np.ndarray], raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, which): a member of each class of contexts of equal keys and bytes, in the order of the keys, and the class of each context."""
+    variant = np.zeros(len(size), U64)
+    for _ in range(2):
+        _, first, which = np.unique(np.stack([*keys, variant], axis=1), axis=0, return_index=True, return_inverse=True)
+        which = which.ravel()
+        again = np.flatnonzero(first[which] != np.arange(len(which)))
+        differ = []
+        ends = np.cumsum(size[again])
+        cut = np.append(np.flatnonzero(np.diff(ends // PIECE, prepend=-1)), len(again)) if len(again) else np.zeros(1, I64)
+        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+            x, y = again[lo:hi], first[which[again[lo:hi]]]
+            same = raw[K.ragged(begin[x], size[x])] == raw[K.ragged(begin[y], size[x])]
+            differ.append(x[~np.logical_and.reduceat(same, np.cumsum(size[x]) - size[x])])
+        if not sum(map(len, differ)):
+            break
+        # different bytes of equal hashes: each byte string has a number of its own
+        numbers: dict[bytes, int] = {}
+        for i in np.flatnonzero(np.isin(which, which[np.concatenate(differ)])):
+            variant[i] = numbers.setdefault(raw[begin[i] : begin[i] + size[i]].tobytes(), len(numbers) + 1)
+    return first, which
+
+
+def _period(context: np.ndarray, gram: int) -> int:
+    """The period of a context that is a string of at most 2 * gram bytes over and over, else 0."""
+    head = context[: 4 * gram].tobytes()
+    p = head.find(head[:gram], 1)
+    return p if p > 0 and np.array_equal(context[p:], context[:-p]) else 0
+
+
+def _owned(text: np.ndarray, h: np.ndarray, lo: np.ndarray, n: np.ndarray, m: np.ndarray, places: np.ndarray, span: int, gram: int) -> list[np.ndarray]:
+    """(h, lo, n, m, places, cover) of the contexts of a text. Of a periodic stretch the windows of one period remain, with cover, the number of all its windows; other long ones are cut."""
+    if not (n > PERIODIC).any():
+        return [h, lo, n, m, places, np.zeros(len(n), I64)]
+    out = []
+    for hash_, first, count, often, hops in zip(h, lo, n, m, places, strict=True):
+        p = _period(text[first : first + count + span - 1], gram) if count > PERIODIC else 0
+        if p:
+            out.append((hash_, first, p, often, hops, count))
+        else:
+            out += [(hash_, first + at, min(LONGEST, count - at), often, hops, 0) for at in range(0, count, LONGEST)]
+    return [np.array(c, U64 if i == 0 else I64) for i, c in enumerate(zip(*out, strict=True))]
+
+
+def _contexts(shards: int, span: int, gram: int, hot: int):
     """From texts with their repeated anchors to contexts by shard."""
 
     def deal(held: list) -> Iterator[pa.RecordBatch]:
-        h, key, size, m, k1, k2, lo = (np.concatenate(x) for x in list(zip(*held, strict=True))[:-1])
+        h, size, m, places, k1, k2, lo, cover = (np.concatenate(x) for x in list(zip(*held, strict=True))[:-1])
         raw = np.concatenate([x[-1] for x in held])
         begin = np.cumsum(size) - size
+        key = K.slice_hash(K.prefix_hash(raw), begin, begin + size)
         # an anchor's contexts stay together, unless it is hot: then texts decide between several shards
         salt = np.where(m > hot, K.mix(k1.astype(U64)) % (m // hot + 1).astype(U64), U64(0))
         home = K.mix(h + salt * U64(0x9E3779B97F4A7C15))
-        both = np.stack([h, key, home, size.astype(U64)], axis=1)
-        _, first, which = np.unique(both, axis=0, return_index=True, return_inverse=True)
-        which = which.ravel()
+        first, which = _distinct([h, key, home, size.astype(U64)], raw, begin, size)
         bucket = (home[first] % U64(shards)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         place = np.empty(len(first), np.int64)
@@ -145,7 +201,7 @@ def _contexts(shards: int, span: int, hot: int):
             f = first[a:b]
             r0, r1 = np.searchsorted(ref_of, [a, b])
             r = refs[r0:r1]
-            rows.append((int(bucket[a]), _blob(h[f], U64), _blob(key[f], U64), _blob(home[f], U64), _blob(m[f], I64), _blob(size[f], I64), raw[K.ragged(begin[f], size[f])].tobytes(), _blob(ref_of[r0:r1] - a, I64), _blob(k1[r], I64), _blob(k2[r], I64), _blob(lo[r], I64)))
+            rows.append((int(bucket[a]), _blob(h[f], U64), _blob(key[f], U64), _blob(home[f], U64), _blob(m[f], I64), _blob(places[f], I64), _blob(size[f], I64), raw[K.ragged(begin[f], size[f])].tobytes(), _blob(ref_of[r0:r1] - a, I64), _blob(k1[r], I64), _blob(k2[r], I64), _blob(lo[r], I64), _blob(cover[r], I64)))
         yield pa.RecordBatch.from_pylist([dict(zip(_CONTEXT_NAMES, r, strict=True)) for r in rows], schema=_CONTEXT_SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,26 +210,31 @@ def _contexts(shards: int, span: int, hot: int):
             k1s, k2s, found = batch.column("k1").to_numpy(), batch.column("k2").to_numpy(), batch.column("found")
             data, offsets = K.text_buffer(batch.column("text"))
             ends = found.offsets.to_numpy()
-            every = [found.values.field(c).to_numpy() for c in ("h", "lo", "n", "m")]
+            every = [found.values.field(c).to_numpy() for c in ("h", "lo", "n", "m", "places")]
             for i in range(batch.num_rows):
-                h, lo, n, m = (x[ends[i] : ends[i + 1]] for x in every)
-                h = h.view(U64)
                 text = data[offsets[i] : offsets[i + 1]]
-                size = n + np.int64(span - 1)
-                prefix = K.prefix_hash(text)
-                same = len(h)
-                held.append((h, K.slice_hash(prefix, lo, lo + size), size, m, np.full(same, k1s[i]), np.full(same, k2s[i]), lo, text[K.ragged(lo, size)]))
-                total += int(size.sum())
-                if total > PIECE:
-                    yield from deal(held)
-                    held, total = [], 0
+                h, lo, n, m, places = (x[ends[i] : ends[i + 1]] for x in every)
+                h, lo, n, m, places, cover = _owned(text, h.view(U64), lo, n, m, places, span, gram)
+                size = n + (span - 1)
+                upto = np.cumsum(size)
+                a = 0
+                while a < len(h):  # a long text fills several messages
+                    b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + PIECE - total, side="right")))
+                    part = slice(a, b)
+                    held.append((h[part], size[part], m[part], places[part], np.full(b - a, k1s[i]), np.full(b - a, k2s[i]), lo[part], cover[part], text[K.ragged(lo[part], size[part])]))
+                    total += int(size[part].sum())
+                    a = b
+                    if total >= PIECE or a < len(h):
+                        yield from deal(held)
+                        held, total = [], 0
         if held:
             yield from deal(held)
+        K.release()
 
     return run
 
 
-_CONTEXT_NAMES = ["shard", "h", "key", "home", "m", "size", "raw", "ref", "k1", "k2", "lo"]
+_CONTEXT_NAMES = ["shard", "h", "key", "home", "m", "places", "size", "raw", "ref", "k1", "k2", "lo", "cover"]
 _CONTEXT_SCHEMA = pa.schema([("shard", pa.int32()), *((c, pa.binary()) for c in _CONTEXT_NAMES[1:])])
 _SPANS = "kind int, k1 long, k2 long, a binary, b binary"
 
@@ -199,19 +260,19 @@ def _shard(span: int, hot: int, buckets: int, shard_bytes: int = SHARD_BYTES):
         rows = table.num_rows
         counts = [len(x.as_py()) // 8 for c in table.column("h").chunks for x in c]
         refs = [len(x.as_py()) // 8 for c in table.column("ref").chunks for x in c]
-        h, key, home, m, size = (_joined(table, c, t) for c, t in (("h", U64), ("key", U64), ("home", U64), ("m", I64), ("size", I64)))
-        ref, k1, k2, lo = (_joined(table, c, I64) for c in ("ref", "k1", "k2", "lo"))
+        h, key, home, m, places, size = (_joined(table, c, t) for c, t in (("h", U64), ("key", U64), ("home", U64), ("m", I64), ("places", I64), ("size", I64)))
+        ref, k1, k2, lo, cover = (_joined(table, c, I64) for c in ("ref", "k1", "k2", "lo", "cover"))
         raw = _joined(table, "raw", np.uint8)
         ref = ref + np.repeat(np.cumsum([0, *counts[:-1]]), refs) if rows else ref
         begin = np.cumsum(size) - size
-        _, first, which = np.unique(np.stack([home, h, key, size.astype(U64)], axis=1), axis=0, return_index=True, return_inverse=True)
-        of = which.ravel()[ref]  # distinct context of each reference
-        home, h, size, begin, m = home[first], h[first], size[first], begin[first], m[first]
-        copies = np.bincount(of, minlength=len(first))
-        # np.unique sorts by home and anchor first: contexts of a group are neighbours
+        first, which = _distinct([home, h, key, size.astype(U64)], raw, begin, size)
+        of = which[ref]  # distinct context of each reference
+        home, h, size, begin, m, places = home[first], h[first], size[first], begin[first], m[first], places[first]
+        copies = np.bincount(of, weights=1 + (cover > 0), minlength=len(first))  # windows of a periodic stretch repeat within it
+        # classes are in the order of home and anchor: contexts of a group are neighbours
         edge = np.flatnonzero(np.append(True, (home[1:] != home[:-1]) | (h[1:] != h[:-1])))
         group = np.repeat(np.arange(len(edge)), np.diff(np.append(edge, len(h))))
-        several = np.bincount(group)[group] > 1
+        several = (np.bincount(group)[group] > 1) | (places > 1)  # windows of one context can be equal where its anchor repeats
         windows = size - span + 1
         flag_at = np.cumsum(windows) - windows
         flags = np.repeat(copies > 1, windows)
@@ -230,6 +291,8 @@ def _shard(span: int, hot: int, buckets: int, shard_bytes: int = SHARD_BYTES):
                 flags[K.ragged(flag_at[c], windows[c])] |= found[K.ragged(at, windows[c])]
                 base, lo_i = int(ends[hi_i - 1]), hi_i
         out = _runs_by_text(flags, flag_at[of], windows[of], k1, k2, lo)
+        if len(whole := np.flatnonzero(cover)):
+            out = pa.concat_tables([out, _by_text(k1[whole], k2[whole], lo[whole], lo[whole] + cover[whole])])
         published = np.flatnonzero(m > hot)
         if len(published):
             out = pa.concat_tables([out, _publish(published, flags, flag_at, windows, home, raw, begin, size, of, k1, k2, lo, span, buckets)])
@@ -261,7 +324,7 @@ def _publish(chosen, flags, flag_at, windows, home, raw, begin, size, of, k1, k2
     """The distinct windows of each home's hot contexts, by bucket of their hash. Those not found twice here name their place, for an answer."""
     text = raw[K.ragged(begin[chosen], size[chosen])]
     at = np.cumsum(size[chosen]) - size[chosen]
-    hashes = K.window_hash(K.prefix_hash(text), span)[K.ragged(at, windows[chosen])]
+    hashes, second = (K.window_hash(K.prefix_hash(t), span)[K.ragged(at, windows[chosen])] for t in (text, _OTHER[text]))
     known = flags[K.ragged(flag_at[chosen], windows[chosen])]
     context = np.repeat(np.arange(len(chosen)), windows[chosen])
     offset = K.ragged(np.zeros(len(chosen), np.int64), windows[chosen])
@@ -270,14 +333,14 @@ def _publish(chosen, flags, flag_at, windows, home, raw, begin, size, of, k1, k2
     r = owner[chosen][context]
     hashes, own = K.mix(hashes), home[chosen][context]
     # two homes of an anchor can be in one shard; each has its own entry, as if they were in two
-    by = np.lexsort((own, hashes))
-    first = by[np.append(True, (hashes[by][1:] != hashes[by][:-1]) | (own[by][1:] != own[by][:-1]))]
-    hashes, known, r, offset = hashes[first], known[first], r[first], offset[first]
+    by = np.lexsort((own, second, hashes))
+    first = by[np.append(True, (hashes[by][1:] != hashes[by][:-1]) | (second[by][1:] != second[by][:-1]) | (own[by][1:] != own[by][:-1]))]
+    hashes, second, known, r, offset = hashes[first], second[first], known[first], r[first], offset[first]
     place = np.where(known, -1, lo[r] + offset)
-    parts = list(_deal((hashes % U64(buckets)).astype(np.int64), {"a": (hashes, U64), "k1": (k1[r], I64), "k2": (k2[r], I64), "p": (place, I64)}, "kind"))
+    parts = list(_deal((hashes % U64(buckets)).astype(np.int64), {"a": (hashes, U64), "k1": (k1[r], I64), "k2": (k2[r], I64), "p": (place, I64), "s": (second, U64)}, "kind"))
     rows = []
     for x in parts[0].to_pylist():
-        rows.append((x["kind"], 0, 0, x["a"], x["k1"] + x["k2"] + x["p"]))
+        rows.append((x["kind"], 0, 0, x["a"], x["k1"] + x["k2"] + x["p"] + x["s"]))
     cols = list(zip(*rows, strict=True))
     return pa.table([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.binary())], names=["kind", "k1", "k2", "a", "b"])
 
@@ -285,16 +348,14 @@ def _publish(chosen, flags, flag_at, windows, home, raw, begin, size, of, k1, k2
 def _merge_published(table: pa.Table) -> pa.Table:
     """Windows that several homes published, by binary search in the merged list; each home publishes a window once."""
     h = _joined(table, "a", U64)
-    k1, k2, place = [], [], []
-    for c in table.column("b").chunks:
-        for x in c:
-            three = np.frombuffer(x.as_py(), I64).reshape(3, -1)
-            k1.append(three[0])
-            k2.append(three[1])
-            place.append(three[2])
-    k1, k2, place = (np.concatenate(x) if x else np.zeros(0, I64) for x in (k1, k2, place))
+    four = [np.frombuffer(x.as_py(), I64).reshape(4, -1) for c in table.column("b").chunks for x in c]
+    k1, k2, place, second = np.concatenate(four, axis=1) if four else np.zeros((4, 0), I64)
     merged = np.sort(h)
-    several = np.searchsorted(merged, h, side="right") - np.searchsorted(merged, h, side="left") > 1
+    at = np.flatnonzero(np.searchsorted(merged, h, side="right") - np.searchsorted(merged, h, side="left") > 1)
+    by = at[np.lexsort((second[at], h[at]))]
+    same = (h[by][1:] == h[by][:-1]) & (second[by][1:] == second[by][:-1])
+    several = np.zeros(len(h), bool)
+    several[by[1:][same]] = several[by[:-1][same]] = True
     keep = several & (place >= 0)
     return _by_text(k1[keep], k2[keep], place[keep], place[keep] + 1)
 
@@ -311,7 +372,7 @@ def _find_word_anchors(words: int):
             k1, k2, copies = (batch.column(c).to_numpy() for c in ("k1", "k2", "copies"))
             for lo, _, data, offsets in K.text_chunks(batch.column("text")):
                 h, _, _, rows = _word_hashes(data, offsets)
-                a, row, start, n = anchors(h, rows, words, max(1, words // 2))
+                a, row, start, n, _ = anchors(h, rows, words, max(1, words // 2))
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(I64)), pa.array(k1[lo + row]), pa.array(k2[lo + row]), pa.array(copies[lo + row]), pa.array(start), pa.array(n)], names=["h", "k1", "k2", "copies", "lo", "n"])
 
     return run
@@ -330,9 +391,9 @@ def _word_windows(words: int):
                 own = slice(ends[lo], ends[hi])
                 row = np.repeat(np.arange(hi - lo), np.diff(ends[lo : hi + 1]))
                 at, row = K.ragged(rows[row] + first[own], count[own]), np.repeat(row, count[own])
-                w = K.window_hash(K.prefix_hash(h), words)[at] if len(at) else np.zeros(0, U64)
-                columns = (w.view(I64), k1[lo + row], k2[lo + row], copies[lo + row], starts[at] - offsets[row], stops[at + words - 1] - offsets[row])
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["w", "k1", "k2", "copies", "a", "b"])
+                w, w2 = (K.window_hash(K.prefix_hash(x), words)[at] if len(at) else np.zeros(0, U64) for x in (h, K.mix(h ^ U64(0x5EED))))
+                columns = (w.view(I64), w2.view(I64), k1[lo + row], k2[lo + row], copies[lo + row], starts[at] - offsets[row], stops[at + words - 1] - offsets[row])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["w", "w2", "k1", "k2", "copies", "a", "b"])
 
     return run
 
@@ -353,20 +414,20 @@ def _word_spans(span: int):
 def _word_runs(t: DataFrame, words: int, span: int) -> tuple[DataFrame, list[Table]]:
     """The windows of ``words`` words that several documents hold, as ``_SPANS``, and the tables to drop after use."""
 
-    def shared(places: Table, key: str) -> Table:
+    def shared(places: Table, *key: str) -> Table:
         # counts are written for the same reason as those of byte anchors
         edges = [f(c).alias(f"{n}_{c}") for c in ("k1", "k2") for n, f in (("min", F.min), ("max", F.max))]
-        return Table(places.df.groupBy(key).agg(*edges, F.max("copies").alias("copies")).where("copies > 1 or min_k1 <> max_k1 or min_k2 <> max_k2").select(key), release=False)
+        return Table(places.df.groupBy(*key).agg(*edges, F.max("copies").alias("copies")).where("copies > 1 or min_k1 <> max_k1 or min_k2 <> max_k2").select(*key), release=False)
 
     long_enough = t.where(F.octet_length("text") >= 2 * words - 1)
     places = Table(long_enough.select("k1", "k2", "copies", "text").mapInArrow(_find_word_anchors(words), "h long, k1 long, k2 long, copies long, lo long, n long"), release=False)
     again = shared(places, "h")
     found = places.df.join(again.df, "h").groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "n")).alias("found"))
-    windows = Table(t.select("k1", "k2", "copies", "text").join(found.hint("shuffle_hash"), ["k1", "k2"]).mapInArrow(_word_windows(words), "w long, k1 long, k2 long, copies long, a long, b long"))
+    windows = Table(t.select("k1", "k2", "copies", "text").join(found.hint("shuffle_hash"), ["k1", "k2"]).mapInArrow(_word_windows(words), "w long, w2 long, k1 long, k2 long, copies long, a long, b long"))
     places.drop()
     again.drop()
-    several = shared(windows, "w")
-    gathered = windows.df.join(several.df, "w").groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("found"))
+    several = shared(windows, "w", "w2")
+    gathered = windows.df.join(several.df, ["w", "w2"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("found"))
     return gathered.mapInArrow(_word_spans(span), _SPANS), [windows, several]
 
 
@@ -420,11 +481,11 @@ def find(docs: DataFrame, text: str = "text", span: int = SPAN, gram: int = GRAM
     texts = docs.select(*_keys(text), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     table = Table(texts, n, ("k1", "k2"))
     t = table.df
-    places = Table(t.where(F.octet_length("text") >= span).select("k1", "k2", "text").mapInArrow(_find_anchors(span, gram), "h long, k1 long, k2 long, lo long, n int"), release=False)
+    places = Table(t.where(F.octet_length("text") >= span).select("k1", "k2", "text").mapInArrow(_find_anchors(span, gram), "h long, k1 long, k2 long, lo long, n long, places long"), release=False)
     # counts combine before the shuffle; they are written, so that both sides of the join are shuffles and Spark can split it where an anchor occurs very often
-    again = Table(places.df.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), release=False)
-    found = places.df.join(again.df, "h").groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "lo", "n", "m")).alias("found"))
-    contexts = t.select("k1", "k2", "text").join(found.hint("shuffle_hash"), ["k1", "k2"]).mapInArrow(_contexts(n, span, hot), "shard int, " + ", ".join(f"{c} binary" for c in _CONTEXT_NAMES[1:]))
+    again = Table(places.df.groupBy("h").agg(F.sum("places").alias("m")).where("m > 1"), release=False)
+    found = places.df.join(again.df, "h").groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "lo", "n", "m", "places")).alias("found"))
+    contexts = t.select("k1", "k2", "text").join(found.hint("shuffle_hash"), ["k1", "k2"]).mapInArrow(_contexts(SHARDS * n, span, gram, hot), "shard int, " + ", ".join(f"{c} binary" for c in _CONTEXT_NAMES[1:]))
     shards = Table(contexts.groupBy("shard").applyInArrow(_shard(span, hot, n, shard_bytes), _SPANS))
     merged = shards.df.where("kind >= 0").groupBy("kind").applyInArrow(_merge_published, _SPANS)
     places.drop()

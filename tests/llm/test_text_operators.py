@@ -1,4 +1,7 @@
+import os
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -79,6 +82,49 @@ def test_homes_of_a_hot_anchor_that_meet_in_one_shard(spark, parts):
     assert [got[i] for i in range(len(texts))] == [w[:4] for w in wanted]
 
 
+@pytest.mark.parametrize("hot", [512, 6])
+def test_periodic_stretches_equal_brute_force(spark, hot):
+    rnd = random.Random(3)
+    rand = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    texts = ["x" * 5000, "x" * 39, "x" * 41 + "y", "pq" * 3000, rand(70) + "pq" * 25 + rand(70), "abc " * 1500 + rand(90), rand(50) + "c ab" * 900 + "z" * 60, rand(2500), " " * 3000 + rand(300) + " " * 2600]
+    texts += [rand(60) + "klmnopqrstuvwxyz0123" * 130 + rand(60), "mnopqrstuvwxyz0123klmnopqrstuvwxyz0123klmnop" + rand(9), (rand(45) * 60)[:2690]]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(docs_of(spark, texts), span=40, gram=20, hot=hot).collect()}
+    wanted = repeats(texts, 40)
+    assert [got[i] for i in range(len(texts))] == [w[:4] for w in wanted]
+
+
+def test_contexts_of_equal_hashes_are_told_apart_by_their_bytes():
+    raw = np.frombuffer(b"abcabdabcabdxyz", np.uint8)
+    begin, size = np.arange(0, 15, 3), np.full(5, 3)
+    same = np.zeros(5, np.uint64)
+    first, which = suffix_dedup._distinct([same, same], raw, begin, size)
+    assert len(first) == 3
+    assert [[int(a == b) for b in which] for a in which] == [[1, 0, 1, 0, 0], [0, 1, 0, 1, 0], [1, 0, 1, 0, 0], [0, 1, 0, 1, 0], [0, 0, 0, 0, 1]]
+    assert (which[first] == np.arange(3)).all()
+
+
+def test_memory_of_a_long_run_of_one_character_is_bounded():
+    code = """
+import resource, numpy as np, pyarrow as pa
+from arcavec.llm import suffix_dedup as S
+text = pa.array([b"x" * 10_000_000 + b"".join(b"%d " % i for i in range(1000))]).cast(pa.string())
+row = pa.record_batch({"k1": pa.array([1]), "k2": pa.array([2]), "text": text})
+(found,) = S._find_anchors(400, 200)(iter([row]))
+f = found.append_column("m", found.column("places"))
+rows = pa.record_batch({"k1": pa.array([1]), "k2": pa.array([2]), "text": text, "found": pa.array([f.select(["h", "lo", "n", "m", "places"]).to_pylist()])})
+sent = list(S._contexts(8, 400, 200, 512)(iter([rows])))
+spans = [S._shard(400, 512, 8)(pa.Table.from_batches([b])) for b in sent]
+every = [(x["a"], x["b"]) for t in spans for x in t.to_pylist() if x["kind"] < 0]
+done = pa.record_batch({"k1": pa.array([1]), "k2": pa.array([2]), "text": text, "copies": pa.array([1]), "spans": pa.array([[dict(a=a, b=b) for a, b in every]])})
+(out,) = S._finish(400, False)(iter([done]))
+print(sum(b.nbytes for b in sent), out.column("n_removed")[0].as_py(), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    sent, removed, peak = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, env=os.environ).stdout.split())
+    assert removed == 10_000_000
+    assert sent < 200_000
+    assert peak < 1000
+
+
 def test_runs_of_words_that_several_documents_hold(spark):
     rnd = random.Random(11)
     vocab = ["a", "b", "é", "w1", "long" * 30]
