@@ -9,13 +9,15 @@ different hashes. The sketch only decides how few candidates there are, never wh
 1. Equal texts become one node, the least of their keys; nodes' texts go to a bucketed table.
 2. Sketch; then each node's size, prefixes under both orders and a parity bitmap of its set.
 3. Of the shingles of the first order's prefixes those of one node only go.
-4. Chains: within a shingle's nodes, neighbours by first shingle of the second order and by size
-   are candidates, as many as members. Those whose second prefixes share a shingle, and whose
-   bitmaps don't rule them out, are verified on whole sets; their links give first components.
+4. Chains: within a shingle's nodes, dealt into parts of about ``BLOCK``, neighbours by first shingle
+   of the second order and by size are candidates, as many as members; then the least of each part,
+   first shingle and size class are chained across the parts. Those whose second prefixes share a
+   shingle, and whose bitmaps don't rule them out, are verified on whole sets; their links give first
+   components.
 5. All other pairs: within each shingle's nodes, only pairs of *different* components can still
-   change the result. Members that have one of another component and a like size near them are
-   compared in blocks by size and bitmap; pairs whose second prefixes also share a shingle are
-   verified. Large groups are split into blocks, each pair of blocks a task.
+   change the result. Members of size classes in or beside which several components meet, which
+   combine before the shuffle, are compared in blocks by size and bitmap; pairs whose second prefixes
+   also share a shingle are verified. Large groups are split into blocks, each pair of blocks a task.
 
 So a group of m near copies costs m verified pairs, not m squared, and no link between components
 is lost. A parity bitmap has a bit per hash bucket, set for an odd count: bits that differ are at
@@ -45,6 +47,8 @@ SHINGLE = 3
 THRESHOLD = 90
 SKETCH_BITS = 24
 SLICES = 64
+#: How many parts of a sketch are added up in one task.
+FAN_IN = 32
 BITS = 512
 BLOCK = 1024
 
@@ -91,6 +95,16 @@ def prefixes(h: np.ndarray, rows: np.ndarray, level: np.ndarray, threshold: int)
     return out
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts up to 255 tell frequent from rare as well as exact ones, and pack well; larger ones are rounded down to 16 steps a doubling."""
+    return zlib.compress(np.where(counts < 16, counts, 16 * np.log2(np.maximum(counts, 16)) - 48).astype(np.uint16).tobytes(), 1)
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    code = np.frombuffer(zlib.decompress(raw), np.uint16).astype(np.float64)
+    return np.where(code < 16, code, 2 ** ((code + 48) / 16))
+
+
 def _sketch(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
@@ -98,32 +112,39 @@ def _sketch(shingle: int):
             for _, _, data, offsets in K.text_chunks(batch.column(0)):
                 h, _ = shingle_sets(data, offsets, shingle)
                 np.add.at(counts, (h >> U64(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
-        # counts of a task up to 255 tell frequent from rare as well as exact ones, and pack well
-        parts = np.minimum(counts, 255).astype(np.uint8).reshape(SLICES, -1)
         if counts.any():
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES, dtype=np.int32)), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], names=["slice", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES, dtype=np.int32)), pa.array([_packed(p) for p in counts.reshape(SLICES, -1)], pa.binary())], names=["slice", "n"])
 
     return run
 
 
 def _add_slices(table: pa.Table) -> pa.Table:
-    total = np.zeros((1 << SKETCH_BITS) // SLICES, np.uint64)
+    total = np.zeros((1 << SKETCH_BITS) // SLICES)
     for c in table.column("n").chunks:
         for x in c:
-            total += np.frombuffer(zlib.decompress(x.as_py()), np.uint8)
-    level = np.minimum(255, 8 * np.log2(1.0 + total)).astype(np.uint8)
-    return pa.table({"slice": table.column("slice").slice(0, 1), "level": pa.array([level.tobytes()], pa.binary())})
+            total += _unpacked(x.as_py())
+    return pa.table({"slice": table.column("slice").slice(0, 1), "n": pa.array([_packed(total)], pa.binary())})
 
 
-def levels(texts: DataFrame, shingle: int) -> np.ndarray:
-    """For each bucket of the sketch how frequent it is, on a scale of a byte: 2**SKETCH_BITS bytes for a corpus of any size."""
-    got = texts.select("text").mapInArrow(_sketch(shingle), "slice int, n binary").groupBy("slice").applyInArrow(_add_slices, "slice int, level binary").collect()
+def levels(texts: DataFrame, shingle: int, tasks: int) -> np.ndarray:
+    """For each bucket of the sketch how frequent it is, on a scale of a byte: 2**SKETCH_BITS bytes for a corpus of any size. The sketches of ``tasks`` tasks are added up by a tree of ``FAN_IN``."""
+    got = texts.select("text").mapInArrow(_sketch(shingle), "slice int, n binary").withColumn("part", F.spark_partition_id())
+    while tasks > 1:
+        tasks = -(-tasks // FAN_IN)
+        got = got.withColumn("part", F.pmod("part", F.lit(tasks))).groupBy("slice", "part").applyInArrow(_keep_part(_add_slices), "slice int, n binary, part int")
     out = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.uint8)
-    for r in got:
-        out[r.slice] = np.frombuffer(r.level, np.uint8)
+    for r in got.collect():
+        out[r.slice] = np.minimum(255, 8 * np.log2(1.0 + _unpacked(r.n))).astype(np.uint8)
     return out.ravel()
 
 
+def _keep_part(add):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        return add(table).append_column("part", pa.array([key[1].as_py()], pa.int32()))
+
+    return run
+
+
 def _short(h: np.ndarray) -> np.ndarray:
     return (K.mix(h) >> U64(32)).astype(np.uint32)
 
@@ -250,7 +271,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     same = (F.col("k1").bitwiseXOR(F.col("_1")) == 0) & (F.col("k2").bitwiseXOR(F.col("_2")) == 0)
     nodes = rows.join(own, (F.col("doc") == F.col("rep")) & same)
     texts = Table(nodes.select("rep", "text"), parts, ("rep",))
-    level = spark.sparkContext.broadcast(levels(texts.df, shingle))
+    level = spark.sparkContext.broadcast(levels(texts.df, shingle, parts))
     info = Table(texts.df.mapInArrow(_info(level, shingle, threshold), "rep long, n long, lead long, a binary, b binary, bits binary"))
     entries = Table(info.df.where("n > 0").select("rep", "n", "lead", "a").mapInArrow(_entries, "tok long, rep long, n long, lead int"), release=False)
     # counts combine before the shuffle; they are written, so that both sides of the join are shuffles and Spark can split it where a shingle is in very many prefixes
@@ -266,20 +287,29 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
         with_x = pairs.join(texts.df.toDF("x", "text"), "x").mapInArrow(_set_of(shingle), "x long, y long, set binary")
         return with_x.join(texts.df.toDF("y", "text"), "y").select("x", "y", "set", "text").mapInArrow(_verify(shingle, threshold), "a long, b long")
 
-    in_chain = Window.partitionBy("tok").orderBy("lead", "n", "rep")
-    neighbours = groups.df.select("rep", "n", F.lag("rep").over(in_chain).alias("before"), F.lag("n").over(in_chain).alias("n_before"))
-    like = (F.col("rep") != F.col("before")) & (100 * F.least("n", "n_before") >= threshold * F.greatest("n", "n_before"))
-    chained = neighbours.where(like).select(F.least("rep", "before").alias("x"), F.greatest("rep", "before").alias("y")).distinct()
+    # sizes in classes such that sets that link are in one or in neighbouring ones
+    members = groups.df.withColumns({"class": F.floor(F.ln(F.col("n").cast("double")) / float(np.log(100 / threshold)) + 1e-9), "part": F.pmod(F.xxhash64("rep"), F.ceil(F.col("m") / block)).cast("int")})
+
+    def neighbours(rows: DataFrame, *by: str) -> DataFrame:
+        chain = Window.partitionBy(*by).orderBy("lead", "n", "rep")
+        both = rows.select("rep", "n", F.lag("rep").over(chain).alias("before"), F.lag("n").over(chain).alias("n_before"))
+        like = (F.col("rep") != F.col("before")) & (100 * F.least("n", "n_before") >= threshold * F.greatest("n", "n_before"))
+        return both.where(like).select(F.least("rep", "before").alias("x"), F.greatest("rep", "before").alias("y"))
+
+    # of a large group the least of each part, first shingle and size class are chained across its parts
+    heads = members.where(F.col("m") > block).groupBy("tok", "lead", "class", "part").agg(F.min(F.struct("n", "rep")).alias("_least")).select("tok", "lead", "_least.*")
+    chained = neighbours(members, "tok", "part").unionByName(neighbours(heads, "tok", "lead")).distinct()
     chained = chained.join(side("x"), "x").join(side("y"), "y").mapInArrow(_filter(threshold), "x long, y long")
     links = Table(verified(chained))
     first = connected_components(links.df)
 
-    members = groups.df.join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    # sizes on a scale on which sets that link are at most a million apart
-    like = Window.partitionBy("tok").orderBy("_x").rangeBetween(-1_000_010, 1_000_010)
-    scale = F.floor(F.ln(F.col("n").cast("double")) * float(1e6 / np.log(100 / threshold)))
-    mixed = members.withColumn("_x", scale).withColumns({"_lo": F.min("component").over(like), "_hi": F.max("component").over(like)}).where("_lo <> _hi")
-    open_ = mixed.drop("_x", "_lo", "_hi").join(one.select("rep", "bits"), "rep")
+    members = members.drop("part").join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    edges = (F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+    classes = members.groupBy("tok", "class").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"))
+    near = classes.withColumn("class", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1))).groupBy("tok", "class").agg(*edges)
+    # the classes are written, so that both sides of the join are shuffles and Spark can split it where a class is large
+    mixed = Table(near.where("_lo <> _hi").select("tok", "class"), release=False)
+    open_ = members.join(mixed.df, ["tok", "class"]).drop("class").join(one.select("rep", "bits"), "rep")
     n_blocks = F.ceil(F.col("m") / block).cast("int")
     own = F.pmod(F.xxhash64("rep"), n_blocks).cast("int")
     spread = open_.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1))).select("tok", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n", "component", "bits")
@@ -293,6 +323,6 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     by_text = Table(reps.df.join(sizes.groupBy("rep").agg(F.max("n").alias("n")), "rep", "left").join(final.withColumnRenamed("node", "rep"), "rep", "left"))
     out = keys.join(by_text.df, ["k1", "k2"])
     out = Table(out.select(F.col("doc").alias(key), F.coalesce("n", F.lit(0)).alias("n_shingles"), F.when(F.col("doc").isNull(), None).when(F.coalesce("n", F.lit(0)) == 0, F.col("doc")).otherwise(F.coalesce("component", "rep")).alias("component_id")))
-    for t in (reps, texts, info, groups, links, rest, by_text):
+    for t in (reps, texts, info, groups, links, mixed, rest, by_text):
         t.drop()
     return out.df
