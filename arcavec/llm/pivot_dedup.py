@@ -1,20 +1,29 @@
 """Embedding near-dedup by a pivot-permutation index.
 
-A vector is described by its ``NEAREST`` nearest of at most ``PIVOTS`` reference vectors. Those are rows
-of the corpus: of ``SAMPLE`` that a hash of their id picks, each with a cosine below ``APART`` to all
-taken before, so that a large group of near copies doesn't fill the list. Each (label, pivot) has an inverted list of the vectors
-that are near it. Vectors that share ``SHARED`` pivots or more are candidates, and candidates with a
-cosine of ``THRESHOLD`` or more, in double precision, link. A pair is looked at in one list only, that
-of the first pivot that both have. Long lists are cut into blocks of ``BLOCK`` members and each pair
-of blocks is a task; a task returns sums of links and a spanning forest, never all its pairs.
+A vector is described by its ``NEAREST`` nearest of the reference vectors (pivots). Those are rows of
+the corpus: of a sample that a hash of their id picks, each farther from all taken before than
+``APART`` of the sample's median distance, so that a large group of near copies doesn't fill the
+list and vectors that all lie in one narrow cone still have as many pivots as others. There is a
+pivot for every ``MEMBERS`` distinct vectors, between ``PIVOTS`` and ``MOST_PIVOTS`` (what is
+broadcast has a fixed bound), so lists keep their length while the corpus grows. Vectors that share
+``SHARED`` near pivots or more are candidates, and candidates with a cosine of ``THRESHOLD`` or more,
+in double precision, link.
+
+Each (label, pivot) has an inverted list. Two sets of ``NEAREST`` pivots that share ``SHARED`` also
+share one of their first ``NEAREST - SHARED + 1`` under any common order; that of list length is
+taken, shortest first, so the longest lists are hardly used. A pair is looked at in one list only,
+the first that both are in. Long lists are cut into blocks of ``BLOCK`` members and each pair of
+blocks is a task; a task returns sums of links and a spanning forest, never all its pairs. Vectors
+travel packed, as 32-bit floats if their column holds such.
 
 Equal vectors of a label become one member with a count first. Vectors of different lengths never
-link. The index is fitted on at most ``SAMPLE`` rows and holds every valid row; on the test tables its
-recall against brute force is 1.0 (tests ask for 0.9).
+link. The index is fitted on at most ``SAMPLE`` rows for each pivot and holds every valid row; on the
+test tables its recall against brute force is 1.0 (tests ask for 0.9, also of vectors in a cone).
 
 Defined cases: a vector that is null, zero, empty or has a null or non-finite component, or whose
 label is null, links with nothing; a null id links with nothing and has a null component; rows that
-repeat an id and its vector count once as a partner; rows that share an id share their component.
+repeat an id and its vector count once as a partner; rows that share an id share their component;
+of pivots that are equally near the first in order is the nearer.
 """
 
 from __future__ import annotations
@@ -27,11 +36,12 @@ from pyspark.sql import functions as F
 from arcavec.llm.components import connected_components, labels
 from arcavec.llm.scratch import Table, partitions
 
-PIVOTS = 128
-SAMPLE = 2048
-APART = 0.8
+PIVOTS, MOST_PIVOTS = 128, 4096
+MEMBERS = 100
+SAMPLE = 4
+APART = 0.5
 NEAREST = 10
-SHARED = 2
+SHARED = 3
 THRESHOLD = 0.98
 BLOCK = 1024
 
@@ -41,11 +51,20 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 
 
 def spread_out(rows: np.ndarray, most: int) -> np.ndarray:
-    """Rows of which no two have a cosine of ``APART`` or more, taken in order."""
+    """At most ``most`` unit rows, taken in order, each farther from all before than ``APART`` of the median distance of neighbours in order."""
+    if not len(rows):
+        return rows
+    distance = lambda cosine: np.sqrt(np.maximum(0, 2 - 2 * cosine))
+    pairs = distance(np.einsum("ij,ij->i", rows, np.roll(rows, 1, axis=0)))
+    far = APART * np.median(pairs[pairs > 1e-6]) if (pairs > 1e-6).any() else 0.0
     taken: list[int] = []
+    nearest = np.full(len(rows), np.inf)
     for i in range(len(rows)):
-        if len(taken) < most and (not taken or (rows[taken] @ rows[i]).max() < APART):
+        if nearest[i] > max(far, 1e-6):
             taken.append(i)
+            if len(taken) == most:
+                break
+            nearest = np.minimum(nearest, distance(rows @ rows[i]))
     return rows[taken]
 
 
@@ -56,114 +75,185 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _describe(shared, nearest: int):
-    """Adds the list of nearest pivots; pivots are cut or padded to the vectors' length."""
+def _unpacked(column: pa.Array, kind: str) -> np.ndarray:
+    """A column of packed vectors of one length, as doubles."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1).astype(np.float64)
+
+
+def _describe(shared, nearest: int, kind: str):
+    """Packs each vector and adds its nearest pivots in ascending order, packed; pivots are cut or padded to the vectors' length."""
 
     def run(batches):
         pivots = shared.value
         for batch in batches:
             size = np.diff(batch.column("v").offsets.to_numpy())
+            packed: list = [None] * batch.num_rows
             near: list = [None] * batch.num_rows
             for n in np.unique(size):
                 at = np.flatnonzero(size == n)
-                v = _unit(_matrix(batch.column("v").take(pa.array(at))))
+                rows = _matrix(batch.column("v").take(pa.array(at)))
                 p = np.zeros((len(pivots), n))
                 p[:, : min(n, pivots.shape[1])] = pivots[:, :n]
                 k = min(nearest, len(p))
-                for i, top in zip(at, np.argsort(-(v @ p.T), axis=1, kind="stable")[:, :k], strict=True):
-                    near[i] = top.astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.list_(pa.int32()))], names=[*batch.schema.names, "near"])
+                for lo in range(0, len(at), 1024):
+                    part = at[lo : lo + 1024]
+                    sim = -(_unit(rows[lo : lo + 1024]) @ p.T)
+                    bound = np.partition(sim, k - 1, axis=1)[:, k - 1 : k]
+                    closer = sim < bound
+                    # of equally near pivots at the edge the first ones
+                    edge = (sim == bound) & (np.cumsum(sim == bound, axis=1) <= k - closer.sum(axis=1, keepdims=True))
+                    top = np.nonzero(closer | edge)[1].reshape(len(part), k).astype(np.uint16)
+                    for i, row, x in zip(part, rows[lo : lo + 1024].astype(kind), top, strict=True):
+                        packed[i], near[i] = row.tobytes(), x.tobytes()
+            columns = [pa.array(packed, pa.binary()) if name == "v" else batch.column(name) for name in batch.schema.names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(near, pa.binary())], names=[*batch.schema.names, "near"])
+
+    return run
+
+
+def _list_lengths(pivots: int):
+    """How many lists of near pivots each pivot stands in."""
+
+    def run(batches):
+        total = np.zeros(pivots, np.int64)
+        for batch in batches:
+            total += np.bincount(np.frombuffer(b"".join(batch.column("near").to_pylist()), np.uint16), minlength=pivots)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["pivot", "n"])
+
+    return run
+
+
+def _in_lists(shared, kept: int):
+    """A row for each of the ``kept`` near pivots of the shortest lists, with their number in ``near``, which comes to be in that order."""
+
+    def run(batches):
+        order = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            near = batch.column("near").to_pylist()
+            lists = [np.frombuffer(x, np.uint16) for x in near]
+            lists = [x[np.argsort(order[x])] for x in lists]
+            own = [x[:kept] for x in lists]
+            count = np.array([len(x) for x in own])
+            row = pa.array(np.repeat(np.arange(batch.num_rows), count))
+            columns = [pa.array([x.tobytes() for x in lists], pa.binary()).take(row) if name == "near" else batch.column(name).take(row) for name in batch.schema.names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(own).astype(np.int32))], names=[*batch.schema.names, "pivot"])
 
     return run
 
 
-def _links(threshold: float, shared: int, pivots: int):
+def _links(threshold: float, shared: int, kept: int, kind: str):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         label, size, pivot, i, j, own, rep, copies = (table.column(c).to_numpy(zero_copy_only=False) for c in ("label_no", "size", "pivot", "i", "j", "own", "rep", "copies"))
-        near = table.column("near")
         order = np.lexsort((rep, own, j, i, pivot, size, label))
         keys = np.stack([label, size, pivot, i, j], axis=1)[order]
         edge = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1))) if len(order) else np.zeros(0, np.int64)
-        more: dict[int, int] = {}
+        more = np.zeros(len(order))
         ea, eb = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for lo, hi in zip(edge, np.append(edge[1:], len(order)), strict=True):
             m = order[lo:hi]
             if len(m) < 2:
                 continue
-            v = _unit(_matrix(table.column("v").take(pa.array(m))))
-            has = np.zeros((len(m), pivots), np.float32)
-            lists = near.take(pa.array(m)).combine_chunks()
-            has[np.repeat(np.arange(len(m)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()] = 1
+            v = _unit(_unpacked(table.column("v").take(pa.array(m)), kind))
+            lists = [np.frombuffer(x, np.uint16) for x in table.column("near").take(pa.array(m)).to_pylist()]
+            # pivots that stand in this group's lists, numbered anew
+            used, number = np.unique(np.concatenate(lists), return_inverse=True)
+            row = np.repeat(np.arange(len(m)), [len(x) for x in lists])
+            rank = np.concatenate([np.arange(len(x)) for x in lists])
+            p = int(np.searchsorted(used, pivot[m[0]]))
+            at = np.zeros(len(m), np.int64)
+            at[row[number == p]] = rank[number == p]
+            has, before = np.zeros((len(m), len(used)), np.float32), np.zeros((len(m), len(used)), np.float32)
+            has[row, number] = 1
+            earlier = (rank < at[row]) & (rank < kept)
+            before[row[earlier], number[earlier]] = 1  # lists of this vector that come before this one
             same = i[m[0]] == j[m[0]]
             first = np.arange(len(m)) if same else np.flatnonzero(own[m] == i[m[0]])
             second = np.arange(len(m)) if same else np.flatnonzero(own[m] == j[m[0]])
-            p = int(pivot[m[0]])
             for start in range(0, len(first), 256):
                 f = first[start : start + 256]
-                ok = (has[f] @ has[second].T >= shared) & (has[f, :p] @ has[second, :p].T == 0)
+                ok = (has[f] @ has[second].T >= shared) & (before[f] @ before[second].T == 0)
                 if same:
                     ok &= f[:, None] < second[None, :]
                 x, y = np.nonzero(ok)
                 for part in range(0, len(x), 1 << 16):
                     a, b = f[x[part : part + (1 << 16)]], second[y[part : part + (1 << 16)]]
                     linked = np.einsum("ij,ij->i", v[a], v[b]) >= threshold
-                    linked &= rep[m[a]] != rep[m[b]]
                     a, b = m[a[linked]], m[b[linked]]
+                    apart = rep[a] != rep[b]
+                    a, b = a[apart], b[apart]
                     if not len(a):
                         continue
-                    for this, other in ((a, b), (b, a)):
-                        sums = np.bincount(this, copies[other])
-                        for k in np.flatnonzero(sums):
-                            more[k] = more.get(k, 0) + int(sums[k])
+                    more += np.bincount(a, copies[b], len(more)) + np.bincount(b, copies[a], len(more))
                     node, root = labels(rep[a], rep[b])
                     ea.append(node)
                     eb.append(root)
         a, b = np.concatenate(ea), np.concatenate(eb)
         node, root = labels(a, b) if len(a) else (a, b)
-        at = np.array(list(more), np.int64)
+        some = np.flatnonzero(more)
+        cls, where = np.unique(table.column("cls").to_numpy()[some], return_inverse=True)
+        sums = np.bincount(where.ravel(), more[some], len(cls)).astype(np.int64)
         return pa.table({
-            "cls": np.concatenate([table.column("cls").to_numpy()[at], np.zeros(len(node), np.int64)]), "n": np.concatenate([np.array(list(more.values()), np.int64), np.zeros(len(node), np.int64)]),
-            "a": np.concatenate([np.zeros(len(at), np.int64), node]), "b": np.concatenate([np.zeros(len(at), np.int64), root]),
+            "cls": np.concatenate([cls, np.zeros(len(node), np.int64)]), "n": np.concatenate([sums, np.zeros(len(node), np.int64)]),
+            "a": np.concatenate([np.zeros(len(cls), np.int64), node]), "b": np.concatenate([np.zeros(len(cls), np.int64), root]),
         })
 
     return run
 
 
-def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", pivots: int = PIVOTS, nearest: int = NEAREST, shared: int = SHARED, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", pivots: int | None = None, nearest: int = NEAREST, shared: int = SHARED, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """(key, n_links, component_id, kept) for every row of ``rows``."""
     spark = rows.sparkSession
     parts = partitions(spark)
     v = F.transform(F.col(vector), lambda x: x.cast("double"))
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     valid = F.col(key).isNotNull() & F.col(label).isNotNull() & F.col(vector).isNotNull() & finite & F.exists(v, lambda x: x != 0)
-    base = rows.select(F.col(key).cast("long").alias("id"), F.col(label).cast("string").alias("label"), v.alias("v"), F.coalesce(valid, F.lit(False)).alias("valid"))
+    narrow = dict(rows.dtypes)[vector] == "array<float>"
+    element, kind = ("float", "<f4") if narrow else ("double", "<f8")
+    base = rows.select(F.col(key).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.col(vector).cast(f"array<{element}>").alias("v"), F.coalesce(valid, F.lit(False)).alias("valid"))
     base = base.withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(0x5EED), "v")})
-    once = base.where("valid").groupBy("label", "h1", "h2", "id").agg(F.first("v").alias("v"))
-    grouped = once.groupBy("label", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v"))
-    classes = Table(grouped.withColumns({"cls": F.monotonically_increasing_id(), "label_no": F.xxhash64("label"), "size": F.size("v")}))
-    chosen = classes.df.select("v", F.xxhash64(F.lit(11), "rep").alias("_h"), "rep").orderBy("_h", "rep").limit(SAMPLE).collect()
+    # one row for each distinct vector: its least id and, as rows can repeat, the number of its ids
+    ids = base.where("valid").select("label", "h1", "h2", "id").distinct().groupBy("label", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    own = Table(ids.withColumn("cls", F.xxhash64("label", "h1", "h2")))
+    # vectors move once; repeated rows fall together where the join has put them
+    at = ["id", "label", "h1", "h2"]
+    of_rep = base.where("valid").join(own.df.withColumnRenamed("rep", "id"), at).dropDuplicates(at)
+    classes = of_rep.select(F.col("id").alias("rep"), "cls", "copies", F.xxhash64("label").alias("label_no"), F.size("v").alias("size"), "v")
+    n = own.df.count()
+    pivots = pivots or min(MOST_PIVOTS, max(PIVOTS, n // MEMBERS))
+    sampled = own.df.select("rep").distinct().select("rep", F.xxhash64(F.lit(11), "rep").alias("_h")).orderBy("_h", "rep").limit(SAMPLE * pivots)
+    chosen = base.where("valid").join(sampled, F.col("id") == F.col("rep")).groupBy("_h", "rep").agg(F.min("v").alias("v")).orderBy("_h", "rep").collect()
     width = max((len(r.v) for r in chosen), default=1)
-    sample = _unit(np.array([[*r.v, *[0.0] * (width - len(r.v))] for r in chosen])) if chosen else np.zeros((0, 1))
-    matrix = spread_out(sample, pivots)
-    shared = min(shared, len(matrix), nearest)
+    matrix = spread_out(_unit(np.array([[*r.v, *[0.0] * (width - len(r.v))] for r in chosen], np.float64)) if chosen else np.zeros((0, 1)), pivots)
+    nearest = min(nearest, len(matrix))
+    # with few pivots any one that both have makes a candidate
+    shared = max(1, min(shared, nearest)) if len(matrix) > 2 * nearest else min(1, nearest)
+    kept = nearest - shared + 1
     where = spark.sparkContext.broadcast(matrix)
-    fields = "rep long, cls long, copies long, label_no long, size int, v array<double>"
-    described = Table(classes.df.select("rep", "cls", "copies", "label_no", "size", "v").mapInArrow(_describe(where, nearest), fields + ", near array<int>"))
-    lists = described.df.withColumn("pivot", F.explode("near"))
-    lengths = described.df.select("label_no", "size", F.explode("near").alias("pivot")).groupBy("label_no", "size", "pivot").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    spread = lists.join(lengths, ["label_no", "size", "pivot"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    fields = "rep long, cls long, copies long, label_no long, size int, v binary"
+    described = Table(classes.mapInArrow(_describe(where, nearest, kind), fields + ", near binary"))
+    used = described.df.select("near").mapInArrow(_list_lengths(len(matrix)), "pivot int, n long").groupBy("pivot").agg(F.sum("n").alias("n")).collect()
+    length = np.zeros(max(len(matrix), 1), np.int64)
+    for r in used:
+        length[r.pivot] = r.n
+    order = spark.sparkContext.broadcast(np.argsort(np.argsort(length, kind="stable")))
+    lists = Table(described.df.mapInArrow(_in_lists(order, kept), fields + ", near binary, pivot int"))
+    lengths = lists.df.groupBy("label_no", "size", "pivot").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
+    mine = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
+    spread = lists.df.join(lengths, ["label_no", "size", "pivot"]).withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tasks = spread.select("rep", "cls", "copies", "label_no", "size", "v", "near", "pivot", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     task = F.pmod(F.xxhash64("label_no", "size", "pivot", "i", "j"), F.lit(4 * parts)).alias("task")
-    found = Table(tasks.groupBy(task).applyInArrow(_links(threshold, shared, max(len(matrix), 1)), "cls long, n long, a long, b long"))
+    found = Table(tasks.groupBy(task).applyInArrow(_links(threshold, shared, kept, kind), "cls long, n long, a long, b long"))
     linked = connected_components(found.df.where("n = 0").select("a", "b"))
     sums = found.df.where("n > 0").groupBy("cls").agg(F.sum("n").alias("more"))
-    by_class = classes.df.select("label", "h1", "h2", "rep", "copies", "cls").join(sums, "cls", "left").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
+    by_class = own.df.join(sums, "cls", "left").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
     by_class = by_class.select("label", "h1", "h2", F.coalesce("component", "rep").alias("c"), (F.coalesce("more", F.lit(0)) + F.col("copies") - 1).alias("n"))
-    joined = base.join(by_class, ["label", "h1", "h2"], "left")
+    joined = base.drop("v").join(by_class, ["label", "h1", "h2"], "left")
     good = F.col("valid") & F.col("c").isNotNull()
     out = Table(joined.select(F.col("id").alias(key), F.when(good, F.col("n")).otherwise(0).alias("n_links"), F.when(good, F.col("c")).otherwise(F.col("id")).alias("component_id")).withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(False))))
-    for t in (classes, described, found):
+    for t in (own, described, lists, found):
         t.drop()
     return out.df

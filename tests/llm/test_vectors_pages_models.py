@@ -43,6 +43,21 @@ def test_links_of_vectors_and_recall(spark, block):
     assert sum(got[i] == wanted[i] for i in wanted) >= 0.95 * len(wanted)
 
 
+def test_recall_of_vectors_in_a_cone(spark):
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x = unit(0.33 * unit(rng.normal(size=(1500, 64))) + unit(rng.normal(size=64)))
+    side = rng.normal(size=x.shape)
+    side = unit(side - (side * x).sum(axis=1, keepdims=True) * x)
+    both = np.concatenate([x, 0.982 * x + np.sqrt(1 - 0.982**2) * side])
+    rows = spark.createDataFrame([(i, [float(c) for c in v], 0) for i, v in enumerate(both)], VECTORS)
+    exact = (unit(np.float32(both).astype(float)) @ unit(np.float32(both).astype(float)).T >= 0.98).sum(axis=1) - 1
+    got = {r.vec_id: r.n_links for r in pivot_dedup.near_duplicates(rows).collect()}
+    assert exact.sum() > 2000
+    assert sum(got.values()) >= 0.9 * exact.sum() and all(got[i] <= n for i, n in enumerate(exact))
+    assert len(pivot_dedup.spread_out(unit(x), 128)) == 128
+
+
 def test_odd_vectors(spark):
     nan = float("nan")
     rows = [(1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (3, [2.0, 0.1], 1), (4, [0.0, 0.0], 1), (5, None, 1), (6, [1.0, 0.0], None), (7, [1.0, nan], 1), (8, [1.0, None], 1), (9, [1.0, 0.0], 2), (10, [-1.0, 0.0], 1), (11, [], 1), (12, [1.0], 1), (13, [1.0, float("inf")], 1)]
