@@ -6,7 +6,7 @@ import sys
 import numpy as np
 import pyarrow as pa
 import pytest
-from brute import DATA, decontamination, repeats, similar
+from brute import DATA, WORD, decontamination, repeats, similar
 from pyspark.sql import functions as F
 
 from arcavec.llm import bpe, decontaminate, kernels as K, license_scan, ngram_join, suffix_dedup
@@ -267,15 +267,49 @@ def test_licenses_are_found_with_their_spans(spark):
     assert got[0] == (0, "MIT", 5, 7, 37)
     assert [g[:3] for g in got if g[0] == 1] == [(1, "MIT", 5)]
     assert [(g[3], g[4]) for g in got if g[0] == 7] == [(0, 30), (34, 64)]
-    (long,) = [g for g in got if g[0] == 6]
+    (long,) = [g for g in got if g[0] == 6 and g[1] == "MIT-text"]
     words = lambda t: __import__("brute").WORD.findall(t.translate(__import__("brute").LOW))
-    assert long[1] == "MIT-text" and long[2] == kept_words(words(mit), words(worn))
-    assert texts[6].encode()[long[3] : long[4]].decode().startswith("Permission") and texts[6].encode()[: long[4]].decode().endswith("conditions")
+    assert long[2] == kept_words(words(mit), words(worn))
+    assert texts[6].encode()[long[3] : long[4]].decode().startswith("Permission") and texts[6].encode()[: long[4]].decode().endswith("IN THE SOFTWARE")
     assert {g[0] for g in got} == {0, 1, 2, 6, 7} and [g[2] for g in got if g[0] == 2] == [4]
     short = license_scan.find_licenses(docs_of(spark, ["say CC0 now", "CC1"]), {"tiny": "CC0", "none": "..."}).collect()
     assert [(r.doc_id, r.license_id, r.word_start, r.word_end) for r in short] == [(0, "tiny", 1, 2)]
-    with pytest.raises(ValueError):
-        license_scan.Index({"big": "w " * (license_scan.MAX_TEMPLATE_WORDS + 1)})
+    in_blocks = license_scan.find_licenses(docs_of(spark, texts), block_words=1)
+    assert sorted((r.doc_id, r.license_id, r.words_kept, r.byte_start, r.byte_end) for r in in_blocks.collect()) == got
+    twice = docs_of(spark, [texts[0], texts[0]]).withColumn("doc_id", F.lit(5)).withColumn("coverage", F.lit("clash")).withColumn("key", F.lit(1))
+    assert [(r.doc_id, r.license_id) for r in license_scan.find_licenses(twice).collect()] == [(5, "MIT")] * 2
+    assert license_scan.find_licenses(docs_of(spark, []), None).count() == 0
+
+
+def test_edited_licenses_are_found_and_scrambled_ones_are_not(spark):
+    rnd = random.Random(2)
+    low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    words = lambda t: WORD.findall(t.translate(low))
+    texts, wanted = [], []
+    for name, template in sorted(license_scan.TEMPLATES.items()):
+        w = words(template)
+        if len(w) < 32:
+            continue
+        for share in (0.0, 0.1, 0.2):  # words replaced, dropped and put in, up to a fifth of them
+            out = list(w)
+            for at in sorted(rnd.sample(range(len(w)), int(share * len(w))), reverse=True):
+                out[at : at + 1] = rnd.choice(([f"x{at}"], [], [f"x{at}", f"y{at}"], [out[at], f"z{at}"]))
+            texts.append(" ".join(["intro"] * rnd.randint(0, 9) + out + ["end"] * rnd.randint(0, 9)))
+            wanted.append((name, kept_words(w, out)))
+    mit = words(license_scan.TEMPLATES["MIT-text"])
+    for step in (5, 7, 9, 13):  # foreign words between, all of the text's own in order
+        texts.append(" ".join(x for i, w in enumerate(mit) for x in ((w, f"x{i}") if i % (len(mit) // step) == 0 else (w,))))
+        wanted.append(("MIT-text", len(mit)))
+    scrambled = len(texts)
+    texts += [" ".join(rnd.sample(w, len(w))) for w in (words(t) for t in license_scan.TEMPLATES.values())]
+    texts.append((" ".join(mit) + " filler" * 40 + " ") * 50)  # a long text
+    got = {}
+    for r in license_scan.find_licenses(docs_of(spark, texts)).collect():
+        got.setdefault(r.doc_id, []).append((r.license_id, r.words_kept))
+    missed = [(i, w) for i, w in enumerate(wanted) if w not in got.get(i, [])]
+    assert not missed
+    assert not [i for i in range(scrambled, len(texts) - 1) if any(dict(license_scan.TEMPLATES)[n].count(" ") > 10 for n, _ in got.get(i, []))]
+    assert got[len(texts) - 1].count(("MIT-text", len(mit))) == 50
 
 
 def test_license_query_finds_all_planted_lines(spark):
