@@ -50,7 +50,7 @@ SLICES = 64
 #: How many parts of a sketch are added up in one task.
 FAN_IN = 32
 BITS = 512
-BLOCK = 1024
+BLOCK = 512
 
 U64 = np.uint64
 _WORD = np.ones(256, bool)
