@@ -9,7 +9,7 @@ positions, and their spans are merged within each document.
 
 Documents are never shuffled. The windows travel to the executors in blocks of at most
 ``BLOCK_WORDS`` item words, so what is broadcast has a fixed bound; with more than one block each
-is a pass of its own over the documents and the spans of the passes meet by document row.
+is a pass of its own, and each row carries its text, spans and items from pass to pass.
 
 Defined cases: a null or empty text has no words and comes out with zeros; an item that is null or
 has no words has no window; rows of an item_id that repeats count as one item; an item with a null
@@ -104,8 +104,16 @@ def scan_shard(data: np.ndarray, offsets: np.ndarray, windows: Windows):
     return starts, ends, rows, hit, pairs[0], pairs[1]
 
 
-def _scan(windows: Windows, keep_all: bool):
-    """mapInArrow function: the row's key, its number of words, hit spans as word and byte ranges, and items found."""
+def _extended(before: pa.Array, new: pa.ListArray) -> pa.Array:
+    """Lists with the values of ``new`` after those of ``before``, row by row."""
+    if not len(new.values):
+        return before
+    own = new.to_pylist()
+    return pa.array([x + y if y else x for x, y in zip(before.to_pylist(), own, strict=True)], before.type)
+
+
+def _scan(windows: Windows, first: bool, last: bool):
+    """mapInArrow function over (key, text) and, after the first pass, what passes before it found: the row's number of words, hit spans as word and byte ranges, and items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,10 +124,12 @@ def _scan(windows: Windows, keep_all: bool):
                 cut = np.searchsorted(row, np.arange(hi - lo + 1)).astype(np.int32)
                 found = np.searchsorted(doc, np.arange(hi - lo + 1)).astype(np.int32)
                 origin = offsets[row]
-                spans = [pa.ListArray.from_arrays(pa.array(cut), pa.array(x.astype(np.int64))) for x in (a - rows[row], b - rows[row], starts[a] - origin, ends[b - 1] - origin)]
-                ids = pa.ListArray.from_arrays(pa.array(found), pa.array([windows.items[k] for k in item], pa.string()))
-                out = pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(rows).astype(np.int64)), *spans, ids], names=["key", "n_words", "w0", "w1", "b0", "b1", "items"])
-                yield out if keep_all else out.filter(pa.array(np.diff(cut) > 0))
+                lists = {n: pa.ListArray.from_arrays(pa.array(cut), pa.array(x.astype(np.int64))) for n, x in (("w0", a - rows[row]), ("w1", b - rows[row]), ("b0", starts[a] - origin), ("b1", ends[b - 1] - origin))}
+                lists["items"] = pa.ListArray.from_arrays(pa.array(found), pa.array([windows.items[k] for k in item], pa.string()))
+                if not first:
+                    lists = {n: _extended(batch.column(n).slice(lo, hi - lo), x) for n, x in lists.items()}
+                kept = [n for n in ("key", "text")[: 1 if last else 2]]
+                yield pa.RecordBatch.from_arrays([*(batch.column(n).slice(lo, hi - lo) for n in kept), pa.array(np.diff(rows).astype(np.int64)), *lists.values()], names=[*kept, "n_words", *lists])
 
     return run
 
@@ -141,29 +151,28 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     """Every row of ``docs`` by its key, with n_words, the merged hit spans and the items found.
 
     spans: array of (w0, w1, b0, b1), word and byte ranges, ends excluded. items: sorted item ids.
-    With several blocks ``key`` must tell rows apart; rows that share a key then share their spans.
     """
-    schema = f"key {dict(docs.dtypes)[key]}, n_words long, w0 array<long>, w1 array<long>, b0 array<long>, b1 array<long>, items array<string>"
+    found = "n_words long, w0 array<long>, w1 array<long>, b0 array<long>, b1 array<long>, items array<string>"
+    kind = dict(docs.dtypes)[key]
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    parts = [rows.mapInArrow(_scan(Windows(block, width), k == 0), schema) for k, block in enumerate(blocks(benchmark, block_words))]
-    if len(parts) > 1:
-        first, rest = parts[0], parts[1]
-        for x in parts[2:]:
-            rest = rest.unionByName(x)
-        extra = rest.groupBy("key").agg(*(F.flatten(F.collect_list(c)).alias(f"{c}_") for c in ("w0", "w1", "b0", "b1", "items")))
-        both = first.join(extra, first.key.eqNullSafe(extra.key), "left").drop(extra.key)
-        first = both.select("key", "n_words", *(F.concat(c, F.coalesce(f"{c}_", F.array())).alias(c) for c in ("w0", "w1", "b0", "b1", "items")))
-        spans = F.array_sort(F.arrays_zip("w0", "w1", "b0", "b1"))
-        empty = F.array().cast("array<struct<w0:bigint,w1:bigint,b0:bigint,b1:bigint>>")
-
-        def merged(done, x):
-            last = F.element_at(done, -1)
-            joined = F.struct(last["w0"].alias("w0"), F.greatest(last["w1"], x["w1"]).alias("w1"), last["b0"].alias("b0"), F.greatest(last["b1"], x["b1"]).alias("b1"))
-            apart = (F.size(done) == 0) | (F.try_element_at(done, F.lit(-1))["w1"] < x["w0"])
-            return F.when(apart, F.concat(done, F.array(x))).otherwise(F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined)))
-
-        return first.select(F.col("key").alias(key), "n_words", F.aggregate(spans, empty, merged).alias("spans"), F.array_sort(F.array_distinct("items")).alias("items"))
-    return parts[0].select(F.col("key").alias(key), "n_words", F.arrays_zip("w0", "w1", "b0", "b1").alias("spans"), F.array_sort("items").alias("items"))
+    passes, ahead = 0, blocks(benchmark, block_words)
+    block = next(ahead)
+    while block is not None:
+        after = next(ahead, None)
+        rows = rows.mapInArrow(_scan(Windows(block, width), passes == 0, after is None), f"key {kind}, {'' if after is None else 'text string, '}{found}")
+        passes, block = passes + 1, after
+    spans = F.arrays_zip("w0", "w1", "b0", "b1")
+    if passes == 1:
+        return rows.select(F.col("key").alias(key), "n_words", spans.alias("spans"), F.array_sort("items").alias("items"))
+    empty = F.array().cast("array<struct<w0:bigint,w1:bigint,b0:bigint,b1:bigint>>")
+
+    def merged(done, x):
+        last = F.element_at(done, -1)
+        joined = F.struct(last["w0"].alias("w0"), F.greatest(last["w1"], x["w1"]).alias("w1"), last["b0"].alias("b0"), F.greatest(last["b1"], x["b1"]).alias("b1"))
+        apart = (F.size(done) == 0) | (F.try_element_at(done, F.lit(-1))["w1"] < x["w0"])
+        return F.when(apart, F.concat(done, F.array(x))).otherwise(F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined)))
+
+    return rows.select(F.col("key").alias(key), "n_words", F.aggregate(F.array_sort(spans), empty, merged).alias("spans"), F.array_sort(F.array_distinct("items")).alias("items"))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

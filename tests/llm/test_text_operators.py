@@ -45,6 +45,16 @@ def test_decontamination_equals_brute_force(spark, block_words):
     assert cut == dict(without_hits([(i, t) for i, t in enumerate(texts) if t is not None], [x for x in items if x[0] is not None]))
 
 
+@pytest.mark.parametrize("block_words", [1 << 20, 20])
+def test_decontamination_of_repeated_keys_and_long_texts(spark, block_words):
+    items = [(i, t) for i, t in enumerate(texts_of(5, 8, 40))]
+    texts = [items[1][1], items[2][1] + " x " + items[5][1], "nothing", items[1][1], "pad " * 30_000 + items[3][1], None]
+    docs = spark.createDataFrame([(k, t) for k, t in zip((7, 7, 7, 7, None, None), texts, strict=True)], "doc_id long, text string").withColumn("n_words", F.lit("clash"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.report(docs, bench, block_words=block_words).collect())
+    assert got == sorted(decontamination(list(enumerate(texts)), items))
+
+
 @pytest.mark.parametrize("hot", [512, 6])
 def test_repeats_equal_brute_force(spark, hot):
     rnd = random.Random(4)
