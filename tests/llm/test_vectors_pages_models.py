@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -153,6 +155,112 @@ def test_language_of_odd_rows(spark):
     assert language_id.identify(df.limit(0), model).count() == 0
 
 
+def plain_bayes(train, texts, bits=16):
+    """Multinomial naive Bayes over hashed character bigrams and trigrams, one character at a time."""
+
+    def grams(text):
+        low = [ord(c.lower()) if len(c.lower()) == 1 and ord(c) < 0x250 else ord(c) for c in text]
+        for n in (2, 3):
+            for k in range(len(low) - n + 1):
+                h = n
+                for c in low[k : k + n]:
+                    h = (h ^ c) * 0x9E3779B1 % 2**32
+                    h ^= h >> 15
+                yield (h * 0x85EBCA6B % 2**32) >> (32 - bits)
+
+    langs = sorted({lang for _, lang in train})
+    counts = {lang: Counter(g for t, x in train if x == lang for g in grams(t)) for lang in langs}
+    out = []
+    for text in texts:
+        score = []
+        for lang in langs:
+            total = sum(counts[lang].values()) + 0.5 * 2**bits
+            score.append(math.log(sum(x == lang for _, x in train) / len(train)) + sum(math.log((counts[lang][g] + 0.5) / total) for g in grams(text)))
+        best = max(range(len(langs)), key=lambda k: score[k])
+        out.append((langs[best], 1 / sum(math.exp(s - score[best]) for s in score)))
+    return out
+
+
+def test_language_equals_a_plain_version(spark):
+    rnd = random.Random(6)
+    letters = {"aa": "abcdeé", "bb": "bcdefß", "cc": "xyzÄöü", "dd": "abcxyz"}
+    text = lambda lang, n: "".join(rnd.choice(letters[lang] + " AB") for _ in range(n))
+    train = [(text(lang, rnd.randint(0, 60)), lang) for lang in ("aa", "aa", "aa", "bb", "cc", "dd") for _ in range(20)]
+    texts = [text(lang, n) for lang in letters for n in (1, 2, 3, 5, 8, 40)] + ["Q", text("bb", 200_000)]
+    model = language_id.fit(spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(train)], "doc_id long, text string, lang string"))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, (lang, score) in enumerate(plain_bayes(train, texts)):
+        if any(c.isalpha() for c in texts[i]):
+            assert got[i][0] == lang and abs(got[i][1] - score) < 1e-4, i
+    assert got[len(texts) - 2][0] == "aa"  # no bigram: the prior decides
+    assert language_id.bucket_bits(4) == 16 and language_id.bucket_bits(512) == 16
+    for n in (513, 20_000, 1 << 30):
+        assert n << language_id.bucket_bits(n) <= language_id.CELLS or n == 1 << 30
+
+
+def test_many_languages_share_a_bounded_matrix(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "CELLS", 1 << 12)
+    rows = [(i, f"{chr(97 + i % 20)}{chr(97 + i // 20)}" * 5, f"l{i}") for i in range(60)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.weights.shape == (60, 64) and len(model.langs) == 60
+
+
+def plain_ordinal(x, grade, k, l2=1e-6):
+    """A dense cumulative-link fit by gradient descent with a halved step where the loss grows."""
+
+    def loss(p):
+        cuts = np.concatenate([[-50.0], p[-k] + np.concatenate([[0], np.cumsum(np.exp(p[len(p) - k + 1 :]))]), [50.0]])
+        eta = x @ p[:-k]
+        s = lambda z: 1 / (1 + np.exp(-z))
+        return -np.log(np.maximum(s(cuts[grade + 1] - eta) - s(cuts[grade] - eta), 1e-12)).mean() + l2 / 2 * (p[:-k] ** 2).sum()
+
+    p, step, best = np.zeros(x.shape[1] + k), 1.0, None
+    for _ in range(3000):
+        now = loss(p)
+        g = np.array([(loss(p + e) - loss(p - e)) / 2e-5 for e in 1e-5 * np.eye(len(p))])
+        while loss(p - step * g) > now and step > 1e-9:
+            step /= 2
+        p, step, best = p - step * g, step * 1.3, now
+        if np.abs(g).max() < 1e-5:
+            break
+    return p, loss, best
+
+
+def test_ordinal_fit_equals_a_plain_one():
+    rng = np.random.default_rng(3)
+    n = 600
+    x = (rng.random((n, 4)) < [0.4, 0.3, 0.5, 0.2]).astype(float)
+    score = x @ [2.0, 1.0, -1.5, 2.5] + rng.logistic(size=n)
+    grade = np.digitize(score, [0.5, 2.0])
+    row, feature = np.nonzero(x)
+    model = ordinal.fit_rows(feature * 10, row, grade, 3, False)
+    assert {0, 30} <= set(model.feature) <= {0, 10, 20, 30}
+    x = x[:, model.feature // 10]  # the lasso has chosen; the plain fit has the same features
+    p, loss, best = plain_ordinal(x, grade, 2)
+    mine = np.concatenate([model.weight, [model.thresholds[0], np.log(np.diff(model.thresholds))[0]]])
+    assert loss(mine) <= best + 1e-4
+    tails = model.tails(x @ model.weight)
+    plain = 1 / (1 + np.exp(-((x @ p[:-2])[:, None] - np.array([p[-2], p[-2] + np.exp(p[-1])]))))
+    assert np.abs(tails - plain).max() < 0.02
+
+
+@pytest.mark.parametrize("m", [toxicity, quality])
+def test_predictions_equal_a_plain_sum_of_weights(spark, m):
+    rnd = random.Random(1)
+    docs = [(i, " ".join(rnd.choice(("fine", "good", "word", "plain", *(("awful", "nasty") if i % 4 == 0 else ()))) for _ in range(30))) for i in range(400)]
+    labels = [(i, 0 if i % 8 == 0 else 1, int(i % 4 == 0)) for i in range(400)]
+    df = spark.createDataFrame([*docs, (900, "fine nasty awful " * 40_000), (901, "awful"), (901, "awful"), (902, None)], "doc_id long, text string")
+    model = m.fit(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    table = dict(zip(model.feature.tolist(), model.weight.tolist(), strict=True))
+    rows = [(r.doc_id, r.text, r.expected_severity if m is toxicity else r.expected_quality) for r in m.predict(df, model).collect()]
+    assert len(rows) == 404 and table
+    for _, text, expected in rows:
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        feature, _ = ordinal.features(data, np.array([0, len(data)]), model.shapes)
+        score = sum(table.get(f, 0.0) for f in set(feature.tolist()))
+        assert abs(expected - sum(1 / (1 + math.exp(t - score)) for t in model.thresholds)) < 1e-4
+
+
 def test_models_of_odd_tables(spark):
     docs = spark.createDataFrame([(1, "fine words"), (2, None), (3, ""), (4, "x" * 50_000), (4, "x" * 50_000), (None, "fine")], "doc_id long, text string").withColumn("tails", F.lit("clash")).withColumn("p_toxic", F.lit("clash"))
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 1), (2, None, None), (99, 1, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
