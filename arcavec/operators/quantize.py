@@ -109,7 +109,7 @@ def rotated(vectors: DataFrame, rounds: int = 1, seed: int | None = None, normal
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, out.shape[1]), pa.int32()), pa.array(out.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column("vec_id"), lists], names=["vec_id", "rotated"])
 
-    return vectors.select("vec_id", "embedding").mapInArrow(run, "vec_id long, rotated array<double>")
+    return vectors.select("vec_id", "embedding").where("embedding is not null").mapInArrow(run, "vec_id long, rotated array<double>")
 
 
 def turbo_encode(rows: np.ndarray, bits: int, rounds: int = 3, seed: int | None = 0x42) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +135,7 @@ def turbo_scores(query: Sequence[float], code: np.ndarray, scale: np.ndarray, bi
 
 
 def turbo_codes(vectors: DataFrame, bits: int, rounds: int = 3, seed: int | None = 0x42) -> DataFrame:
-    """(vec_id, code binary of packed levels, scale double)."""
+    """(vec_id, code binary of packed levels, scale double); null vectors have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,7 +145,7 @@ def turbo_codes(vectors: DataFrame, bits: int, rounds: int = 3, seed: int | None
                 packed = (code.reshape(len(code), -1, per) << (np.arange(per) * bits).astype(np.uint8)).sum(axis=2).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array([x.tobytes() for x in packed], pa.binary()), pa.array(scale)], names=["vec_id", "code", "scale"])
 
-    return vectors.select("vec_id", "embedding").mapInArrow(run, "vec_id long, code binary, scale double")
+    return vectors.select("vec_id", "embedding").where("embedding is not null").mapInArrow(run, "vec_id long, code binary, scale double")
 
 
 def turbo_search(codes: DataFrame, vectors: DataFrame, query: Sequence[float], k: int, bits: int, budget: int | None = None, rounds: int = 3, seed: int | None = 0x42) -> DataFrame:
@@ -204,7 +204,7 @@ def pq_codes(vectors: DataFrame, codebook: np.ndarray) -> DataFrame:
                 code = np.stack([nearest_centroid(x, b) for x, b in zip(parts, book, strict=True)], axis=1).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array([x.tobytes() for x in code], pa.binary())], names=["vec_id", "code"])
 
-    return vectors.select("vec_id", "embedding").mapInArrow(run, "vec_id long, code binary")
+    return vectors.select("vec_id", "embedding").where("embedding is not null").mapInArrow(run, "vec_id long, code binary")
 
 
 def pq_distances(codes: DataFrame, codebook: np.ndarray, query: Sequence[float]) -> DataFrame:
@@ -244,46 +244,3 @@ def bitplane_score(words: Sequence[Column], planes: Sequence[Sequence[int]]) ->
         for w, x in zip(words, plane, strict=True):
             total = total + F.bit_count(w.bitwiseAND(F.lit(x).cast("long"))).cast("long") * (1 << p)
     return total
-
-
-class ProxyController:
-    """Chooses between two proxies from sampled recalls of both: moving averages, a warm-up, and a number of equal decisions before a change."""
-
-    EVERY = 50
-
-    def __init__(self, mode: str = "hybrid", tolerance: float = 0.01, weight: float = 0.2, warmup: int = 20, patience: int = 3):
-        self.mode, self.tolerance, self.weight, self.warmup, self.patience = mode, tolerance, weight, warmup, max(1, patience)
-        self.fast: float | None = None
-        self.full: float | None = None
-        self.samples = self.waiting = 0
-
-    def samples_query(self, index: int) -> bool:
-        return index % self.EVERY == 0
-
-    def record(self, fast: float, full: float) -> str:
-        self.samples += 1
-        blend = lambda old, new: new if old is None else old + self.weight * (new - old)
-        self.fast, self.full = blend(self.fast, fast), blend(self.full, full)
-        if self.samples >= self.warmup:
-            wanted = "hybrid" if self.fast >= self.full - self.tolerance else "asymmetric"
-            self.waiting = 0 if wanted == self.mode else self.waiting + 1
-            if self.waiting >= self.patience:
-                self.mode, self.waiting = wanted, 0
-        return self.mode
-
-
-def controller_modes(samples: DataFrame, key: str = "key", seq: str = "seq") -> DataFrame:
-    """(key, seq, mode) after each sample (key, seq, fast, full). A key's samples are read in order as a stream, so only the controller's state is held."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, controller = object(), None
-        for batch in batches:
-            modes = []
-            for k, fast, full in zip(*(batch.column(c).to_pylist() for c in ("key", "fast", "full")), strict=True):
-                if k != current:
-                    current, controller = k, ProxyController()
-                modes.append(controller.record(fast, full))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("seq"), pa.array(modes, pa.string())], names=["key", "seq", "mode"])
-
-    rows = samples.select(F.col(key).cast("string").alias("key"), F.col(seq).cast("long").alias("seq"), "fast", "full")
-    return rows.repartition("key").sortWithinPartitions("key", "seq").mapInArrow(run, "key string, seq long, mode string")
