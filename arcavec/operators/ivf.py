@@ -19,6 +19,8 @@ from arcavec.operators.quantize import unit
 
 MIN_CELLS, MAX_CELLS = 64, 65_536
 SAMPLE_ROWS = 50_000
+#: Ranges of ids that are counted to find ranks.
+RANGES = 65_536
 DIGITS = 6
 
 
@@ -27,21 +29,31 @@ def cells_for(n: int) -> int:
 
 
 def seeds(vectors: DataFrame, n_cells: int) -> np.ndarray:
-    """Vectors evenly spaced in the order of ids. Ids are ranked by a count of each range partition first, so no window spans the table."""
-    ordered = vectors.select("vec_id", "embedding").repartitionByRange("vec_id").sortWithinPartitions("vec_id").withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
-    counts = {r._p: (r.n, r.first) for r in ordered.groupBy("_p").agg(F.count("*").alias("n"), F.min("_i").alias("first")).collect()}
-    n = sum(c for c, _ in counts.values())
+    """Vectors evenly spaced in the order of ids, the same in each run.
+
+    Ids are counted by ``RANGES`` equal ranges of values, which tells in which range each wanted rank
+    is and how far; only ids of those ranges are ranked.
+    """
+    ids = vectors.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"))
+    low, high, n = ids.agg(F.min("vec_id"), F.max("vec_id"), F.count("*")).first()
     if not n:
         return np.zeros((0, 0))
     n_cells = max(1, min(n_cells, n))
     step = max(1, n // n_cells)
     wanted = sorted({(c * step) % n for c in range(n_cells)})
-    ids, start = [], 0
-    for p in sorted(counts):
-        size, first = counts[p]
-        ids += [first + w - start for w in wanted if start <= w < start + size]
-        start += size
-    rows = ordered.where(F.col("_i").isin(ids)).orderBy("_i").select("embedding").collect()
+    width = (high - low) // RANGES + 1
+    ranged = ids.withColumn("range", F.floor((F.col("vec_id") - F.lit(low)) / F.lit(width)).cast("int"))
+    counts = np.zeros(RANGES + 1, np.int64)
+    for r in ranged.groupBy("range").agg(F.count("*").alias("n")).collect():  # at most RANGES + 1 rows
+        counts[r.range] = r.n
+    ends = np.cumsum(counts)
+    of = np.searchsorted(ends, wanted, side="right")
+    picks = vectors.sparkSession.createDataFrame([(int(r), int(w - (ends[r] - counts[r])), w) for r, w in zip(of, wanted, strict=True)], "range int, at int, rank long")
+    picks = F.broadcast(picks)  # at most MAX_CELLS rows
+    near = ranged.join(picks.select("range").distinct(), "range", "left_semi")
+    placed = near.withColumn("at", F.row_number().over(Window.partitionBy("range").orderBy("vec_id")) - 1)
+    chosen = F.broadcast(placed.join(picks, ["range", "at"]).select("vec_id", "rank"))
+    rows = vectors.where("embedding is not null").join(chosen, "vec_id").groupBy("rank").agg(F.first("embedding").alias("embedding")).orderBy("rank").collect()
     return np.array([r.embedding for r in rows], np.float64)
 
 
@@ -58,11 +70,12 @@ def assign(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
                 cell = sim.argmax(axis=1)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(sim[np.arange(len(cell)), cell])], names=[*batch.schema.names, "cell", "sim"])
 
-    return vectors.mapInArrow(run, schema)
+    return vectors.where("embedding is not null").mapInArrow(run, schema)
 
 
 def fit(vectors: DataFrame, n_cells: int, rounds: int = 5, sample_rows: int = SAMPLE_ROWS) -> np.ndarray:
     """Centroids by Lloyd iterations with cosine assignment on at most about ``sample_rows`` rows; means aren't normalised again."""
+    vectors = vectors.where("embedding is not null")
     n = vectors.count()
     part = vectors if n <= sample_rows else vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int(sample_rows / n * (1 << 20)))
     centroids = seeds(vectors, n_cells)
