@@ -26,6 +26,16 @@ def compactable(records: DataFrame) -> DataFrame:
     return sums.where(F.col("live") < LIVE_RATIO * F.col("total"))
 
 
+def reclaim(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(records after compaction, the bytes it frees by segment): live records of compactable segments move to a new one past the last, dead ones go."""
+    dead = compactable(records)
+    last = records.agg((F.max("segment") + 1).alias("_new"))
+    marked = records.join(dead.select("segment", F.lit(True).alias("_gone")), "segment", "left").crossJoin(last)  # last is a single row
+    stays = marked.where(F.col("_gone").isNull() | F.col("alive"))
+    after = stays.withColumn("segment", F.when(F.col("_gone"), F.col("_new")).otherwise(F.col("segment"))).drop("_gone", "_new")
+    return after, dead.select("segment", (F.col("total") - F.col("live")).alias("freed"))
+
+
 def resident_bytes(vectors: DataFrame, kinds: tuple[str, ...] = ("f32", "int8", "binary", "tq1", "tq2", "tq4")) -> DataFrame:
     """(kind, rows, bytes) that codes of each kind take."""
     dims = vectors.where("embedding is not null").groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n"))

@@ -2,8 +2,7 @@
 
 A single query's vector is a literal of the plan, so a search is one narrow stage with a partial
 top-k in every task. Many queries go to the executors in blocks of a fixed size, are scored by matrix
-products against each Arrow batch, and leave each batch as k rows a query before anything is
-shuffled. Scores are rounded to ``DIGITS`` before they are ordered; equal scores go by id.
+products against Arrow batches, and leave each task as k rows a query before anything is shuffled. Scores are rounded to ``DIGITS`` before they are ordered; equal scores go by id.
 """
 
 from __future__ import annotations
@@ -34,8 +33,9 @@ def vector_of(vectors: DataFrame, vec_id: int) -> list[float] | None:
 
 
 def scored(vectors: DataFrame, query: Sequence[float]) -> DataFrame:
-    """``vectors`` with their score; a vector of another length than the query is an error."""
+    """``vectors`` with their score; null vectors are left out, one of another length than the query is an error."""
     e = F.col("embedding")
+    vectors = vectors.where("embedding is not null")
     checked = F.when(F.size(e) == len(query), e).otherwise(F.raise_error(F.lit(f"a vector has not {len(query)} components")))
     return vectors.withColumn("score", F.round(V.cosine(checked, V.literal(query)), DIGITS))
 
@@ -104,17 +104,23 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 def _nearest(shared, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, queries = shared.value
+        # the best k of each query over all batches of the task: that is all that is shuffled
+        kept_ids, kept = np.zeros((len(query_ids), 0), np.int64), np.zeros((len(query_ids), 0))
         for batch in batches:
             if not batch.num_rows:
                 continue
             ids = batch.column(0).to_numpy()
-            by = np.argsort(ids, kind="stable")
-            ids, rows = ids[by], _unit(batch.column(1).flatten().to_numpy().astype(np.float64).reshape(len(ids), -1)[by])
+            rows = _unit(batch.column(1).flatten().to_numpy().astype(np.float64).reshape(len(ids), -1))
+            parts = []
             for lo in range(0, len(query_ids), 256):
-                scores = np.round(queries[lo : lo + 256] @ rows.T, DIGITS)
-                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]  # equal scores keep the order of ids
-                q = np.repeat(query_ids[lo : lo + 256], best.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(ids[best.ravel()]), pa.array(np.take_along_axis(scores, best, 1).ravel())], names=["query_id", "vec_id", "score"])
+                part = slice(lo, lo + 256)
+                scores = np.concatenate([kept[part], np.round(queries[part] @ rows.T, DIGITS)], axis=1)
+                every = np.concatenate([kept_ids[part], np.broadcast_to(ids, (len(scores), len(ids)))], axis=1)
+                best = np.lexsort((every, -scores), axis=1)[:, :k]
+                parts.append((np.take_along_axis(every, best, 1), np.take_along_axis(scores, best, 1)))
+            kept_ids, kept = (np.concatenate(x) for x in zip(*parts, strict=True))
+        if kept.size:
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, kept.shape[1])), pa.array(kept_ids.ravel()), pa.array(kept.ravel())], names=["query_id", "vec_id", "score"])
 
     return run
 

@@ -126,11 +126,11 @@ def resume(taken: DataFrame, log: DataFrame, upto: int) -> DataFrame:
     return kv_state(taken.unionByName(later))
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """``df`` computed now and kept in the shared folder (spark.checkpoint.dir; where it is unset, as in tests, a folder of this machine)."""
-    import tempfile
-
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="arcavec-"))
-    return df.checkpoint()
+def shard_of(key, shards: int):
+    """The shard of a key; equal keys are always together. Numbers are this engine's own."""
+    return F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")
+
+
+def routed(log: DataFrame, shards: int, key: str = "key") -> DataFrame:
+    """``log`` with its shard, dealt so that a shard's rows are in one partition, in log order."""
+    return log.withColumn("shard", shard_of(F.col(key), shards)).repartition(shards, "shard").sortWithinPartitions("shard", "seq")

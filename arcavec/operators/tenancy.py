@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Header bytes of a stored record, and the block that records are padded to.
+# Header bytes of a stored record, and the block that records are padded to.
 HEADER, BLOCK = 21, 128
 
-#: Admission classes of commands.
+# Commands by their admission class.
 KINDS = {
     "KvRead": ["GET", "MGET", "EXISTS"],
     "KvWrite": ["SET", "APPEND", "MSET", "DEL", "INCR", "DECR", "INCRBY", "DECRBY", "SUBJECT.ERASE"],
@@ -90,3 +90,35 @@ def erase_tenant(rows: DataFrame, tenant: str) -> DataFrame:
     if not tenant:
         raise ValueError("the unscoped tenant can't be erased")
     return rows.where(F.col("tenant") != tenant)
+
+
+class QuotaExceeded(ValueError):
+    """A write that would take a tenant beyond its quota; nothing of it was written."""
+
+
+def limit(text: str) -> int | None:
+    """A limit as it is set: a number, or * for none."""
+    if text == "*":
+        return None
+    if not (text.isascii() and text.isdigit()):
+        raise ValueError("a limit is a non-negative integer or *")
+    return int(text)
+
+
+def shown(value: int | None) -> str:
+    return "*" if value is None else str(value)
+
+
+def admit_bytes(now: DataFrame, batch: DataFrame, limits: DataFrame) -> DataFrame:
+    """(tenant, held, projected, max_bytes, admitted) of a batch of writes against live records, both (tenant, key, value), and limits (tenant, max_bytes), null or absent for none.
+
+    What a write replaces is given back first; the last of equal keys of the batch, by its value,
+    counts. A tenant's batch is admitted whole or not at all.
+    """
+    size = record_bytes(F.col("key"), F.col("value"))
+    held = now.groupBy("tenant", "key").agg(F.max(size).alias("held"))
+    new = batch.groupBy("tenant", "key").agg(F.max_by(size, F.col("value")).alias("new"))
+    both = held.join(new, ["tenant", "key"], "full")
+    sums = both.groupBy("tenant").agg(F.sum(F.coalesce("held", F.lit(0))).alias("held"), F.sum(F.coalesce("new", "held")).alias("projected"), F.count("new").alias("_writes"))
+    sums = sums.where("_writes > 0").drop("_writes").join(limits, "tenant", "left")
+    return sums.withColumn("admitted", F.coalesce(F.col("projected") <= F.col("max_bytes"), F.lit(True)))

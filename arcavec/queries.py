@@ -12,13 +12,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arcavec.functions import vector as V
-from arcavec.operators import filters, graph, ivf, maintenance, quantize, search, state, tenancy
+from arcavec.catalog import Catalog
+from arcavec.operators import codes, controller, filters, graph, ivf, maintenance, quantize, search, state, tenancy
 from arcavec.plans import planner
-from arcavec.sources import tables
+from arcavec.sources import segments, shared, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 K = 10
-
+#: Queries of a recall row, and the share of exact hits that it asks for.
+RECALL_QUERIES, RECALL = 8, 0.9
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,8 +118,8 @@ def q11_vector_state(spark, sf_dir):
 
 def q12_consolidate(spark, sf_dir):
     log = tables.vectors_log(_vectors(spark, sf_dir))
-    base = state.consolidate(log.where("seq < 1000000"))
-    return state.consolidate_from(base, log, 999999).select("vec_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double")), 6).alias("checksum"))
+    base = state.consolidate(log.where(F.col("seq") < tables.BATCH))
+    return state.consolidate_from(base, log, tables.BATCH - 1).select("vec_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double")), 6).alias("checksum"))
 
 
 def q13_kv_get(spark, sf_dir):
@@ -217,16 +219,42 @@ def q29_controller(spark, sf_dir):
     e = tables.load(spark, sf_dir, "events")
     value = F.coalesce("value", F.lit(0.0))
     samples = e.select("user_id", "event_id", (F.pmod(value, F.lit(1.0))).alias("fast"), (F.pmod(value * 3, F.lit(1.0))).alias("full"))
-    return quantize.controller_modes(samples, "user_id", "event_id")
+    return controller.controller_modes(samples, "user_id", "event_id").select("key", "seq", "n", F.round("fast", 9).alias("fast"), F.round("full", 9).alias("full"), "wanted", "run", "mode")
+
+
+def _recall_row(found: DataFrame, exact: DataFrame, least: float = RECALL, on: tuple[str, ...] = ("query_id", "vec_id")) -> DataFrame:
+    """(hits, recall_ok): how many hits were asked for, and whether the share found is large enough."""
+    both = exact.join(found.select(*on).withColumn("_found", F.lit(1)), list(on), "left")
+    return both.agg(F.count("*").alias("hits"), (F.count("_found") >= least * F.count("*")).alias("recall_ok"))
 
 
 def q30_graph_search(spark, sf_dir):
+    """Recall of graph walks for every vector of the table against exact search."""
+    v = _vectors(spark, sf_dir)
+    queries = v.select(F.col("vec_id").alias("query_id"), "embedding")
+    return _recall_row(graph.search(v, graph.edges(v), queries, K), search.knn(v, queries, K))
+
+
+def q30b_fast_graph_search(spark, sf_dir):
+    """The same with early termination, and only among vectors that a filter allows."""
     v = _vectors(spark, sf_dir)
-    return graph.search(v, graph.edges(v), v.select(F.col("vec_id").alias("query_id"), "embedding"), K)
+    queries, even = v.select(F.col("vec_id").alias("query_id"), "embedding"), v.where("vec_id % 2 = 0")
+    return _recall_row(graph.search(v, graph.edges(v), queries, K, stable=2 * graph.STABLE, ids=even), search.knn(even, queries, K), 0.8)
+
+
+def q30c_graph_trace(spark, sf_dir):
+    """The walk of one query: every step expands another node, and the nearest vector is among them."""
+    v = _vectors(spark, sf_dir)
+    steps = graph.trace(v, graph.edges(v), np.array(_query(v)))
+    return steps.agg((F.count("*") == F.count_distinct("vec_id")).alias("distinct_nodes"), (F.count_if(F.col("vec_id") == 0) == 1).alias("reached"))
 
 
 def q31_degree(spark, sf_dir):
-    return graph.degree_histogram(graph.edges(_vectors(spark, sf_dir)))
+    """Nodes of the graph, whether all have edges and, but for few that join up lost ones, no more than the bound, and whether all edges lead to vectors."""
+    v = _vectors(spark, sf_dir)
+    edges = graph.edges(v)
+    degrees = edges.join(v.select(F.col("vec_id").alias("dst"), F.lit(1).alias("_known")), "dst", "left").groupBy("src").agg(F.count("*").alias("degree"), F.count("_known").alias("known"))
+    return degrees.agg(F.count("*").alias("nodes"), (F.count_if(F.col("degree") > graph.DEGREE) <= 0.01 * F.count("*")).alias("bounded"), F.every(F.col("degree") == F.col("known")).alias("known"))
 
 
 def q32_medoid(spark, sf_dir):
@@ -286,7 +314,7 @@ def q40_vindex_list(spark, sf_dir):
 
 def q41_delete_patch(spark, sf_dir):
     log = tables.vectors_log(_vectors(spark, sf_dir))
-    base, later = log.where("seq < 1000000"), log.where("seq >= 1000000")
+    base, later = log.where(F.col("seq") < tables.BATCH), log.where(F.col("seq") >= tables.BATCH)
     return state.delete_patch(base, later).select("vec_id")
 
 
@@ -362,7 +390,7 @@ def q51_snapshot_resume(spark, sf_dir):
 
 def q52_merge_runs(spark, sf_dir):
     log = tables.vectors_log(_vectors(spark, sf_dir))
-    merged = state.merge_runs(log.where("seq >= 1000000"))
+    merged = state.merge_runs(log.where(F.col("seq") >= tables.BATCH))
     return merged.select("vec_id", "seq", "op")
 
 
@@ -375,6 +403,169 @@ def q53_tenant_keys(spark, sf_dir):
     return rows.groupBy("tenant").agg(F.count("*").alias("keys"), F.sum(tenancy.record_bytes(F.col("key"), F.col("value"))).alias("bytes"))
 
 
+def q54_turbo_scores(spark, sf_dir):
+    """Estimated inner products by 1, 2 and 4 bit codes, one round of signs and transform."""
+    v = _vectors(spark, sf_dir)
+    q, out = _query(v), None
+    for bits in (2, 4):
+        made = codes.build(v, f"tq{bits}", rounds=1)
+        one = codes.proxies(made, q, "asymmetric").select(F.lit(bits).cast("long").alias("bits"), "vec_id", F.round("proxy", 5).alias("proxy"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def q55_search_by_kind(spark, sf_dir):
+    """Recall of an index of each kind through its stored codes."""
+    v = _vectors(spark, sf_dir)
+    asked = v.orderBy("vec_id").limit(RECALL_QUERIES).select("vec_id", "embedding").collect()  # the queries of a recall row
+    exact = search.knn(v, spark.createDataFrame([(r.vec_id, r.embedding) for r in asked], "query_id long, embedding array<float>"), K)
+    out = None
+    for kind in quantize.KINDS:
+        path = shared.new_path(spark, "codes")
+        codes.build(v, kind, parts=16).save(path)
+        stored, found = codes.open_codes(spark, path), None
+        for r in asked:
+            one = codes.search_codes(stored, v, r.embedding, K, budget=256 if kind in ("binary", "tq1", "pq") else None).select(F.lit(r.vec_id).cast("long").alias("query_id"), "vec_id")
+            found = one if found is None else found.unionByName(one)
+        row = _recall_row(found, exact, 0.85).select(F.lit(kind).alias("kind"), "hits", "recall_ok")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def q56_proxy_modes(spark, sf_dir):
+    """Recall of each proxy of 1-bit codes, and of the search that skips rows by a bound."""
+    v = _vectors(spark, sf_dir)
+    q, made = _query(v), codes.build(v, "tq1")
+    exact = search.search(v, q, K)
+    rows = [(mode, codes.search_codes(made, v, q, K, 256, mode)) for mode in codes.MODES] + [("bounded", codes.search_bounded(codes.build(v, "tq4"), v, q, K))]
+    out = None
+    for mode, found in rows:
+        row = _recall_row(found, exact, 0.8, ("vec_id",)).select(F.lit(mode).alias("mode"), "hits", "recall_ok")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def q57_fitted_router(spark, sf_dir):
+    """A fitted router, saved and opened: cells that are used, and the recall of a filtered and of a ranged search that go through it."""
+    v = _vectors(spark, sf_dir).withColumn("attr", _attr())
+    path = shared.new_path(spark, "router")
+    planner.save_router(planner.build_router(v, cells=ivf.MIN_CELLS), path)
+    router = planner.open_router(spark, path)
+    n, q, scale = v.count(), _query(v), quantize.int8_scale(v)
+    ids = v.where("vec_id % 2 = 0").select("vec_id")
+    parts = [
+        ("filtered", planner.filtered(v, ids, q, K, scale, router, scan_rows=n // 4, shortlist=n // 3), search.score_ids(v, ids, q, K)),
+        ("filtered whole", planner.filtered(v, ids, q, K, scale, router, budget=n, shortlist=None), search.score_ids(v, ids, q, K)),
+        ("ranged", planner.ranged(v, q, K, 100, 900, router, wide=1, shortlist=n // 2), search.search_range(v, q, K, 100, 900)),
+    ]
+    out = None
+    for name, found, exact in parts:
+        row = _recall_row(found, exact, 0.6, ("vec_id",)).select(F.lit(name).alias("part"), "hits", "recall_ok")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def q58_trained_pq(spark, sf_dir):
+    """Product codes of a trained codebook: rows with a code, and whether the mean squared error is far below that of no code."""
+    v = _vectors(spark, sf_dir)
+    book = quantize.train_pq(v, 16)
+    q = _query(v)
+    near = quantize.pq_distances(quantize.pq_codes(v, book), book, q)
+    cosine = search.scored(v, q).select("vec_id", "score")
+    error = F.avg(F.abs(F.col("distance") - (2 - 2 * F.col("score"))))
+    return near.join(cosine, "vec_id").agg(F.count("*").alias("rows"), (error < 0.3).alias("close"))
+
+
+def q59_disk_quota_refusals(spark, sf_dir):
+    """Batches of later turns against what earlier turns hold, by role."""
+    c = tables.load(spark, sf_dir, "conversations").select(F.col("role").alias("tenant"), "turn", F.concat_ws("-", "conv_id", F.floor(F.col("turn") / 4)).alias("key"), F.coalesce("text", F.lit("")).alias("value"))
+    limits = spark.createDataFrame([("user", 40_000), ("assistant", None)], "tenant string, max_bytes long")
+    return tenancy.admit_bytes(c.where("turn < 2"), c.where("turn >= 2"), limits)
+
+
+def q60_reclaim(spark, sf_dir):
+    """Bytes that compaction frees by segment, and the live bytes that are left, which it doesn't change."""
+    log = _log(spark, sf_dir).where("op in ('SET', 'DEL')")
+    last = log.groupBy("key").agg(F.max("seq").alias("last"))
+    size = tenancy.record_bytes(F.col("key"), F.col("n").cast("string"))
+    rows = log.join(last, "key").select(F.floor(F.col("seq") / 1000).alias("segment"), size.alias("bytes"), ((F.col("seq") == F.col("last")) & (F.col("op") == "SET")).alias("alive"))
+    after, freed = maintenance.reclaim(rows)
+    left = after.agg(F.lit(-1).cast("long").alias("segment"), F.sum(F.when(F.col("alive"), F.col("bytes")).otherwise(0)).alias("freed"))
+    return freed.unionByName(left)
+
+
+def q61_segment_scan(spark, sf_dir):
+    """A log in segment files, one record in a thousand damaged: what is read before the first damage of each."""
+    path = shared.new_path(spark, "segments")
+    segments.write_segments(_log(spark, sf_dir), path, F.floor(F.col("seq") / 512), F.pmod("seq", F.lit(1009)) == 700)
+    found = segments.scan_segments(spark, path).groupBy("segment").agg(F.count("*").alias("records"), F.max("seq").alias("last"), F.sum("n").alias("n"))
+    return found.where(F.col("segment").isin(segments.list_segments(spark, path)))
+
+
+def q62_hash_routing(spark, sf_dir):
+    """Keys dealt to shards by hash: every key is in one shard."""
+    dealt = state.routed(_log(spark, sf_dir), 16)
+    per = dealt.groupBy("key").agg(F.count_distinct("shard").alias("shards"), F.count("*").alias("n"), F.max("shard").alias("high"), F.min("shard").alias("low"))
+    return per.agg(F.count("*").alias("keys"), F.sum("n").alias("rows"), F.max("shards").alias("shards_of_a_key"), (F.max("high") < 16).alias("in_bounds"))
+
+
+def q63_catalog(spark, sf_dir):
+    """Named indexes end to end: writes with payloads, a flush, deletes, a consolidation with codes, a drop, quotas; the listing."""
+    v = _vectors(spark, sf_dir)
+    c = Catalog(spark, shared.new_path(spark, "catalog"))
+    dim = len(_query(v))
+    with_payload = v.join(tables.payloads(v), "vec_id")
+    c.set_quota("small", "10", "*")
+    for name, kind, tenant in (("even", "tq4", ""), ("odd", "int8", ""), ("gone", "f32", ""), ("refused", "f32", "small")):
+        c.create(name, dim, kind, "flat", tenant)
+    c.put("even", with_payload.where("vec_id % 2 = 0"), 1)
+    c.flush("even")
+    c.delete("even", v.where("vec_id % 10 = 0"), 2)
+    c.consolidate("even")
+    c.put("even", with_payload.where("vec_id % 20 = 0"), 3)
+    c.put("odd", v.where("vec_id % 2 = 1"), 1)
+    c.flush("odd")
+    c.put("gone", v, 1)
+    c.drop("gone")
+    try:
+        c.put("refused", v, 1)
+        refused = False
+    except tenancy.QuotaExceeded:
+        refused = True
+    best = c.search("even", _query(v), 1).first()
+    return c.listing().withColumns({"refused": F.lit(refused), "best": F.lit(best.vec_id).cast("long")})
+
+
+def q64_calibration(spark, sf_dir):
+    """Fixed tables and rotations: levels as 8-bit integers, and whether rotations keep lengths and signs keep the order of codes."""
+    v = _vectors(spark, sf_dir)
+    out = None
+    for bits in (1, 2, 4):
+        levels, _ = codes.int8_levels(bits)
+        one = spark.createDataFrame([(bits, i, int(x)) for i, x in enumerate(levels)], "bits long, i long, level long")
+        out = one if out is None else out.unionByName(one)
+    dense = codes.dense_rotation(len(_query(v)))
+    spread = codes.calibration(v)
+    signs = codes.sign_vectors(v).where("vec_id < 2").orderBy("vec_id").collect()
+    fine = bool(np.allclose(dense @ dense.T, np.eye(len(dense)))) and (spread is None or bool(((spread > 0.5) & (spread < 2)).all())) and {abs(x) for r in signs for x in r.embedding} == {1.0}
+    return out.withColumn("fine", F.lit(fine))
+
+
+def q65_adaptive(spark, sf_dir):
+    """Searches in the mode in force, with a sample of both proxies for each fiftieth query; the state that the samples lead to."""
+    v = _vectors(spark, sf_dir)
+    made = codes.build(v, "tq1")
+    path = shared.new_path(spark, "codes")
+    made.save(path)
+    made, samples, hits = codes.open_codes(spark, path), [], 0
+    for index in (0, 1, 50, 100):
+        found, agreed = codes.search_adaptive(made, v, _query(v), K, index)
+        hits += found.count()
+        samples += [] if agreed is None else [("docs", index, float(agreed), 1.0)]
+    modes = controller.controller_modes(spark.createDataFrame(samples, "key string, seq long, fast double, full double"))
+    return controller.controller_state(modes).select("key", "n", "mode", F.lit(hits).cast("long").alias("hits"))
+
+
 def queries() -> dict[str, Query]:
     out = {name: f for name, f in globals().items() if name[0] == "q" and name[1:3].isdigit() and callable(f)}
     out |= {name: _filter_query(text) for name, (text, _) in FILTERS.items()}
@@ -393,10 +584,10 @@ _KV = """kv AS (SELECT event_id AS seq, concat('u', CAST(user_id AS VARCHAR)) AS
 st AS (SELECT key, seq, n FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS r FROM kv WHERE op IN ('SET', 'DEL')) WHERE r = 1 AND op = 'SET'),
 al AS (SELECT * FROM (SELECT *, max(CASE WHEN op IN ('SET', 'DEL') THEN seq END) OVER (PARTITION BY key) AS reset FROM kv) WHERE reset IS NULL OR seq >= reset)"""
 _REQ = "req AS (SELECT * FROM (VALUES (0, 'u1'), (1, 'u7'), (2, 'nobody'), (3, 'u7'), (4, 'u23'), (5, 'u42'), (6, 'u77'), (7, 'u1')) t(pos, key))"
-_VL = """vl AS (SELECT vec_id AS seq, 'I' AS op, vec_id, embedding FROM embeddings
-  UNION ALL SELECT 1000000 + vec_id, 'I', vec_id, list_reverse(embedding) FROM embeddings WHERE vec_id % 10 = 0
-  UNION ALL SELECT 2000000 + vec_id, 'D', vec_id, NULL FROM embeddings WHERE vec_id % 17 = 0
-  UNION ALL SELECT 3000000 + vec_id, 'I', vec_id, embedding FROM embeddings WHERE vec_id % 34 = 0),
+_VL = f"""vl AS (SELECT vec_id AS seq, 'I' AS op, vec_id, embedding FROM embeddings
+  UNION ALL SELECT {tables.BATCH} + vec_id, 'I', vec_id, list_reverse(embedding) FROM embeddings WHERE vec_id % 10 = 0
+  UNION ALL SELECT {2 * tables.BATCH} + vec_id, 'D', vec_id, NULL FROM embeddings WHERE vec_id % 17 = 0
+  UNION ALL SELECT {3 * tables.BATCH} + vec_id, 'I', vec_id, embedding FROM embeddings WHERE vec_id % 34 = 0),
 lv AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY seq DESC) AS r FROM vl) WHERE r = 1 AND op = 'I')"""
 _I8 = """m AS (SELECT CAST(CAST(max(list_max(list_transform(embedding, lambda x: abs(x)))) AS DOUBLE) / 127 AS FLOAT) AS scale FROM embeddings),
 c AS (SELECT vec_id, embedding, list_transform(embedding, lambda x: CAST(greatest(-127, least(127, round(CAST(CAST(CAST(x AS DOUBLE) / CAST(scale AS DOUBLE) AS FLOAT) AS DOUBLE)))) AS INTEGER)) AS code FROM embeddings, m),
@@ -407,6 +598,19 @@ ce AS (SELECT c AS cell, embedding AS centroid FROM o, n, (SELECT unnest(range(8
 a AS (SELECT vec_id, CAST(cell AS BIGINT) AS cell, sim FROM (SELECT e.vec_id, ce.cell, round(list_cosine_similarity(e.embedding::DOUBLE[], ce.centroid::DOUBLE[]), 6) AS sim FROM embeddings e, ce) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, cell) = 1)"""
 
 
+def _levels(levels: list[float], bounds: list[float], x: str) -> str:
+    return "CASE " + " ".join(f"WHEN {x} <= {b} THEN {y}" for b, y in zip(bounds, levels, strict=False)) + f" ELSE {levels[-1]} END"
+
+
+def _turbo_sql() -> str:
+    signs = np.random.default_rng(codes.SEED).choice([-1.0, 1.0], (1, 64))[0].astype(int).tolist()
+    one = "SELECT CAST({bits} AS BIGINT) AS bits, h.vec_id, round(sum(q.x * l) / sum(h.x * l), 5) AS proxy FROM (SELECT *, {level} AS l FROM h) h JOIN h q ON q.vec_id = 0 AND q.i = h.i GROUP BY h.vec_id"
+    parts = [one.format(bits=b, level=_levels(quantize.LEVELS[b], quantize.BOUNDS[b], "h.x * 8")) for b in (2, 4)]
+    return f"""WITH u AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda y: y * y)))) AS v, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda y: y * y))) AS norm FROM embeddings),
+        h AS MATERIALIZED (SELECT vec_id, i, sum(x * s * CASE WHEN bit_count(i & j) % 2 = 0 THEN 1 ELSE -1 END) / 8 AS x FROM (SELECT vec_id, unnest(range(64)) AS j, unnest(v) AS x, unnest({signs}) AS s FROM u), (SELECT unnest(range(64)) AS i) GROUP BY vec_id, i)
+        {" UNION ALL ".join(parts)}"""
+
+
 def _cases(bounds: list[float]) -> str:
     return " + ".join(f"CASE WHEN x > {b} THEN 1 ELSE 0 END" for b in bounds)
 
@@ -452,6 +656,37 @@ def oracle_sql() -> dict[str, str]:
         "q26_rerank": f"WITH {_I8}, {_S}, k AS (SELECT vec_id FROM d ORDER BY dot DESC, vec_id LIMIT 80) SELECT vec_id, score FROM s WHERE vec_id IN (SELECT vec_id FROM k) {_TOP}",
         "q27_layers": f"WITH {_I8}, {_S}, k AS (SELECT vec_id FROM d WHERE vec_id % 4 < 3 ORDER BY dot DESC, vec_id LIMIT 80) SELECT vec_id, score FROM s WHERE vec_id % 4 = 3 OR vec_id IN (SELECT vec_id FROM k) {_TOP}",
         "q28_hybrid": f"WITH {_P}, {_I8}, {_S}, k AS (SELECT vec_id FROM d WHERE vec_id IN (SELECT vec_id FROM p WHERE field = 'year' AND ival >= 2022) ORDER BY dot DESC, vec_id LIMIT 80) SELECT vec_id, score FROM s WHERE vec_id IN (SELECT vec_id FROM k) {_TOP}",
+        "q29_controller": f"""WITH s AS (SELECT CAST(user_id AS VARCHAR) AS key, event_id AS seq, ((coalesce(value, 0.0) % 1.0) + 1.0) % 1.0 AS fast, ((coalesce(value, 0.0) * 3 % 1.0) + 1.0) % 1.0 AS slow FROM events),
+            e AS (SELECT key, seq, row_number() OVER (PARTITION BY key ORDER BY seq) AS n, list_reduce(list(fast) OVER w, lambda a, x: a + {controller.WEIGHT} * (x - a)) AS fast, list_reduce(list(slow) OVER w, lambda a, x: a + {controller.WEIGHT} * (x - a)) AS slow FROM s WINDOW w AS (PARTITION BY key ORDER BY seq ROWS {controller.MEMORY - 1} PRECEDING)),
+            k AS (SELECT *, CASE WHEN n >= {controller.WARMUP} THEN CASE WHEN fast >= slow - {controller.TOLERANCE} THEN 'hybrid' ELSE 'asymmetric' END END AS wanted FROM e),
+            c AS (SELECT *, CASE WHEN wanted IS NOT DISTINCT FROM lag(wanted) OVER (PARTITION BY key ORDER BY seq) THEN 0 ELSE 1 END AS new FROM k),
+            i AS (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY seq) AS island FROM c),
+            r AS (SELECT *, row_number() OVER (PARTITION BY key, island ORDER BY seq) AS run FROM i)
+            SELECT key, seq, n, round(fast, 9) AS fast, round(slow, 9) AS "full", wanted, run, coalesce(last_value(CASE WHEN run >= {controller.PATIENCE} THEN wanted END IGNORE NULLS) OVER (PARTITION BY key ORDER BY seq), 'hybrid') AS mode FROM r""",
+        "q30_graph_search": "SELECT count(*) * 10 AS hits, true AS recall_ok FROM embeddings",
+        "q30b_fast_graph_search": "SELECT count(*) * 10 AS hits, true AS recall_ok FROM embeddings",
+        "q30c_graph_trace": "SELECT true AS distinct_nodes, true AS reached",
+        "q31_degree": "SELECT count(*) AS nodes, true AS bounded, true AS known FROM embeddings",
+        "q54_turbo_scores": _turbo_sql(),
+        "q55_search_by_kind": f"SELECT kind, CAST({K * RECALL_QUERIES} AS BIGINT) AS hits, true AS recall_ok FROM (SELECT unnest({list(quantize.KINDS)}) AS kind)",
+        "q56_proxy_modes": f"SELECT mode, CAST({K} AS BIGINT) AS hits, true AS recall_ok FROM (SELECT unnest({[*codes.MODES, 'bounded']}) AS mode)",
+        "q57_fitted_router": f"SELECT part, CAST({K} AS BIGINT) AS hits, true AS recall_ok FROM (SELECT unnest(['filtered', 'filtered whole', 'ranged']) AS part)",
+        "q58_trained_pq": "SELECT count(*) AS rows, true AS close FROM embeddings",
+        "q59_disk_quota_refusals": """WITH c AS (SELECT role AS tenant, turn, concat_ws('-', conv_id, CAST(floor(turn / 4) AS BIGINT)) AS key, coalesce(text, '') AS value FROM conversations),
+            z AS (SELECT *, CAST((21 + 127 + strlen(key) + strlen(value)) // 128 * 128 AS BIGINT) AS size FROM c),
+            a AS (SELECT tenant, key, max(size) AS held FROM z WHERE turn < 2 GROUP BY ALL), b AS (SELECT tenant, key, arg_max(size, value) AS new FROM z WHERE turn >= 2 GROUP BY ALL),
+            t AS (SELECT tenant, sum(coalesce(held, 0)) AS held, sum(coalesce(new, held)) AS projected FROM a FULL JOIN b USING (tenant, key) GROUP BY tenant HAVING count(new) > 0)
+            SELECT tenant, CAST(held AS BIGINT) AS held, CAST(projected AS BIGINT) AS projected, CAST(CASE WHEN tenant = 'user' THEN 40000 END AS BIGINT) AS max_bytes, tenant <> 'user' OR projected <= 40000 AS admitted FROM t""",
+        "q60_reclaim": f"""WITH {_KV}, r AS (SELECT seq // 1000 AS segment, CAST((21 + 127 + strlen(key) + strlen(CAST(n AS VARCHAR))) // 128 * 128 AS BIGINT) AS bytes, op = 'SET' AND seq = max(seq) OVER (PARTITION BY key) AS alive FROM kv WHERE op IN ('SET', 'DEL'))
+            SELECT segment, CAST(sum(CASE WHEN alive THEN 0 ELSE bytes END) AS BIGINT) AS freed FROM r GROUP BY segment HAVING sum(CASE WHEN alive THEN bytes ELSE 0 END) < 0.5 * sum(bytes)
+            UNION ALL SELECT -1, CAST(sum(CASE WHEN alive THEN bytes ELSE 0 END) AS BIGINT) FROM r""",
+        "q61_segment_scan": f"""WITH {_KV}, g AS (SELECT *, seq // 512 AS segment, min(CASE WHEN seq % 1009 = 700 THEN seq END) OVER (PARTITION BY seq // 512) AS bad FROM kv)
+            SELECT CAST(segment AS BIGINT) AS segment, count(*) AS records, max(seq) AS last, CAST(sum(n) AS BIGINT) AS n FROM g WHERE bad IS NULL OR seq < bad GROUP BY segment""",
+        "q62_hash_routing": "SELECT count(DISTINCT user_id) AS keys, count(*) AS rows, CAST(1 AS BIGINT) AS shards_of_a_key, true AS in_bounds FROM events",
+        "q63_catalog": f"""SELECT name, 64 AS dim, kind, 'flat' AS backend, CAST(n AS BIGINT) AS n_vectors, true AS refused, CAST(0 AS BIGINT) AS best FROM (
+            SELECT 'even' AS name, 'tq4' AS kind, count(*) FILTER (vec_id % 2 = 0 AND (vec_id % 10 <> 0 OR vec_id % 20 = 0)) AS n FROM embeddings UNION ALL SELECT 'odd', 'int8', count(*) FILTER (vec_id % 2 = 1) FROM embeddings UNION ALL SELECT 'refused', 'f32', 0)""",
+        "q64_calibration": " UNION ALL ".join(f"SELECT CAST({b} AS BIGINT) AS bits, i - 1 AS i, CAST(round({quantize.LEVELS[b]}[i] / {max(quantize.LEVELS[b])} * 127) AS BIGINT) AS level, true AS fine FROM (SELECT unnest(range(1, {2**b + 1})) AS i)" for b in (1, 2, 4)),
+        "q65_adaptive": f"SELECT 'docs' AS key, CAST(3 AS BIGINT) AS n, 'hybrid' AS mode, CAST({4 * K} AS BIGINT) AS hits",
         "q32_medoid": "SELECT a.vec_id, round(sum(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS total FROM embeddings a, embeddings b GROUP BY a.vec_id ORDER BY total, a.vec_id LIMIT 1",
         "q33_ivf_assign": f"WITH {_CELLS} SELECT vec_id, cell, sim FROM a",
         "q34_probe": f"""WITH {_P}, {_CELLS}, y AS (SELECT vec_id, cell FROM a WHERE vec_id IN (SELECT vec_id FROM p WHERE field = 'year' AND ival >= 2022)), g AS (SELECT cell, count(*) AS m FROM y GROUP BY cell),
@@ -465,7 +700,7 @@ def oracle_sql() -> dict[str, str]:
         "q38_erase": f"WITH {_KV} SELECT count(*) FILTER (starts_with(key, 'u1')) AS erased, count(*) FILTER (NOT starts_with(key, 'u1')) AS left_over FROM st",
         "q39_drop": "SELECT concat('t', CAST(label AS VARCHAR)) AS tenant, count(*) AS n_vectors FROM embeddings WHERE label <> 3 GROUP BY label",
         "q40_vindex_list": f"WITH {_VL} SELECT concat('t', CAST(e.label AS VARCHAR), '::docs') AS name, count(*) AS n_vectors FROM lv JOIN embeddings e ON e.vec_id = lv.vec_id GROUP BY e.label",
-        "q41_delete_patch": f"WITH {_VL} SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT vec_id FROM vl WHERE seq >= 1000000)",
+        "q41_delete_patch": f"WITH {_VL} SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT vec_id FROM vl WHERE seq >= {tables.BATCH})",
         "q42_resident_bytes": "SELECT kind, count(*) AS rows, CAST(sum(CASE kind WHEN 'f32' THEN 4 * d WHEN 'int8' THEN d WHEN 'binary' THEN (d + 7) // 8 WHEN 'tq1' THEN CASE WHEN d < 256 THEN 64 ELSE d // 8 END + 4 WHEN 'tq2' THEN d // 4 + 4 ELSE d // 2 + 4 END) AS BIGINT) AS bytes FROM (SELECT len(embedding) AS d FROM embeddings), (SELECT unnest(['f32', 'int8', 'binary', 'tq1', 'tq2', 'tq4']) AS kind) GROUP BY kind",
         "q43_maintenance_plan": f"""WITH {_KV}, g AS (SELECT key, 300 * count(*) FILTER (op = 'SET') AS delta, count(*) FILTER (op = 'DEL') AS d, 200 * count(*) FILTER (op = 'APPEND') AS run_rows, 400 * count(*) FILTER (op = 'INCRBY') AS base, count(*) AS n FROM kv GROUP BY key)
             SELECT key, CASE WHEN delta >= 4096 THEN 'flush' WHEN run_rows >= greatest(base, 4096) OR (n % 2 = 0 AND delta + run_rows >= 4096) THEN 'consolidate' WHEN d % 6 >= 4 THEN 'runs-merge' WHEN base >= 4096 AND d * 20 >= base // 16 THEN 'delete-patch' END AS job FROM g""",
@@ -482,7 +717,7 @@ def oracle_sql() -> dict[str, str]:
             r AS (SELECT op, b, sum(c) OVER (PARTITION BY op ORDER BY b) AS upto, sum(c) OVER (PARTITION BY op) AS n, CASE WHEN b = 0 THEN 0 WHEN b = 25 THEN 16777216 ELSE CAST(floor((pow(2, b - 1) + pow(2, b)) / 2) AS BIGINT) END AS mid FROM b)
             SELECT op, CAST(max(n) AS BIGINT) AS n, CAST(arg_min(mid, b) FILTER (upto >= ceil(n * 0.5)) AS BIGINT) AS p50, CAST(arg_min(mid, b) FILTER (upto >= ceil(n * 0.99)) AS BIGINT) AS p99 FROM r GROUP BY op""",
         "q51_snapshot_resume": f"WITH {_KV} SELECT key, seq, n FROM st",
-        "q52_merge_runs": f"WITH {_VL} SELECT vec_id, seq, op FROM vl WHERE seq >= 1000000 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY seq DESC) = 1",
+        "q52_merge_runs": f"WITH {_VL} SELECT vec_id, seq, op FROM vl WHERE seq >= {tables.BATCH} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY seq DESC) = 1",
         "q53_tenant_keys": f"""WITH {_KV}, t AS (SELECT CASE CAST(substring(key, 2, 20) AS BIGINT) % 4 WHEN 0 THEN 'north' WHEN 1 THEN 'south' ELSE '' END AS tenant, key, CAST(n AS VARCHAR) AS v FROM st)
             SELECT tenant, count(*) AS keys, CAST(sum((21 + 127 + strlen(tenant) + 2 + strlen(key) + strlen(v)) // 128 * 128) AS BIGINT) AS bytes FROM t GROUP BY tenant""",
         "q50_batch_gate": "WITH c AS (SELECT conv_id, turn, max(turn) OVER (PARTITION BY conv_id) + 1 AS n FROM conversations), k AS (SELECT * FROM c WHERE conv_id % 5 <> 0 OR turn % 2 = 0) SELECT conv_id AS batch_id, turn FROM k QUALIFY count(*) OVER (PARTITION BY conv_id) >= n",

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Sequence numbers of a later batch of the derived log are its number times this, plus the id: ids are below it.
+BATCH = 10**12
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -31,9 +35,9 @@ def vectors_log(embeddings: DataFrame) -> DataFrame:
     """(seq, op, vec_id, embedding): base versions, overwrites, deletes and vectors that come back; I inserts, D deletes."""
     v = F.col("vec_id")
     base = embeddings.select(v.alias("seq"), F.lit("I").alias("op"), "vec_id", "embedding")
-    over = embeddings.where(v % 10 == 0).select((1000000 + v).alias("seq"), F.lit("I").alias("op"), "vec_id", F.reverse("embedding").alias("embedding"))
-    gone = embeddings.where(v % 17 == 0).select((2000000 + v).alias("seq"), F.lit("D").alias("op"), "vec_id", F.lit(None).cast(embeddings.schema["embedding"].dataType).alias("embedding"))
-    back = embeddings.where(v % 34 == 0).select((3000000 + v).alias("seq"), F.lit("I").alias("op"), "vec_id", "embedding")
+    over = embeddings.where(v % 10 == 0).select((BATCH + v).alias("seq"), F.lit("I").alias("op"), "vec_id", F.reverse("embedding").alias("embedding"))
+    gone = embeddings.where(v % 17 == 0).select((2 * BATCH + v).alias("seq"), F.lit("D").alias("op"), "vec_id", F.lit(None).cast(embeddings.schema["embedding"].dataType).alias("embedding"))
+    back = embeddings.where(v % 34 == 0).select((3 * BATCH + v).alias("seq"), F.lit("I").alias("op"), "vec_id", "embedding")
     return base.unionByName(over).unionByName(gone).unionByName(back)
 
 

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from arcavec.operators import graph, ivf, quantize, search
+from arcavec.operators import codes, controller, graph, ivf, quantize, search
 from arcavec.plans import planner
 
 DIM = 64
@@ -129,13 +129,108 @@ def test_every_node_of_a_graph_is_reached():
     assert len(seen) == 300
 
 
-def test_controller_waits_and_changes():
-    c = quantize.ProxyController(warmup=3, patience=2)
-    modes = [c.record(0.5, 0.9) for _ in range(5)]
-    assert modes == ["hybrid", "hybrid", "hybrid", "asymmetric", "asymmetric"]
-    for _ in range(20):
-        c.record(1.0, 0.9)
-    assert c.mode == "hybrid"
+def plain_modes(samples, patience=3, warmup=20):
+    mode, fast, full, waiting, out = "hybrid", None, None, 0, []
+    for n, (x, y) in enumerate(samples, 1):
+        fast, full = (x, y) if fast is None else (fast + 0.2 * (x - fast), full + 0.2 * (y - full))
+        if n >= warmup:
+            wanted = "hybrid" if fast >= full - 0.01 else "asymmetric"
+            waiting = 0 if wanted == mode else waiting + 1
+            if waiting >= patience:
+                mode, waiting = wanted, 0
+        out.append(mode)
+    return out
+
+
+def test_controller_waits_changes_and_resumes(spark):
+    rng = np.random.default_rng(3)
+    own = {}
+    for k in range(6):
+        level = np.repeat(rng.random(12), 60)[:600]
+        own[f"k{k}"] = [(float(x), float(y)) for x, y in zip(level + rng.normal(size=600) * 0.05, 0.5 + rng.normal(size=600) * 0.02, strict=True)]
+    rows = [(k, i, x, y) for k, s in own.items() for i, (x, y) in enumerate(s)]
+    schema = "key string, seq long, fast double, full double"
+    whole = controller.controller_modes(spark.createDataFrame(rows, schema))
+    got = {}
+    for r in whole.orderBy("key", "seq").collect():
+        got.setdefault(r.key, []).append(r.mode)
+    assert got == {k: plain_modes(s) for k, s in own.items()} and any(len(set(m)) == 2 for m in got.values())
+    for cut in (5, 30, 317):
+        first = controller.controller_modes(spark.createDataFrame([r for r in rows if r[1] < cut], schema))
+        later = controller.controller_modes(spark.createDataFrame([r for r in rows if r[1] >= cut], schema), state=controller.controller_state(first))
+        again = {}
+        for r in later.orderBy("key", "seq").collect():
+            again.setdefault(r.key, []).append(r.mode)
+        assert again == {k: m[cut:] for k, m in got.items()}
+    assert controller.controller_modes(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_seeds_of_a_large_table_are_evenly_spaced_and_the_same(spark):
+    n = 400_000
+    ids = spark.range(n).select((F.col("id") * 3 + F.when(F.col("id") > 300_000, 10**9).otherwise(0)).alias("vec_id"))
+    df = ids.select("vec_id", F.array(F.col("vec_id").cast("float"), F.lit(1.0).cast("float")).alias("embedding")).repartition(7, F.xxhash64("vec_id"))
+    value = lambda i: float(np.float32(3 * i + (10**9 if i > 300_000 else 0)))
+    wanted = [value(i) for i in range(0, n, n // 8)]
+    for _ in range(2):
+        assert ivf.seeds(df, 8)[:, 0].tolist() == wanted
+    assert ivf.seeds(df.limit(0), 8).size == 0
+    assert len(ivf.seeds(df.limit(3), 8)) == 3
+
+
+def test_null_vectors_are_left_out(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0])], "vec_id long, embedding array<float>")
+    assert hits(search.search(df, [1.0, 0.0], 5)) == [1, 3]
+    assert graph.medoid(df).count() == 1
+    assert ivf.assign(df, np.eye(2)).count() == 2
+    assert {r.src for r in graph.edges(df).collect()} <= {1, 3}
+    for kind in ("f32", "int8", "binary"):
+        assert codes.build(df, kind).table.count() == 2
+
+
+def test_stored_codes_by_kind(spark, corpus, tmp_path):
+    df, rows, queries = corpus
+    wanted = [exact(rows, q, 10) for q in queries[:3]]
+    for kind, least in (("f32", 1.0), ("int8", 0.95), ("tq4", 0.95), ("tq2", 0.9), ("tq1", 0.8), ("binary", 0.7), ("pq", 0.8)):
+        codes.build(df, kind, parts=16).save(f"{tmp_path}/{kind}")
+        stored = codes.open_codes(spark, f"{tmp_path}/{kind}")
+        assert codes.memory_bytes(stored).first().bytes == quantize.code_bytes(kind, DIM, 16) * 1500
+        assert recall([hits(codes.search_codes(stored, df, q.tolist(), 10, 200)) for q in queries[:3]], wanted) >= least, kind
+    one = codes.open_codes(spark, f"{tmp_path}/tq1")
+    for mode in codes.MODES:
+        assert recall([hits(codes.search_codes(one, df, q.tolist(), 10, 200, mode)) for q in queries[:2]], wanted[:2]) >= 0.8, mode
+    with pytest.raises(ValueError):
+        codes.proxies(one, queries[0].tolist(), "none")
+    bounded = codes.search_bounded(codes.open_codes(spark, f"{tmp_path}/tq4"), df, queries[0].tolist(), 10)
+    assert recall([hits(bounded)], wanted[:1]) >= 0.9
+    turn = codes.dense_rotation(9)
+    assert np.allclose(turn @ turn.T, np.eye(9))
+
+
+def test_bitplanes_estimate_the_inner_product(spark, corpus):
+    df, rows, queries = corpus
+    made = codes.build(df, "tq1")
+    q = queries[0].tolist()
+    both = codes.proxies(made, q, "bitplane").withColumnRenamed("proxy", "b").join(codes.proxies(made, q, "asymmetric"), "vec_id").select(F.corr("b", "proxy").alias("c"), (F.max(F.abs(F.col("b") - F.col("proxy"))) / F.max(F.abs("proxy"))).alias("m")).first()
+    assert both.c > 0.98 and both.m < 0.1
+
+
+def test_walks_stop_early_and_keep_to_a_filter():
+    rng = np.random.default_rng(2)
+    rows = quantize.unit(rng.normal(size=(10, 16))[rng.integers(10, size=600)] + 0.4 * rng.normal(size=(600, 16)))
+    edges, start = graph.build(rows, degree=12, size=32)
+    allowed = np.arange(600) % 3 == 0
+    whole, fast, found = [], [], []
+    for q in rows[:20]:
+        for out, kw in ((whole, {}), (fast, {"k": 5, "stable": 8})):
+            trace = []
+            graph.walk(rows, edges, start, q, 48, trace=trace, **kw)
+            assert len(set(trace)) == len(trace)
+            out.append(len(trace))
+        nodes, _ = graph.walk(rows, edges, start, q, 48, allowed=allowed)
+        assert allowed[nodes].all()
+        best = np.flatnonzero(allowed)[np.argsort(-(rows[allowed] @ q), kind="stable")[:5]]
+        found.append(len(set(nodes.tolist()) & set(best.tolist())) / 5)
+    assert sum(fast) < 0.8 * sum(whole) and np.mean(found) >= 0.9
 
 
 def test_names_of_kinds():

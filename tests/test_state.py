@@ -84,6 +84,74 @@ def test_catalog_round_trip(spark, tmp_path):
         c.log("docs")
 
 
+def test_catalog_payloads_layers_codes_and_quotas(spark, tmp_path):
+    c = Catalog(spark, str(tmp_path))
+    c.create("docs", 8, "int8", tenant="t")
+    rows = [(i, [float(i + 1), *[1.0] * 7], f"n={i}") for i in range(20)]
+    schema = "vec_id long, embedding array<float>, payload string"
+    df = spark.createDataFrame(rows, schema)
+    c.put("docs", df, 1)
+    payloads = lambda: {r.vec_id: r.payload for r in c.vectors("docs").collect()}
+    assert payloads() == {i: f"n={i}" for i in range(20)}
+    assert c.flush("docs") and not c.flush("docs")
+    c.put("docs", spark.createDataFrame([(3, [9.0] * 8)], "vec_id long, embedding array<float>"), 2)  # keeps its payload
+    c.delete("docs", spark.createDataFrame([(4,), (5,)], "vec_id long"), 3)
+    c.put("docs", spark.createDataFrame([(5, [1.0] * 8, None)], schema), 4)  # came back without one
+    wanted = {i: f"n={i}" for i in range(20) if i != 4} | {5: None}
+    assert payloads() == wanted
+    assert {r.layer for r in c.layers("docs").collect()} == {"run1", "delta"}
+    c.consolidate("docs")
+    assert payloads() == wanted and {r.layer for r in c.layers("docs").collect()} == {"base4"}
+    assert c.codes("docs").kind == "int8" and c.codes("docs").table.count() == 19
+    c.put("docs", spark.createDataFrame([(50, [50.0, *[0.0] * 7])], "vec_id long, embedding array<float>"), 5)
+    assert [r.vec_id for r in c.search("docs", [1.0, *[0.0] * 7], 3).collect()] == [50, 19, 18]
+    with pytest.raises(ValueError):
+        c.search("docs", [1.0], 3)
+    assert c.quota("t") == ("*", "*") and c.rates("t") == ("*", "*", "*")
+    c.set_quota("t", "21", "*")
+    c.set_rates("t", "10", "*", "3")
+    assert c.quota("t") == ("21", "*") and c.rates("t") == ("10", "*", "3")
+    one = lambda i: spark.createDataFrame([(i, [1.0] * 8, "x")], schema)
+    c.put("docs", one(60), 6)
+    c.put("docs", one(60), 7)  # an overwrite is free
+    with pytest.raises(tenancy.QuotaExceeded):
+        c.put("docs", one(61), 8)
+    c.set_quota("t", "*", "2816")  # 21 or so records of 128 bytes
+    with pytest.raises(tenancy.QuotaExceeded):
+        c.put("docs", spark.createDataFrame([(i, [1.0] * 8, None) for i in range(100, 130)], schema), 8)
+    assert c.vectors("docs").count() == 21
+    for bad in ("-1", "x", ""):
+        with pytest.raises(ValueError):
+            c.set_quota("t", bad, "*")
+
+
+def test_segments_are_read_up_to_the_first_damage(spark, tmp_path):
+    from arcavec.sources import segments
+
+    log = spark.range(100).select(F.col("id").alias("seq"), F.lit("a b").alias("key"), F.lit("SET").alias("op"), (F.col("id") * 2).alias("n"))
+    segments.write_segments(log, str(tmp_path / "s"), F.floor(F.col("seq") / 10), F.col("seq").isin(0, 25, 27, 39))
+    assert segments.list_segments(spark, str(tmp_path / "s")) == list(range(10))
+    got = sorted((r.segment, r.pos, r.seq, r.key, r.op, r.n) for r in segments.scan_segments(spark, str(tmp_path / "s")).collect())
+    whole = [i for i in range(100) if not (i < 10 or 25 <= i < 30 or i == 39)]
+    assert got == [(i // 10, i % 10, i, "a b", "SET", 2 * i) for i in whole]
+
+
+def test_reclaim_moves_live_records_of_sparse_segments(spark):
+    rows = [(0, 100, True), (0, 300, False), (1, 100, True), (1, 50, False), (2, 10, False)]
+    after, freed = maintenance.reclaim(spark.createDataFrame(rows, "segment long, bytes long, alive boolean"))
+    assert sorted((r.segment, r.bytes, r.alive) for r in after.collect()) == [(1, 50, False), (1, 100, True), (3, 100, True)]
+    assert sorted((r.segment, r.freed) for r in freed.collect()) == [(0, 300), (2, 10)]
+
+
+def test_log_numbers_of_large_ids_stay_apart(spark):
+    from arcavec.sources import tables
+
+    v = spark.createDataFrame([(i, [1.0]) for i in (0, 10, 999_999, 1_000_000, 1_000_010, 2_000_000, 3_400_000)], "vec_id long, embedding array<float>")
+    log = tables.vectors_log(v)
+    assert log.select("seq").distinct().count() == log.count()
+    assert log.where(F.col("seq") < tables.BATCH).count() == 7
+
+
 def test_quotas_and_costs(spark):
     writes = spark.createDataFrame([("a", i % 5, i) for i in range(10)] + [("b", i, i) for i in range(3)], "tenant string, vec_id long, seq long")
     limits = spark.createDataFrame([("a", 3)], "tenant string, max_vectors long")
