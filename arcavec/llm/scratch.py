@@ -2,20 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or, where it is unset as in tests, a folder of this machine that becomes it."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at.rstrip("/")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="arcavec-"))
-    return str(spark.sparkContext.getCheckpointDir()).rstrip("/")
+from arcavec.sources import shared
+from arcavec.sources.shared import folder
 
 
 class Table:
@@ -38,9 +30,7 @@ class Table:
     def drop(self) -> None:
         if self.name:
             self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        shared.delete(self.spark, self.path)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -5,13 +5,14 @@ If the revisit names an ETag it must equal the response's, else if it names a La
 must; a revisit without either is taken by its URL. Headers of the response are then updated by
 those of the revisit, except fields that describe the stored body or a single connection.
 
-The join is native and splits hot URLs: time is cut into ``SLICES`` slices of equal width, the last
-response of each (URL, slice) is carried into later slices by one small window, and the as-of
+The join is native and splits hot URLs: time is cut into ``SLICES`` slices of about as many records
+each, wherever a few times lie far from all others, the last response of each (URL, slice) is carried into later slices by one small window, and the as-of
 windows run within (URL, slice).
 
 Defined cases: a revisit without URL, without an earlier response or with another validator comes out
 unresolved and says why; a null time or id leaves a response out, and a revisit unresolved; null
-headers are no headers; of headers that differ in case only one stays; repeated rows give rows each.
+headers are no headers; of headers that differ in case only one stays; repeated rows give rows each;
+of responses at one time the greatest id is the latest; values may be very long.
 """
 
 from __future__ import annotations
@@ -52,11 +53,11 @@ def resolve_revisits(records: DataFrame, slices: int = SLICES) -> DataFrame:
     last_modified, headers map<string,string> and payload_digest; response_id, headers and
     payload_digest are null unless outcome is resolved.
     """
-    spread = records.agg(F.min("ts").alias("_t0"), F.max("ts").alias("_t1"))
+    shares = [k / slices for k in range(1, slices)] or [0.0]
+    spread = records.agg(F.percentile_approx(F.col("ts").cast("double"), shares).alias("_bounds"))
     rows = records.select("record_id", "record_type", canonical_url(F.col("url")).alias("u"), F.col("ts").cast("double").alias("ts"), "etag", "last_modified", "headers", "payload_digest")
     rows = rows.where("record_type in ('response', 'revisit')").crossJoin(F.broadcast(spread))  # one row
-    width = F.greatest((F.col("_t1") - F.col("_t0")) / slices, F.lit(1e-9))
-    rows = rows.withColumn("slice", F.coalesce(F.floor((F.col("ts") - F.col("_t0")) / width), F.lit(0)).cast("int")).drop("_t0", "_t1")
+    rows = rows.withColumn("slice", F.coalesce(F.size(F.filter("_bounds", lambda b: b <= F.col("ts"))), F.lit(0))).drop("_bounds")
     full = F.when((F.col("record_type") == "response") & F.col("record_id").isNotNull() & F.col("ts").isNotNull(), F.struct("ts", "record_id", "etag", "last_modified", "headers", "payload_digest"))
     rows = rows.withColumn("full", full)
     usable = rows.where("u is not null")

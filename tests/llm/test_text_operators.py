@@ -269,6 +269,28 @@ def kept_words(template, window):
     return row[-1]
 
 
+def test_jaccard_join_of_very_long_texts_and_many_near_copies(spark):
+    rnd = random.Random(7)
+    long = [f"w{rnd.randrange(5000)}" for _ in range(60_000)]
+    other = [w if i % 100 else "changed" for i, w in enumerate(long)]
+    base = [f"b{i}" for i in range(120)]
+    near = [[w if i not in (k, k + 40) else f"n{k}" for i, w in enumerate(base)] for k in range(80)]
+    texts = [" ".join(x) for x in (long, other, long[:30_000], *near, *near[:3])]
+    docs = docs_of(spark, texts)
+    for block in (1024, 8):  # small blocks: hot shingles are chained in parts
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(docs, shingle=5, threshold=80, block=block).collect()}
+        wanted = similar(list(enumerate(texts)), 80, 5)
+        assert got == wanted
+    assert got[1][1] == 0 and got[2][1] == 2
+
+
+def test_repeated_rows_are_encoded_each(spark, reference_codec):
+    docs = spark.createDataFrame([(1, "same text"), (1, "same text"), (None, "same text"), (2, "é " * 100_000)], EMPTY).withColumn("n_tokens", F.lit("clash"))
+    rows = bpe.encode(docs.drop("n_tokens"), vocabulary(), keep_ids=False).collect()
+    assert len(rows) == 4 and len({r.ids_sha256 for r in rows}) == 2
+    assert all(r.n_tokens == len(reference_codec[1].encode_ordinary("same text" if r.doc_id != 2 else "é " * 100_000)) for r in rows)
+
+
 def test_licenses_are_found_with_their_spans(spark):
     mit = license_scan.TEMPLATES["MIT-text"]
     worn = mit.replace("free of charge, ", "").replace("without restriction", "with no restriction")

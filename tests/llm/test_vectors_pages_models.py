@@ -109,6 +109,16 @@ def test_revisits_equal_brute_force(spark, slices):
     assert warc.resolve_revisits(df.limit(0)).count() == 0
 
 
+def test_revisits_with_outlier_times_and_repeated_rows(spark):
+    rows = [(i, "response" if i % 2 else "revisit", "http://a.org/x", 1000 + i, None, None, {"A": "v" * 200_000} if i == 5 else None, f"d{i}") for i in range(400)]
+    rows += [(1000, "response", "http://a.org/x", -(10**15), None, None, None, "early"), (1001, "revisit", "http://a.org/x", 10**15, None, None, None, None), (1001, "revisit", "http://a.org/x", 10**15, None, None, None, None)]
+    df = spark.createDataFrame(rows, RECORDS)
+    got = sorted((r.record_id, r.payload_digest) for r in warc.resolve_revisits(df).collect())
+    assert got == sorted([(i, "early" if i == 0 else f"d{i - 1}") for i in range(0, 400, 2)] + [(1001, "d399")] * 2)
+    bounds = df.agg(F.percentile_approx(F.col("ts").cast("double"), [k / 256 for k in range(1, 256)]).alias("b")).first().b
+    assert len(set(bounds)) > 200  # times far from all others don't take the slices of the rest
+
+
 def test_header_names_in_several_cases_stay_one(spark):
     df = spark.createDataFrame([({"A": "1", "a": "2"}, {"B": "3", "Content-Length": "9"})], "s map<string,string>, u map<string,string>")
     assert df.select(warc.merged_headers(F.col("s"), F.col("u")).alias("h")).first().h == ["a: 2", "b: 3"]
