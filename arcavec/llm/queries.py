@@ -39,7 +39,9 @@ def op3_pivot_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    """The contract's columns, which know strings of 400 bytes only, and how much of each text stands in runs of over 50 words that other documents hold."""
+    found = suffix_dedup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), words=51, cut_words=False)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "passage_bytes")
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,14 +15,15 @@
 4. The contexts of an anchor that occurs more than ``HOT`` times are dealt over several shards. Such
    a shard also publishes the distinct windows of each of its parts (homes) by two independent 64-bit
    hashes; published lists are merged by binary search, which finds windows that no single home has twice.
-5. With ``words``, every run of so many words (between ASCII white space, which itself isn't compared)
-   that another document holds too goes as well, however few bytes it has. Anchors are the least of
-   the hashes of half as many words; of the windows of anchors that several documents hold, those that
-   several documents hold are found by two independent 64-bit hashes.
+5. With ``words``, runs of so many words that another document holds too are found as well, however
+   few bytes they have. Words are runs of letters and digits, A-Z in small letters, so neither case
+   nor what stands between them matters. Anchors are the least of the hashes of half as many words;
+   of the windows of anchors that several documents hold, those that several documents hold are found
+   by two independent 64-bit hashes. They are reported, and cut where ``cut_words`` says so.
 6. Spans come back to their texts, and rows to the result of their text.
 
-Defined cases: a null text is empty; texts shorter than ``SPAN`` bytes lose nothing (but runs of
-``words``); repeated rows are copies of each other; keys may repeat or be null, as rows are told apart
+Defined cases: a null text is empty; texts shorter than ``SPAN`` bytes lose nothing but, where they
+are cut, runs of ``words``; repeated rows are copies of each other; keys may repeat or be null, as rows are told apart
 by their text only.
 """
 
@@ -37,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcavec.llm import kernels as K
+from arcavec.llm.decontaminate import WORD
 from arcavec.llm.scratch import Table, partitions
 from arcavec.llm.suffix import common_prefixes, suffix_array
 
@@ -57,8 +59,6 @@ SHARDS = 8
 U64, I64 = np.uint64, np.int64
 #: Another numbering of bytes, for a second, independent hash.
 _OTHER = np.random.default_rng(0x5EED).permutation(256).astype(np.uint8)
-_WORD = np.ones(256, bool)
-_WORD[[9, 10, 11, 12, 13, 32]] = False
 
 
 def sliding_min(key: np.ndarray, width: int) -> np.ndarray:
@@ -362,8 +362,9 @@ def _merge_published(table: pa.Table) -> pa.Table:
 
 def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, starts, ends, row offsets in words) of all words."""
-    starts, ends, rows = K.words(data, offsets, _WORD)
-    return K.slice_hash(K.prefix_hash(data), starts, ends), starts, ends, rows
+    low = K.LOWER[data]
+    starts, ends, rows = K.words(low, offsets, WORD)
+    return K.slice_hash(K.prefix_hash(low), starts, ends), starts, ends, rows
 
 
 def _find_word_anchors(words: int):
@@ -398,20 +399,16 @@ def _word_windows(words: int):
     return run
 
 
-def _word_spans(span: int):
-    """Gathered windows as rows of ``_SPANS``, whose b is the end of the starts of ``span`` bytes."""
+def _word_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Gathered windows as rows of ``_SPANS`` of kind -2: a is a start, b an end."""
+    for batch in batches:
+        cut = batch.column("found").offsets.to_numpy()
+        a, b = (batch.column("found").values.field(c).to_numpy() for c in ("a", "b"))
+        blobs = [pa.array([x[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary()) for x in (a, b)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, -2, np.int32)), batch.column("k1"), batch.column("k2"), *blobs], names=["kind", "k1", "k2", "a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cut = batch.column("found").offsets.to_numpy()
-            a, b = (batch.column("found").values.field(c).to_numpy() - less for c, less in (("a", 0), ("b", span - 1)))
-            blobs = [pa.array([x[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary()) for x in (a, b)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, -1, np.int32)), batch.column("k1"), batch.column("k2"), *blobs], names=["kind", "k1", "k2", "a", "b"])
-
-    return run
 
-
-def _word_runs(t: DataFrame, words: int, span: int) -> tuple[DataFrame, list[Table]]:
+def _word_runs(t: DataFrame, words: int) -> tuple[DataFrame, list[Table]]:
     """The windows of ``words`` words that several documents hold, as ``_SPANS``, and the tables to drop after use."""
 
     def shared(places: Table, *key: str) -> Table:
@@ -428,29 +425,40 @@ def _word_runs(t: DataFrame, words: int, span: int) -> tuple[DataFrame, list[Tab
     again.drop()
     several = shared(windows, "w", "w2")
     gathered = windows.df.join(several.df, ["w", "w2"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("found"))
-    return gathered.mapInArrow(_word_spans(span), _SPANS), [windows, several]
+    return gathered.mapInArrow(_word_spans, _SPANS), [windows, several]
+
+
+def _ranges(parts: list[dict], kind: int, longer: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs of the bytes that the spans of a kind cover; their ends are ``longer`` on."""
+    own = [p for p in parts if (p["kind"] == -2) == (kind == -2)]
+    if not own:
+        return np.zeros(0, I64), np.zeros(0, I64)
+    a, b = (np.frombuffer(b"".join(p[c] for p in own), I64) for c in ("a", "b"))
+    return K.runs(K.covered(a, b + longer, n), K.row_starts(np.array([0, n]), n))
 
 
-def _finish(span: int, keep_text: bool):
+def _finish(span: int, keep_text: bool, cut_words: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = K.text_buffer(batch.column("text"))
             copies, found = batch.column("copies").to_numpy(), batch.column("spans")
-            n_bytes, removed, n_spans, sha, starts, ends, texts = [], [], [], [], [], [], []
+            n_bytes, removed, n_spans, sha, starts, ends, texts, passages, inside = [], [], [], [], [], [], [], [], []
             for i in range(batch.num_rows):
                 text = data[offsets[i] : offsets[i + 1]]
                 n = len(text)
+                parts = found[i].as_py() or []
+                p, q = _ranges(parts, -2, 0, n)
                 if copies[i] > 1 and n >= span:
                     a, b = np.array([0]), np.array([n])
-                elif found[i].is_valid:
-                    parts = found[i].as_py()
-                    a, b = (np.frombuffer(b"".join(p[c] for p in parts), I64) for c in ("a", "b"))
-                    a, b = K.runs(K.covered(a, b + (span - 1), n), K.row_starts(np.array([0, n]), n))
                 else:
-                    a = b = np.zeros(0, I64)
+                    a, b = _ranges(parts, -1, span - 1, n)
+                    if cut_words and len(p):
+                        a, b = np.concatenate([a, p]), np.concatenate([b, q])
+                        a, b = K.runs(K.covered(a, b, n), K.row_starts(np.array([0, n]), n))
                 if len(a):
                     keep = np.ones(n, bool)
-                    keep[K.ragged(a, b - a)] = False
+                    for x, y in zip(a, b, strict=True):
+                        keep[x:y] = False
                     kept = text[keep].tobytes()
                 else:
                     kept = text.tobytes()
@@ -461,9 +469,11 @@ def _finish(span: int, keep_text: bool):
                 starts.append(a)
                 ends.append(b)
                 texts.append(kept.decode(errors="ignore") if len(a) else None)
-            out = [batch.column("k1"), batch.column("k2"), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha, pa.string())]
+                passages.append(len(p))
+                inside.append(int((q - p).sum()))
+            out = [batch.column("k1"), batch.column("k2"), *(pa.array(x, pa.int64()) for x in (n_bytes, removed, n_spans)), pa.array(sha, pa.string()), pa.array(passages, pa.int64()), pa.array(inside, pa.int64())]
             out += [pa.array(texts, pa.string())] if keep_text else [pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(out, names=["k1", "k2", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_text else ["starts", "ends"])])
+            yield pa.RecordBatch.from_arrays(out, names=["k1", "k2", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "passage_bytes", *(["kept"] if keep_text else ["starts", "ends"])])
 
     return run
 
@@ -474,8 +484,8 @@ def _keys(text: str):
     return F.xxhash64(t).alias("k1"), F.xxhash64(F.lit(0x5EED), t).alias("k2")
 
 
-def find(docs: DataFrame, text: str = "text", span: int = SPAN, gram: int = GRAM, hot: int = HOT, keep_text: bool = False, shard_bytes: int = SHARD_BYTES, words: int = 0) -> DataFrame:
-    """The distinct texts by (k1, k2) with n_bytes, n_removed, n_spans, kept_sha256, and starts and ends of what goes or, with ``keep_text``, kept: the rest as text, null where nothing goes; a codepoint that a cut splits goes whole."""
+def find(docs: DataFrame, text: str = "text", span: int = SPAN, gram: int = GRAM, hot: int = HOT, keep_text: bool = False, shard_bytes: int = SHARD_BYTES, words: int = 0, cut_words: bool = True) -> DataFrame:
+    """The distinct texts by (k1, k2) with n_bytes, n_removed, n_spans, kept_sha256, n_passages and passage_bytes (maximal runs of ``words`` words that other documents hold), and starts and ends of what goes or, with ``keep_text``, kept: the rest as text, null where nothing goes; a codepoint that a cut splits goes whole."""
     spark = docs.sparkSession
     n = partitions(spark)
     texts = docs.select(*_keys(text), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
@@ -492,11 +502,11 @@ def find(docs: DataFrame, text: str = "text", span: int = SPAN, gram: int = GRAM
     again.drop()
     every, used = shards.df.where("kind < 0").unionByName(merged), []
     if words:
-        runs, used = _word_runs(t, words, span)
+        runs, used = _word_runs(t, words)
         every = every.unionByName(runs)
-    spans = every.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    schema = "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, " + ("kept string" if keep_text else "starts array<long>, ends array<long>")
-    done = Table(t.join(spans.hint("shuffle_hash"), ["k1", "k2"], "left").mapInArrow(_finish(span, keep_text), schema))
+    spans = every.groupBy("k1", "k2").agg(F.collect_list(F.struct("kind", "a", "b")).alias("spans"))
+    schema = "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, passage_bytes long, " + ("kept string" if keep_text else "starts array<long>, ends array<long>")
+    done = Table(t.join(spans.hint("shuffle_hash"), ["k1", "k2"], "left").mapInArrow(_finish(span, keep_text, cut_words), schema))
     for x in (shards, *used, table):
         x.drop()
     return done.df
@@ -504,7 +514,7 @@ def find(docs: DataFrame, text: str = "text", span: int = SPAN, gram: int = GRAM
 
 def dedup(docs: DataFrame, text: str = "text", span: int = SPAN, keep_text: bool = False, **options) -> DataFrame:
     """Every row of ``docs`` with the columns of ``find`` for its text; they replace columns of the same names."""
-    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "ends", "kept", "k1", "k2")
+    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "passage_bytes", "starts", "ends", "kept", "k1", "k2")
     found = find(docs, text, span, keep_text=keep_text, **options)
     k1, k2 = _keys(text)
     rows = docs.withColumns({"_k1": k1, "_k2": k2})

@@ -125,8 +125,8 @@ rows = pa.record_batch({"k1": pa.array([1]), "k2": pa.array([2]), "text": text,
 sent = list(S._contexts(8, 400, 200, 512)(iter([rows])))
 spans = [S._shard(400, 512, 8)(pa.Table.from_batches([b])) for b in sent]
 every = [(x["a"], x["b"]) for t in spans for x in t.to_pylist() if x["kind"] < 0]
-done = pa.record_batch({"k1": pa.array([1]), "k2": pa.array([2]), "text": text, "copies": pa.array([1]), "spans": pa.array([[dict(a=a, b=b) for a, b in every]])})
-(out,) = S._finish(400, False)(iter([done]))
+done = pa.record_batch({"k1": pa.array([1]), "k2": pa.array([2]), "text": text, "copies": pa.array([1]), "spans": pa.array([[dict(kind=-1, a=a, b=b) for a, b in every]])})
+(out,) = S._finish(400, False, True)(iter([done]))
 print(sum(b.nbytes for b in sent), out.column("n_removed")[0].as_py(), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
 """
     sent, removed, peak = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, env=os.environ).stdout.split())
@@ -162,6 +162,14 @@ def test_runs_of_words_that_several_documents_hold(spark):
             wanted[i] = kept if cut else t
     docs = docs_of(spark, texts)
     assert sum(wanted.get(i) != t for i, t in enumerate(texts)) > 20
+    plain = suffix_dedup.dedup(docs, span=40, gram=20)
+    both = suffix_dedup.dedup(docs, span=40, gram=20, words=7, cut_words=False)  # reports words, cuts bytes
+    contract = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert sorted(plain.select(*contract).collect()) == sorted(both.select(*contract).collect())
+    assert {r.doc_id for r in both.where("n_passages > 0 and passage_bytes > 0").collect()} == {i for i, t in enumerate(texts) if wanted.get(i) != t}
+    assert plain.where("n_passages > 0").count() == 0
+    shout = docs_of(spark, ["x " + "one, two (three) four-five six seven. y", "ONE two three FOUR five\tsix; seven"])
+    assert {r.doc_id: r.text for r in suffix_dedup.strip_repeats(shout, words=7).collect()} == {0: "x . y"}
     got = {r.doc_id: r.text for r in suffix_dedup.strip_repeats(docs, span=100_000, gram=200, words=7).collect()}
     assert got == wanted
     assert suffix_dedup.strip_repeats(docs.limit(0), words=7).count() == 0
