@@ -198,6 +198,13 @@ def search_codes(codes: Codes, vectors: DataFrame, query: Sequence[float], k: in
     return search.score_ids(vectors, best, query, k)
 
 
+def search_layers(codes: Codes, layers: DataFrame, query: Sequence[float], k: int, budget: int | None = None) -> DataFrame:
+    """Top k over (vec_id, layer, embedding): base and runs share one budget of re-ranked rows, the delta is scored whole."""
+    indexed = codes.table.join(layers.where("layer <> 'delta'").select("vec_id"), "vec_id", "left_semi")
+    best = proxies(codes, query, table=indexed).orderBy(F.desc("proxy"), "vec_id").limit(search.rerank_width(k) if budget is None else budget).select("vec_id")
+    return search.score_ids(layers, best.unionByName(layers.where("layer = 'delta'").select("vec_id")), query, k)
+
+
 def search_bounded(codes: Codes, vectors: DataFrame, query: Sequence[float], k: int, budget: int | None = None, margin: float = MARGIN) -> DataFrame:
     """Top k of rotated codes; a row is only scored exactly where its estimated cosine and a bound on its error reach the k-th exact cosine of the k best by proxy."""
     best = coarse(codes, query, max(k, search.rerank_width(k) if budget is None else budget), "asymmetric").collect()  # at most the budget

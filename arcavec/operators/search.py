@@ -76,13 +76,6 @@ def two_stage(vectors: DataFrame, proxy: Column, query: Sequence[float], k: int,
     return search(coarse, query, k)
 
 
-def search_layers(layers: DataFrame, proxy: Column, query: Sequence[float], k: int, budget: int | None = None) -> DataFrame:
-    """Top k over (vec_id, layer, embedding): base and run share one budget of re-ranked rows, the delta is scored whole."""
-    indexed = layers.where("layer <> 'delta'").withColumn("_proxy", proxy).orderBy(F.desc("_proxy"), "vec_id").limit(rerank_width(k) if budget is None else budget)
-    fresh = layers.where("layer = 'delta'")
-    return search(indexed.select("vec_id", "embedding").unionByName(fresh.select("vec_id", "embedding")), query, k)
-
-
 def blocks(queries: DataFrame, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(ids, matrix) of queries (query_id, embedding), one block on the driver at a time."""
     ids, rows = [], []

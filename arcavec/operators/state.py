@@ -6,9 +6,12 @@ row a task; nothing is sorted but where order is the result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Sequence numbers of a bucket in which a key's rows are ordered by one task.
+BUCKET = 1 << 16
+
 
 def newest(log: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
     """The row of the greatest ``seq`` of each key."""
@@ -63,19 +66,44 @@ def counters(log: DataFrame) -> DataFrame:
     return alive.groupBy("key").agg(F.sum("n").alias("value"))
 
 
-def running_counter(log: DataFrame) -> DataFrame:
+def _running(log: DataFrame, amount: Column, resets: list[str], bucket: int) -> DataFrame:
+    """``log`` with value: the sum of a key's amounts up to each row since its last reset, whose own amount it starts with.
+
+    A key's log is cut into buckets of sequence numbers. Rows are ordered within their bucket only;
+    what a bucket starts with comes from one row for each earlier bucket, so a hot key is many tasks.
+    """
+    rows = log.withColumns({"_b": F.floor(F.col("seq") / bucket), "_amount": amount, "_reset": F.col("op").isin(resets).cast("long")})
+    rows = rows.withColumn("_era", F.sum("_reset").over(Window.partitionBy("key", "_b").orderBy("seq")))
+    rows = rows.withColumn("_local", F.sum("_amount").over(Window.partitionBy("key", "_b", "_era").orderBy("seq")))
+    ends = rows.groupBy("key", "_b").agg((F.max("_era") > 0).alias("_has"), F.max_by("_local", "seq").alias("_tail"))
+    by_bucket = Window.partitionBy("key").orderBy("_b")
+    ends = ends.withColumn("_group", F.sum(F.col("_has").cast("long")).over(by_bucket))
+    ends = ends.withColumn("_end", F.sum("_tail").over(Window.partitionBy("key", "_group").orderBy("_b")))
+    carry = ends.select("key", "_b", F.coalesce(F.lag("_end").over(by_bucket), F.lit(0)).alias("_carry"))
+    both = rows.join(carry, ["key", "_b"])
+    return both.withColumn("value", F.col("_local") + F.when(F.col("_era") == 0, F.col("_carry")).otherwise(0))
+
+
+def running_counter(log: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(key, seq, value): the reply to each increment, in log order within its key."""
     part = log.where("op in ('SET', 'DEL', 'INCRBY')")
-    era = F.sum(F.when(F.col("op") == "INCRBY", 0).otherwise(1)).over(Window.partitionBy("key").orderBy("seq"))
-    value = F.sum(F.when(F.col("op") == "DEL", 0).otherwise(F.col("n"))).over(Window.partitionBy("key", "era").orderBy("seq"))
-    return part.withColumn("era", era).withColumn("value", value).where("op = 'INCRBY'").select("key", "seq", "value")
+    amount = F.when(F.col("op") == "DEL", 0).otherwise(F.col("n"))
+    return _running(part, amount, ["SET", "DEL"], bucket).where("op = 'INCRBY'").select("key", "seq", "value")
+
+
+def append_lengths(log: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """(key, seq, length): the reply to each APPEND, the length of the text after it, in log order within its key since the last reset."""
+    part = log.where("op in ('SET', 'DEL', 'APPEND')")
+    size = F.when(F.col("op") == "DEL", 0).otherwise(F.length(F.col("n").cast("string")))
+    return _running(part, size, ["SET", "DEL"], bucket).where("op = 'APPEND'").select("key", "seq", F.col("value").cast("long").alias("length"))
 
 
-def appended(log: DataFrame) -> DataFrame:
-    """(key, value): what a key holds after its APPENDs since its last SET or DEL, in log order; a SET starts the text."""
+def appended(log: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """(key, value): what a key holds after its APPENDs since its last SET or DEL, in log order; a SET starts the text. Texts of buckets of sequence numbers are joined first."""
     alive = since_reset(log, ["SET", "DEL"]).where("op in ('APPEND', 'SET')")
-    parts = F.array_sort(F.collect_list(F.struct("seq", "n")))
-    return alive.groupBy("key").agg(F.array_join(F.transform(parts, lambda x: x["n"].cast("string")), "").alias("value"))
+    joined = lambda order, text: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text.alias("_t")))), lambda x: x["_t"]), "")
+    parts = alive.groupBy("key", F.floor(F.col("seq") / bucket).alias("_b")).agg(joined("seq", F.col("n").cast("string")).alias("_part"))
+    return parts.groupBy("key").agg(joined("_b", F.col("_part")).alias("value"))
 
 
 def sweep_prefix(state: DataFrame, prefix: str) -> tuple[DataFrame, DataFrame]:

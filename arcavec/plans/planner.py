@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from collections.abc import Sequence
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcavec.operators import ivf, quantize, search
+from arcavec.operators import codes, ivf, search
 
 SCAN_ROWS = 12_288
 SHORTLIST = 4_096
@@ -25,12 +25,12 @@ class Router:
     centroids: DataFrame
 
 
-def filtered(vectors: DataFrame, ids: DataFrame, query: Sequence[float], k: int, scale: float, router: Router | None = None, budget: int | None = None, scan_rows: int = SCAN_ROWS, shortlist: int | None = SHORTLIST) -> DataFrame:
+def filtered(vectors: DataFrame, ids: DataFrame, query: Sequence[float], k: int, stored: codes.Codes, router: Router | None = None, budget: int | None = None, scan_rows: int = SCAN_ROWS, shortlist: int | None = SHORTLIST) -> DataFrame:
     """Top k of a set of ids: few are scanned by code and scored again, more than ``scan_rows`` first pass the router, which leaves ``shortlist`` of them or, where that is None, all."""
     if router is not None and shortlist is not None and ids.limit(scan_rows + 1).count() > scan_rows:
         ids = ivf.probe(router.assigned, ids, router.centroids, query, shortlist)
-    mine = vectors.join(ids.select("vec_id"), "vec_id", "left_semi")
-    return search.two_stage(mine, quantize.int8_proxy(query, scale), query, k, budget)
+    mine = replace(stored, table=stored.table.join(ids.select("vec_id"), "vec_id", "left_semi"))
+    return codes.search_codes(mine, vectors, query, k, budget)
 
 
 def ranged(vectors: DataFrame, query: Sequence[float], k: int, low: int, high: int, router: Router | None = None, attribute: str = "attr", wide: int = WIDE_RANGE, shortlist: int | None = SHORTLIST) -> DataFrame:

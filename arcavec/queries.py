@@ -143,7 +143,7 @@ def q16_mget(spark, sf_dir):
 
 
 def q17_append(spark, sf_dir):
-    return state.appended(_log(spark, sf_dir))
+    return state.appended(_log(spark, sf_dir), 256)
 
 
 def q18_mset(spark, sf_dir):
@@ -155,13 +155,19 @@ def q19_incr(spark, sf_dir):
 
 
 def q19b_running_incr(spark, sf_dir):
-    return state.running_counter(_log(spark, sf_dir))
+    return state.running_counter(_log(spark, sf_dir), 256)
+
+
+def _stored(v: DataFrame) -> codes.Codes:
+    """The 8-bit codes of a table, written and opened again."""
+    path = shared.new_path(v.sparkSession, "codes")
+    codes.build(v, "int8").save(path)
+    return codes.open_codes(v.sparkSession, path)
 
 
 def q20_int8(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    proxy = quantize.int8_proxy(_query(v), quantize.int8_scale(v))
-    return v.select("vec_id", proxy.alias("dot")).orderBy(F.desc("dot"), "vec_id").limit(K)
+    return codes.coarse(_stored(v), _query(v), K).select("vec_id", F.col("proxy").cast("long").alias("dot"))
 
 
 def q21_binary(spark, sf_dir):
@@ -200,19 +206,19 @@ def q25_bitplane(spark, sf_dir):
 
 def q26_rerank(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    return search.two_stage(v, quantize.int8_proxy(_query(v), quantize.int8_scale(v)), _query(v), K)
+    return codes.search_codes(_stored(v), v, _query(v), K)
 
 
 def q27_layers(spark, sf_dir):
     v = _vectors(spark, sf_dir)
     layer = F.when(F.col("vec_id") % 4 < 2, "base").when(F.col("vec_id") % 4 == 2, "run").otherwise("delta")
-    return search.search_layers(v.withColumn("layer", layer), quantize.int8_proxy(_query(v), quantize.int8_scale(v)), _query(v), K)
+    return codes.search_layers(_stored(v), v.withColumn("layer", layer), _query(v), K)
 
 
 def q28_hybrid(spark, sf_dir):
     v = _vectors(spark, sf_dir)
     ids = tables.payloads(v).where(filters.predicate("year >= 2022", F.col("payload"))).select("vec_id")
-    return planner.filtered(v, ids, _query(v), K, quantize.int8_scale(v))
+    return planner.filtered(v, ids, _query(v), K, _stored(v))
 
 
 def q29_controller(spark, sf_dir):
@@ -362,12 +368,8 @@ def q47_metering(spark, sf_dir):
 
 
 def q48_append_lengths(spark, sf_dir):
-    """Reply of each APPEND: the length of the text after it, in log order within its key since the last reset."""
-    part = _log(spark, sf_dir).where("op in ('SET', 'DEL', 'APPEND')")
-    era = F.sum(F.when(F.col("op") == "APPEND", 0).otherwise(1)).over(Window.partitionBy("key").orderBy("seq"))
-    size = F.when(F.col("op") == "DEL", 0).otherwise(F.length(F.col("n").cast("string")))
-    length = F.sum(size).over(Window.partitionBy("key", "era").orderBy("seq"))
-    return part.withColumn("era", era).withColumn("length", length).where("op = 'APPEND'").select("key", "seq", "length")
+    """Reply of each APPEND, in buckets small enough that keys span several."""
+    return state.append_lengths(_log(spark, sf_dir), 256)
 
 
 def q49_latency_quantile(spark, sf_dir):
@@ -451,11 +453,11 @@ def q57_fitted_router(spark, sf_dir):
     path = shared.new_path(spark, "router")
     planner.save_router(planner.build_router(v, cells=ivf.MIN_CELLS), path)
     router = planner.open_router(spark, path)
-    n, q, scale = v.count(), _query(v), quantize.int8_scale(v)
+    n, q, stored = v.count(), _query(v), _stored(v)
     ids = v.where("vec_id % 2 = 0").select("vec_id")
     parts = [
-        ("filtered", planner.filtered(v, ids, q, K, scale, router, scan_rows=n // 4, shortlist=n // 3), search.score_ids(v, ids, q, K)),
-        ("filtered whole", planner.filtered(v, ids, q, K, scale, router, budget=n, shortlist=None), search.score_ids(v, ids, q, K)),
+        ("filtered", planner.filtered(v, ids, q, K, stored, router, scan_rows=n // 4, shortlist=n // 3), search.score_ids(v, ids, q, K)),
+        ("filtered whole", planner.filtered(v, ids, q, K, stored, router, budget=n, shortlist=None), search.score_ids(v, ids, q, K)),
         ("ranged", planner.ranged(v, q, K, 100, 900, router, wide=1, shortlist=n // 2), search.search_range(v, q, K, 100, 900)),
     ]
     out = None
@@ -589,8 +591,9 @@ _VL = f"""vl AS (SELECT vec_id AS seq, 'I' AS op, vec_id, embedding FROM embeddi
   UNION ALL SELECT {2 * tables.BATCH} + vec_id, 'D', vec_id, NULL FROM embeddings WHERE vec_id % 17 = 0
   UNION ALL SELECT {3 * tables.BATCH} + vec_id, 'I', vec_id, embedding FROM embeddings WHERE vec_id % 34 = 0),
 lv AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY seq DESC) AS r FROM vl) WHERE r = 1 AND op = 'I')"""
-_I8 = """m AS (SELECT CAST(CAST(max(list_max(list_transform(embedding, lambda x: abs(x)))) AS DOUBLE) / 127 AS FLOAT) AS scale FROM embeddings),
-c AS (SELECT vec_id, embedding, list_transform(embedding, lambda x: CAST(greatest(-127, least(127, round(CAST(CAST(CAST(x AS DOUBLE) / CAST(scale AS DOUBLE) AS FLOAT) AS DOUBLE)))) AS INTEGER)) AS code FROM embeddings, m),
+_I8 = """iu AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda y: y * y)))) AS u FROM embeddings),
+m AS (SELECT max(list_max(list_transform(u, lambda x: abs(x)))) / 127 AS scale FROM iu),
+c AS (SELECT vec_id, list_transform(u, lambda x: CAST(greatest(-127, least(127, round(x / scale))) AS INTEGER)) AS code FROM iu, m),
 d AS (SELECT c.vec_id, CAST(list_sum(list_transform(range(1, len(c.code) + 1), lambda i: c.code[i] * q.code[i])) AS BIGINT) AS dot FROM c, (SELECT code FROM c WHERE vec_id = 0) q)"""
 _CELLS = """n AS (SELECT count(*) AS n FROM embeddings),
 o AS (SELECT vec_id, embedding, row_number() OVER (ORDER BY vec_id) - 1 AS i FROM embeddings),

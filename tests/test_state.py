@@ -136,6 +136,27 @@ def test_segments_are_read_up_to_the_first_damage(spark, tmp_path):
     assert got == [(i // 10, i % 10, i, "a b", "SET", 2 * i) for i in whole]
 
 
+def test_running_values_over_buckets_equal_a_plain_fold(spark):
+    rnd = random.Random(4)
+    rows = [(i, rnd.choice("ab"), rnd.choice(["SET", "DEL", "INCRBY", "INCRBY", "INCRBY", "APPEND", "APPEND", "GET"]) if i > 60 else "INCRBY", rnd.randrange(200)) for i in range(400)]
+    log = spark.createDataFrame(rows, "seq long, key string, op string, n long")
+    counter, text, counts, lengths = {}, {}, {}, {}
+    for seq, key, op, n in rows:
+        if op == "SET":
+            counter[key], text[key] = n, str(n)
+        elif op == "DEL":
+            counter[key], text[key] = 0, ""
+        elif op == "INCRBY":
+            counts[key, seq] = counter[key] = counter.get(key, 0) + n
+        elif op == "APPEND":
+            text[key] = text.get(key, "") + str(n)
+            lengths[key, seq] = len(text[key])
+    for bucket in (7, 50, 1 << 16):
+        assert {(r.key, r.seq): r.value for r in state.running_counter(log, bucket).collect()} == counts
+        assert {(r.key, r.seq): r.length for r in state.append_lengths(log, bucket).collect()} == lengths
+        assert {r.key: r.value for r in state.appended(log, bucket).collect()} == text
+
+
 def test_reclaim_moves_live_records_of_sparse_segments(spark):
     rows = [(0, 100, True), (0, 300, False), (1, 100, True), (1, 50, False), (2, 10, False)]
     after, freed = maintenance.reclaim(spark.createDataFrame(rows, "segment long, bytes long, alive boolean"))
