@@ -1,7 +1,7 @@
 """Cosine top-k: exact, filtered, by range, in two stages, over layers, and for many queries at once.
 
-A single query's vector is a literal of the plan, so a search is one narrow stage with a partial
-top-k in every task. Many queries go to the executors in blocks of a fixed size, are scored by matrix
+A single query is scored by numpy over Arrow batches in one narrow stage, with a partial top-k in
+every task. Many queries go to the executors in blocks of a fixed size, are scored by matrix
 products against Arrow batches, and leave each task as k rows a query before anything is shuffled. Scores are rounded to ``DIGITS`` before they are ordered; equal scores go by id.
 """
 
@@ -14,7 +14,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arcavec.functions import vector as V
 from arcavec.operators import filters
 
 DIGITS = 6
@@ -34,10 +33,22 @@ def vector_of(vectors: DataFrame, vec_id: int) -> list[float] | None:
 
 def scored(vectors: DataFrame, query: Sequence[float]) -> DataFrame:
     """``vectors`` with their score; null vectors are left out, one of another length than the query is an error."""
-    e = F.col("embedding")
-    vectors = vectors.where("embedding is not null")
-    checked = F.when(F.size(e) == len(query), e).otherwise(F.raise_error(F.lit(f"a vector has not {len(query)} components")))
-    return vectors.withColumn("score", F.round(V.cosine(checked, V.literal(query)), DIGITS))
+    q = _unit(np.array([query], np.float64))[0]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema.fields if f.name != "score"), "score double"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("embedding")
+            if (np.diff(column.offsets.to_numpy()) != len(q)).any():
+                raise ValueError(f"a vector has not {len(q)} components")
+            score = np.zeros(batch.num_rows)
+            for lo in range(0, batch.num_rows, 2048):  # a few MB as doubles
+                rows = column.slice(lo, 2048).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, len(q))
+                length = np.sqrt(np.einsum("ij,ij->i", rows, rows))
+                score[lo : lo + 2048] = np.divide(rows @ q, length, out=np.zeros(len(rows)), where=length > 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.round(score, DIGITS))], names=[*batch.schema.names, "score"])
+
+    return vectors.drop("score").where("embedding is not null").mapInArrow(run, schema)
 
 
 def top(rows: DataFrame, k: int) -> DataFrame:
@@ -46,7 +57,8 @@ def top(rows: DataFrame, k: int) -> DataFrame:
 
 def search(vectors: DataFrame, query: Sequence[float], k: int, where: Column | None = None) -> DataFrame:
     """(vec_id, score) of the k nearest vectors, of those that satisfy ``where`` if it is given."""
-    return top(scored(vectors if where is None else vectors.where(where), query).select("vec_id", "score"), k)
+    rows = vectors if where is None else vectors.where(where)
+    return top(scored(rows.select("vec_id", "embedding"), query).select("vec_id", "score"), k)
 
 
 def search_filtered(vectors: DataFrame, payloads: DataFrame, query: Sequence[float], k: int, text: str) -> DataFrame:
@@ -94,6 +106,17 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return np.divide(rows, n, out=np.zeros_like(rows), where=n > 0)
 
 
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids and scores of the k greatest scores of each row, equal ones by id."""
+    width = min(k, scores.shape[1])
+    least = -np.partition(-scores, width - 1, axis=1)[:, width - 1 : width]
+    row, col = np.nonzero(scores >= least)  # more than k where scores tie
+    by = np.lexsort((ids[row, col], -scores[row, col], row))
+    first = np.searchsorted(row, np.arange(len(scores)))
+    take = by[first[:, None] + np.arange(width)]
+    return ids[row[take], col[take]], scores[row[take], col[take]]
+
+
 def _nearest(shared, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, queries = shared.value
@@ -109,8 +132,7 @@ def _nearest(shared, k: int):
                 part = slice(lo, lo + 256)
                 scores = np.concatenate([kept[part], np.round(queries[part] @ rows.T, DIGITS)], axis=1)
                 every = np.concatenate([kept_ids[part], np.broadcast_to(ids, (len(scores), len(ids)))], axis=1)
-                best = np.lexsort((every, -scores), axis=1)[:, :k]
-                parts.append((np.take_along_axis(every, best, 1), np.take_along_axis(scores, best, 1)))
+                parts.append(_best(every, scores, k))
             kept_ids, kept = (np.concatenate(x) for x in zip(*parts, strict=True))
         if kept.size:
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, kept.shape[1])), pa.array(kept_ids.ravel()), pa.array(kept.ravel())], names=["query_id", "vec_id", "score"])
