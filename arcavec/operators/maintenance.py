@@ -43,6 +43,12 @@ def resident_bytes(vectors: DataFrame, kinds: tuple[str, ...] = ("f32", "int8",
     return dims.join(F.broadcast(sizes), "dim").groupBy("kind").agg(F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("per_row")).alias("bytes"))
 
 
+def evict(indexes: DataFrame, budget: int) -> DataFrame:
+    """``indexes`` (shard, name, bytes, last_used) with resident: in each shard the most recently used ones whose bytes fit the budget together; the others are opened again when they are asked for."""
+    order = Window.partitionBy("shard").orderBy(F.desc("last_used"), "name")
+    return indexes.withColumn("resident", F.sum("bytes").over(order) <= budget)
+
+
 def bucket_of(us: Column) -> Column:
     """The histogram bucket of a latency: 0 for 0, else its bit length, the last bucket taking all beyond."""
     bits = F.length(F.conv(us.cast("string"), 10, 2))

@@ -568,6 +568,26 @@ def q65_adaptive(spark, sf_dir):
     return controller.controller_state(modes).select("key", "n", "mode", F.lit(hits).cast("long").alias("hits"))
 
 
+def q66_graph_patch(spark, sf_dir):
+    """A graph from which one vector in seventeen went: its nodes, whether all edges lead to vectors that live, and the recall of walks through it."""
+    v = _vectors(spark, sf_dir)
+    dead, live = v.where("vec_id % 17 = 0"), v.where("vec_id % 17 <> 0")
+    edges = shared.written(graph.edges(v), "edges")
+    patched = shared.written(graph.patch(live, edges, dead), "edges")
+    queries = live.select(F.col("vec_id").alias("query_id"), "embedding")
+    found = graph.search(live, patched, queries, K, shards=graph.shard_count(edges))
+    nodes = patched.agg(F.count_distinct("src").alias("nodes"), (F.count_if((F.col("src") % 17 == 0) | (F.col("dst") % 17 == 0)) == 0).alias("all_live"))
+    return nodes.crossJoin(_recall_row(found, search.knn(live, queries, K)))  # two single rows
+
+
+def q67_evict(spark, sf_dir):
+    """Which indexes stay open under a budget: one for each label, as of its latest event."""
+    v = _vectors(spark, sf_dir).groupBy("label").agg(F.sum(4 * F.size("embedding")).cast("long").alias("bytes"))
+    used = tables.load(spark, sf_dir, "events").groupBy((F.col("user_id") % 10).alias("label")).agg(F.max("event_id").alias("last_used"))
+    indexes = v.join(used, "label").select((F.col("label") % 2).cast("long").alias("shard"), F.concat(F.lit("i"), F.col("label").cast("string")).alias("name"), "bytes", "last_used")
+    return maintenance.evict(indexes, 40_000)
+
+
 def queries() -> dict[str, Query]:
     out = {name: f for name, f in globals().items() if name[0] == "q" and name[1:3].isdigit() and callable(f)}
     out |= {name: _filter_query(text) for name, (text, _) in FILTERS.items()}
@@ -690,6 +710,9 @@ def oracle_sql() -> dict[str, str]:
             SELECT 'even' AS name, 'tq4' AS kind, count(*) FILTER (vec_id % 2 = 0 AND (vec_id % 10 <> 0 OR vec_id % 20 = 0)) AS n FROM embeddings UNION ALL SELECT 'odd', 'int8', count(*) FILTER (vec_id % 2 = 1) FROM embeddings UNION ALL SELECT 'refused', 'f32', 0)""",
         "q64_calibration": " UNION ALL ".join(f"SELECT CAST({b} AS BIGINT) AS bits, i - 1 AS i, CAST(round({quantize.LEVELS[b]}[i] / {max(quantize.LEVELS[b])} * 127) AS BIGINT) AS level, true AS fine FROM (SELECT unnest(range(1, {2**b + 1})) AS i)" for b in (1, 2, 4)),
         "q65_adaptive": f"SELECT 'docs' AS key, CAST(3 AS BIGINT) AS n, 'hybrid' AS mode, CAST({4 * K} AS BIGINT) AS hits",
+        "q66_graph_patch": "SELECT count(*) AS nodes, true AS all_live, count(*) * 10 AS hits, true AS recall_ok FROM embeddings WHERE vec_id % 17 <> 0",
+        "q67_evict": """WITH b AS (SELECT label, CAST(sum(4 * len(embedding)) AS BIGINT) AS bytes FROM embeddings GROUP BY label), u AS (SELECT user_id % 10 AS label, max(event_id) AS last_used FROM events GROUP BY 1)
+            SELECT CAST(b.label % 2 AS BIGINT) AS shard, concat('i', CAST(b.label AS VARCHAR)) AS name, bytes, last_used, sum(bytes) OVER (PARTITION BY b.label % 2 ORDER BY last_used DESC, concat('i', CAST(b.label AS VARCHAR))) <= 40000 AS resident FROM b JOIN u ON u.label = b.label""",
         "q32_medoid": "SELECT a.vec_id, round(sum(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS total FROM embeddings a, embeddings b GROUP BY a.vec_id ORDER BY total, a.vec_id LIMIT 1",
         "q33_ivf_assign": f"WITH {_CELLS} SELECT vec_id, cell, sim FROM a",
         "q34_probe": f"""WITH {_P}, {_CELLS}, y AS (SELECT vec_id, cell FROM a WHERE vec_id IN (SELECT vec_id FROM p WHERE field = 'year' AND ival >= 2022)), g AS (SELECT cell, count(*) AS m FROM y GROUP BY cell),

@@ -115,6 +115,21 @@ def test_graph_recall(spark, corpus):
     assert recall([found[i] for i in range(len(queries))], [exact(rows, q, 10) for q in queries]) >= 0.95
 
 
+def test_a_patched_graph_finds_what_lives(spark, corpus):
+    df, rows, queries = corpus
+    edges = graph.edges(df, 800)
+    live, dead = df.where("vec_id % 5 <> 0"), df.where("vec_id % 5 = 0")
+    patched = graph.patch(live, edges, dead)
+    assert not {v for r in patched.collect() for v in (r.src, r.dst) if v % 5 == 0}
+    q = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(queries)], "query_id long, embedding array<double>")
+    found = {}
+    for r in graph.search(live, patched, q, 10, shards=graph.shard_count(edges)).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    ids = [i for i in range(1500) if i % 5]
+    assert recall([found[i] for i in range(len(queries))], [exact(rows, v, 10, ids) for v in queries]) >= 0.9
+    assert graph.patch(df, edges, dead.limit(0)).count() == edges.count()
+
+
 def test_levels_of_a_graph(spark):
     edges = spark.createDataFrame([(0, 1), (0, 2), (1, 3), (2, 3), (3, 0), (3, 4), (9, 0)], "src long, dst long")
     assert {(r.node, r.level) for r in graph.levels(edges, 0).collect()} == {(0, 0), (1, 1), (2, 1), (3, 2), (4, 3)}
