@@ -77,6 +77,31 @@ def repeats(texts, span):
     return out
 
 
+def stripped(texts, span, words):
+    """Texts without strings of ``span`` bytes that start anywhere else too and without runs of ``words`` words that another text holds; None where nothing is left of a cut text."""
+    raw = [(t or "").encode() for t in texts]
+    count = collections.Counter(b[i : i + span] for b in raw for i in range(len(b) - span + 1))
+    holders, places = collections.defaultdict(set), []
+    for row, t in enumerate(texts):
+        found = [(m.group(), len((t or "")[: m.start()].encode()), len((t or "")[: m.end()].encode())) for m in WORD.finditer((t or "").translate(LOW))]
+        places.append(found)
+        for k in range(len(found) - words + 1):
+            holders[tuple(w for w, _, _ in found[k : k + words])].add(row)
+    out = []
+    for t, b, found in zip(texts, raw, places, strict=True):
+        cut = bytearray(len(b))
+        for i in range(len(b) - span + 1):
+            if count[b[i : i + span]] > 1:
+                cut[i : i + span] = b"\1" * span
+        for k in range(len(found) - words + 1):
+            if len(holders[tuple(w for w, _, _ in found[k : k + words])]) > 1:
+                lo, hi = found[k][1], found[k + words - 1][2]
+                cut[lo:hi] = b"\1" * (hi - lo)
+        kept = bytes(x for x, c in zip(b, cut) if not c).decode(errors="ignore")
+        out.append(t if not any(cut) else kept or None)
+    return out
+
+
 def similar(docs, threshold=90, shingle=3):
     """doc_id to (size of its set, least doc_id that it reaches)."""
     sets = {}
