@@ -26,7 +26,8 @@ most the shingles that the sets do not share.
 Defined cases: a text without words, or null, has an empty set and is its own component; with fewer
 words than ``SHINGLE`` all its words are its one shingle; rows that share a key count as one
 document, which links where any of its texts does; a null key links with nothing and has a null
-component; repeated rows each give a row.
+component; repeated rows each give a row; a very long text is one set, held whole by the task that
+reads it; columns other than the key and the text aren't read.
 """
 
 from __future__ import annotations

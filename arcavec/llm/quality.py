@@ -4,8 +4,10 @@ Ratings come from the labels: 0 low quality, 1 good but toxic, 2 good. The weigh
 text are shared by both ordered thresholds (see ``ordinal``); they give an expected rating and the
 tail probability P(rating > 0) by which documents are selected.
 
-Defined cases: as for toxicity; a null or empty text has only the thresholds' prior; a document
-with several label rows is learned with its lowest rating; without labels everything is selected.
+Defined cases: a null or empty text has only the thresholds' prior; a label whose quality is null, or
+whose document is missing, isn't learned from; a document with several label rows is learned with its
+lowest rating; without labels everything is selected; repeated rows each give a row; a very long text
+has each feature once, however often it holds it; columns named like a result are replaced.
 """
 
 from __future__ import annotations

@@ -6,7 +6,9 @@ least ``REJECT``.
 
 Defined cases: a null or empty text has only the thresholds' prior and stays; a label whose toxic is
 null, or whose document is missing, isn't learned from; a document with several label rows is
-learned with its most severe; without labels nothing is rejected; repeated rows each give a row.
+learned with its most severe; without labels nothing is rejected; repeated rows each give a row; of
+equally probable grades the least is the severity; a very long text has each feature once, however
+often it holds it; columns named like a result are replaced.
 """
 
 from __future__ import annotations
