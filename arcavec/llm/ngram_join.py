@@ -9,9 +9,11 @@ different hashes. The sketch only decides how few candidates there are, never wh
 1. Equal texts become one node, the least of their keys; nodes' texts go to a bucketed table.
 2. Sketch; then each node's size, prefixes under both orders and a parity bitmap of its set.
 3. Of the shingles of the first order's prefixes those of one node only go.
-4. Chains: within a shingle's nodes, dealt into parts of about ``BLOCK``, neighbours by first shingle
-   of the second order and by size are candidates, as many as members; then the least of each part,
-   first shingle and size class are chained across the parts. Those whose second prefixes share a
+4. Chains: within a shingle's nodes, dealt into parts of about ``BLOCK`` anew for each shingle,
+   neighbours by first shingle of the second order and by size are candidates, as many as members;
+   ``HEADS`` nodes of each part and size class are chained across the parts too. In groups of more than
+   ``SMALL`` nodes every node is also a candidate with ``HEADS`` others of its size class and with the
+   one whose shingles are the most shared, the middle of copies that are farther from each other. Those whose second prefixes share a
    shingle, and whose bitmaps don't rule them out, are verified on whole sets; their links give first
    components.
 5. All other pairs: within each shingle's nodes, only pairs of *different* components can still
@@ -52,6 +54,9 @@ SLICES = 64
 FAN_IN = 32
 BITS = 512
 BLOCK = 512
+HEADS = 3
+#: In groups of at most so many nodes all pairs cost little.
+SMALL = 64
 
 U64 = np.uint64
 _WORD = np.ones(256, bool)
@@ -237,6 +242,16 @@ def _blocks(threshold: int):
         table = table.combine_chunks()
         tok, i, j, own, rep, n, comp = (table.column(c).to_numpy() for c in ("tok", "i", "j", "own", "rep", "n", "component"))
         bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), U64).reshape(-1, BITS // 64)
+        toks = table.column("toks")
+        toks = toks if isinstance(toks, pa.Array) else pa.concat_arrays(toks.chunks) if toks.num_chunks else pa.array([], toks.type)
+        cut, every, some = toks.offsets.to_numpy(), toks.values.to_numpy(), toks.is_valid().to_numpy(zero_copy_only=False)
+
+        def first_common(a: int, b: int, tok: int) -> bool:
+            if not (some[a] and some[b]):
+                return True
+            x, y = every[cut[a] : cut[a + 1]], every[cut[b] : cut[b + 1]]
+            return not np.isin(x[: np.searchsorted(x, tok)], y).any()
+
         by = np.lexsort((own, j, i, tok))
         edge = np.flatnonzero(np.append(True, (tok[by][1:] != tok[by][:-1]) | (i[by][1:] != i[by][:-1]) | (j[by][1:] != j[by][:-1]))) if len(by) else np.zeros(0, np.int64)
         found: set[tuple[int, int]] = set()
@@ -252,7 +267,8 @@ def _blocks(threshold: int):
                 p, q = np.nonzero(ok)
                 for part in range(0, len(p), 1 << 17):
                     a, b = f[p[part : part + (1 << 17)]], second[q[part : part + (1 << 17)]]
-                    ok = _near(bits[a], bits[b], n[a], n[b], threshold)
+                    ok = np.flatnonzero(_near(bits[a], bits[b], n[a], n[b], threshold))
+                    ok = ok[[first_common(p, q, tok[members[0]]) for p, q in zip(a[ok].tolist(), b[ok].tolist(), strict=True)]] if len(ok) else ok
                     found.update(zip(np.minimum(rep[a[ok]], rep[b[ok]]).tolist(), np.maximum(rep[a[ok]], rep[b[ok]]).tolist(), strict=True))
         return pa.table({"x": pa.array([p[0] for p in found], pa.int64()), "y": pa.array([p[1] for p in found], pa.int64())})
 
@@ -289,17 +305,28 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
         return with_x.join(texts.df.toDF("y", "text"), "y").select("x", "y", "set", "text").mapInArrow(_verify(shingle, threshold), "a long, b long")
 
     # sizes in classes such that sets that link are in one or in neighbouring ones
-    members = groups.df.withColumns({"class": F.floor(F.ln(F.col("n").cast("double")) / float(np.log(100 / threshold)) + 1e-9), "part": F.pmod(F.xxhash64("rep"), F.ceil(F.col("m") / block)).cast("int")})
+    members = groups.df.withColumns({"class": F.floor(F.ln(F.col("n").cast("double")) / float(np.log(100 / threshold)) + 1e-9), "part": F.pmod(F.xxhash64("rep", "tok"), F.ceil(F.col("m") / block)).cast("int")})
 
-    def neighbours(rows: DataFrame, *by: str) -> DataFrame:
-        chain = Window.partitionBy(*by).orderBy("lead", "n", "rep")
-        both = rows.select("rep", "n", F.lag("rep").over(chain).alias("before"), F.lag("n").over(chain).alias("n_before"))
+    def pairs_of(both: DataFrame) -> DataFrame:
         like = (F.col("rep") != F.col("before")) & (100 * F.least("n", "n_before") >= threshold * F.greatest("n", "n_before"))
         return both.where(like).select(F.least("rep", "before").alias("x"), F.greatest("rep", "before").alias("y"))
 
-    # of a large group the least of each part, first shingle and size class are chained across its parts
-    heads = members.where(F.col("m") > block).groupBy("tok", "lead", "class", "part").agg(F.min(F.struct("n", "rep")).alias("_least")).select("tok", "lead", "_least.*")
-    chained = neighbours(members, "tok", "part").unionByName(neighbours(heads, "tok", "lead")).distinct()
+    def neighbours(rows: DataFrame, *by: str) -> DataFrame:
+        chain = Window.partitionBy(*by).orderBy("lead", "n", "rep")
+        return pairs_of(rows.select("rep", "n", F.lag("rep").over(chain).alias("before"), F.lag("n").over(chain).alias("n_before")))
+
+    # each shingle deals its group anew, so copies that share several come together in one part or another; besides, of a large group a few of each part and size class are chained across its parts
+    heads = members.where(F.col("m") > block).groupBy("tok", "class", "part").agg(*(F.min(F.struct(F.xxhash64(F.lit(k), "rep"), "lead", "n", "rep")).alias(f"_{k}") for k in range(HEADS)))
+    heads = heads.select("tok", "class", F.explode(F.array(*(f"_{k}" for k in range(HEADS)))).alias("_h")).select("tok", "class", "_h.lead", "_h.n", "_h.rep")
+    # copies of one text can be farther from each other than from it: in groups that aren't small every node also meets the node whose shingles are the most shared, and a few others
+    many = members.where(F.col("m") > SMALL)
+    central = groups.df.groupBy("rep").agg(F.avg("m").alias("central"))
+    picks = [F.max(F.struct("central", "n", "rep")), *(F.min(F.struct(F.xxhash64(F.lit(-1 - k), "rep").cast("double").alias("central"), "n", "rep")) for k in range(HEADS))]
+    hubs = many.join(central, "rep").groupBy("tok", "class").agg(*(p.alias(f"_{k}") for k, p in enumerate(picks)))
+    hubs = hubs.select("tok", "class", F.explode(F.array(*(f"_{k}" for k in range(len(picks))))).alias("_hub"))
+    hubs = hubs.select("tok", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class"), F.col("_hub.rep").alias("before"), F.col("_hub.n").alias("n_before"))
+    spokes = pairs_of(many.join(hubs, ["tok", "class"]))
+    chained = neighbours(members, "tok", "part").unionByName(neighbours(heads, "tok", "class")).unionByName(spokes).distinct()
     chained = chained.join(side("x"), "x").join(side("y"), "y").mapInArrow(_filter(threshold), "x long, y long")
     links = Table(verified(chained))
     first = connected_components(links.df)
@@ -310,10 +337,14 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     near = classes.withColumn("class", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1))).groupBy("tok", "class").agg(*edges)
     # the classes are written, so that both sides of the join are shuffles and Spark can split it where a class is large
     mixed = Table(near.where("_lo <> _hi").select("tok", "class"), release=False)
-    open_ = members.join(mixed.df, ["tok", "class"]).drop("class").join(one.select("rep", "bits"), "rep")
+    open_ = Table(members.join(mixed.df, ["tok", "class"]).drop("class", "lead"), release=False)
+    # the shingles at which a node is looked at: a pair counts at the first that both have. Of a key with several texts all count
+    single = reps.df.groupBy("rep").agg((F.count("*") == 1).alias("_single"))
+    lists = open_.df.groupBy("rep").agg(F.sort_array(F.collect_set("tok")).alias("toks")).join(single, "rep").select("rep", F.when(F.col("_single"), F.col("toks")).alias("toks"))
+    open_with = open_.df.join(lists, "rep").join(one.select("rep", "bits"), "rep")
     n_blocks = F.ceil(F.col("m") / block).cast("int")
     own = F.pmod(F.xxhash64("rep"), n_blocks).cast("int")
-    spread = open_.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1))).select("tok", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n", "component", "bits")
+    spread = open_with.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1))).select("tok", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n", "component", "bits", "toks")
     more = spread.groupBy(F.pmod(F.xxhash64("tok", "i", "j"), F.lit(4 * parts)).alias("task")).applyInArrow(_blocks(threshold), "x long, y long").distinct()
     more = more.join(side("x"), "x").join(side("y"), "y").mapInArrow(_filter(threshold), "x long, y long")
     rest = Table(verified(more))
@@ -324,6 +355,6 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     by_text = Table(reps.df.join(sizes.groupBy("rep").agg(F.max("n").alias("n")), "rep", "left").join(final.withColumnRenamed("node", "rep"), "rep", "left"))
     out = keys.join(by_text.df, ["k1", "k2"])
     out = Table(out.select(F.col("doc").alias(key), F.coalesce("n", F.lit(0)).alias("n_shingles"), F.when(F.col("doc").isNull(), None).when(F.coalesce("n", F.lit(0)) == 0, F.col("doc")).otherwise(F.coalesce("component", "rep")).alias("component_id")))
-    for t in (reps, texts, info, groups, links, mixed, rest, by_text):
+    for t in (reps, texts, info, groups, links, mixed, open_, rest, by_text):
         t.drop()
     return out.df
