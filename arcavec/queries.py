@@ -158,16 +158,22 @@ def q19b_running_incr(spark, sf_dir):
     return state.running_counter(_log(spark, sf_dir), 256)
 
 
-def _stored(v: DataFrame) -> codes.Codes:
-    """The 8-bit codes of a table, written and opened again."""
-    path = shared.new_path(v.sparkSession, "codes")
-    codes.build(v, "int8").save(path)
-    return codes.open_codes(v.sparkSession, path)
+_written: dict[tuple[str, str], str] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> codes.Codes:
+    """The 8-bit codes of the vectors, which are written once for a session and a folder, as those of an index are."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _written:
+        path = shared.new_path(spark, "codes")
+        codes.build(_vectors(spark, sf_dir), "int8").save(path)
+        _written[at] = path
+    return codes.open_codes(spark, _written[at])
 
 
 def q20_int8(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    return codes.coarse(_stored(v), _query(v), K).select("vec_id", F.col("proxy").cast("long").alias("dot"))
+    return codes.coarse(_stored(spark, sf_dir), _query(v), K).select("vec_id", F.col("proxy").cast("long").alias("dot"))
 
 
 def q21_binary(spark, sf_dir):
@@ -206,19 +212,19 @@ def q25_bitplane(spark, sf_dir):
 
 def q26_rerank(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    return codes.search_codes(_stored(v), v, _query(v), K)
+    return codes.search_codes(_stored(spark, sf_dir), v, _query(v), K)
 
 
 def q27_layers(spark, sf_dir):
     v = _vectors(spark, sf_dir)
     layer = F.when(F.col("vec_id") % 4 < 2, "base").when(F.col("vec_id") % 4 == 2, "run").otherwise("delta")
-    return codes.search_layers(_stored(v), v.withColumn("layer", layer), _query(v), K)
+    return codes.search_layers(_stored(spark, sf_dir), v.withColumn("layer", layer), _query(v), K)
 
 
 def q28_hybrid(spark, sf_dir):
     v = _vectors(spark, sf_dir)
     ids = tables.payloads(v).where(filters.predicate("year >= 2022", F.col("payload"))).select("vec_id")
-    return planner.filtered(v, ids, _query(v), K, _stored(v))
+    return planner.filtered(v, ids, _query(v), K, _stored(spark, sf_dir))
 
 
 def q29_controller(spark, sf_dir):
@@ -453,7 +459,7 @@ def q57_fitted_router(spark, sf_dir):
     path = shared.new_path(spark, "router")
     planner.save_router(planner.build_router(v, cells=ivf.MIN_CELLS), path)
     router = planner.open_router(spark, path)
-    n, q, stored = v.count(), _query(v), _stored(v)
+    n, q, stored = v.count(), _query(v), _stored(spark, sf_dir)
     ids = v.where("vec_id % 2 = 0").select("vec_id")
     parts = [
         ("filtered", planner.filtered(v, ids, q, K, stored, router, scan_rows=n // 4, shortlist=n // 3), search.score_ids(v, ids, q, K)),
